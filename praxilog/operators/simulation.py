@@ -1,0 +1,117 @@
+"""Seeded comparison of study policies on simulated learners, a Spark task for each range of seeds."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..models.bkt import DEFAULTS, step
+
+POLICIES = ("random", "weakest", "uncertainty", "spaced", "budget")
+REGIMES = ("nominal", "slow_learning", "forgetting", "misspecified")
+
+
+@dataclass(frozen=True)
+class SimulationConfig:
+    seed: int = 2026
+    repetitions: int = 200
+    budget_seconds: float = 900.0
+    skills: tuple[str, ...] = ("algebra", "probability", "logic")
+    policies: tuple[str, ...] = POLICIES
+    seconds: float = 60.0
+    max_actions: int = 1000
+    question_budget: int | None = None
+    regime: str = "nominal"
+
+    def check(self) -> None:
+        if not 2 <= self.repetitions <= 5000 or self.regime not in REGIMES or not set(self.policies) <= set(POLICIES) or len(set(self.skills)) != len(self.skills) or not self.skills:
+            raise ValueError("unknown regime, policies or skills, or too few or many repetitions")
+        if not 0 < self.seconds <= self.budget_seconds:
+            raise ValueError("the budget must allow an action")
+
+
+def environment(config: SimulationConfig) -> list[tuple[float, ...]]:
+    """Parameters of each skill under the regime; policies still assume the defaults."""
+    initial, learning, slip, guess, forgetting = DEFAULTS
+    if config.regime == "slow_learning":
+        learning *= 0.25
+    elif config.regime == "forgetting":
+        forgetting = 0.12
+    elif config.regime == "misspecified":
+        return [(initial, 0.02 if k == 0 else 0.22, 0.35, 0.35, 0.15) for k in range(len(config.skills))]
+    return [(initial, learning, slip, guess, forgetting)] * len(config.skills)
+
+
+def _pick(policy: str, belief: np.ndarray, tries: np.ndarray, last: np.ndarray, at: int, order: list[int], rng: np.random.Generator) -> int:
+    """Index of the skill that a policy studies; ``order`` ranks skills by name for ties."""
+    if policy == "random":
+        return int(rng.integers(len(belief)))
+    if policy == "weakest":
+        return min(range(len(belief)), key=lambda k: (belief[k], order[k]))
+    value = {
+        "uncertainty": lambda k: (belief[k] * (1 - belief[k]) / (tries[k] + 1), order[k]),
+        "spaced": lambda k: (at - last[k], -belief[k], order[k]),
+        "budget": lambda k: (1 - belief[k], order[k]),
+    }[policy]
+    return max(range(len(belief)), key=value)
+
+
+def one_trial(config: SimulationConfig, seed: int, policy: str) -> tuple[float, int, float, float]:
+    """Accuracy, actions, share of skills known at the end, and seconds. Policies meet the same chances of a seed."""
+    truth, n = environment(config), len(config.skills)
+    steps = min(config.max_actions, config.question_budget or config.max_actions, int(config.budget_seconds // config.seconds))
+    chance = np.random.default_rng(np.random.SeedSequence([seed, 0])).random((config.max_actions + 1, n, 3))
+    rng = np.random.default_rng(np.random.SeedSequence([seed, 1]))
+    known = [bool(chance[0, k, 0] < truth[k][0]) for k in range(n)]
+    belief, tries, last = np.full(n, DEFAULTS[0]), np.zeros(n), np.full(n, -1)
+    order, hits = np.argsort(np.argsort(config.skills)).tolist(), 0
+    for at in range(steps):
+        k = _pick(policy, belief, tries, last, at, order, rng)
+        a, b, c = chance[at + 1, k]
+        right = bool(a < (1 - truth[k][2] if known[k] else truth[k][3]))
+        known[k] = not b < truth[k][4] if known[k] else bool(c < truth[k][1])
+        belief[k] = step(belief[k], right, *DEFAULTS)[2]
+        tries[k] += 1
+        last[k] = at
+        hits += right
+    return hits / steps, steps, sum(known) / n, steps * config.seconds
+
+
+def outcomes(spark: SparkSession, config: SimulationConfig = SimulationConfig()) -> DataFrame:
+    """A row for each seed and policy."""
+    config.check()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(config.seed + int(i), p, config.regime, *one_trial(config, config.seed + int(i), p)) for i in batch["id"] for p in config.policies], columns=["seed", "policy", "regime", "accuracy", "actions", "known", "seconds"])
+
+    return spark.range(config.repetitions).mapInPandas(run, "seed long, policy string, regime string, accuracy double, actions int, known double, seconds double")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Means of each policy with 1.96 standard errors."""
+    error = F.stddev_samp("known") / F.sqrt(F.count("*"))
+    return rows.groupBy("regime", "policy").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("known").alias("known"), (F.avg("known") - 1.96 * error).alias("lower"), (F.avg("known") + 1.96 * error).alias("upper"))
+
+
+def paired(rows: DataFrame, reference: str = "random") -> DataFrame:
+    """Differences of each policy from the reference on the same seeds."""
+    base = rows.where(F.col("policy") == reference).select("seed", "regime", F.col("known").alias("base"))
+    both = rows.where(F.col("policy") != reference).join(base, ["seed", "regime"]).withColumn("d", F.col("known") - F.col("base"))
+    error = F.stddev_samp("d") / F.sqrt(F.count("*"))
+    return both.groupBy("regime", "policy").agg(F.avg("d").alias("difference"), (F.avg("d") - 1.96 * error).alias("lower"), (F.avg("d") + 1.96 * error).alias("upper"))
+
+
+def campaign(spark: SparkSession, seeds: int = 30, seed: int = 2026) -> DataFrame:
+    """All regimes with a time and a question budget."""
+    out = None
+    for regime in REGIMES:
+        for budget in (None, 15):
+            rows = outcomes(spark, SimulationConfig(seed=seed, repetitions=seeds, regime=regime, question_budget=budget)).withColumn("budget", F.lit("questions" if budget else "time"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
