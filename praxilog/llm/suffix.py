@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
 GRAM = 16
 #: Text of a packet and of a shard, about, in bytes.
-PACKET_BYTES, SHARD_BYTES = 2 << 20, 48 << 20
+PACKET_BYTES, SHARD_BYTES = 2 << 20, 12 << 20
 #: Units of a batch of a shard's family.
 BATCH = 20_000
 
@@ -111,7 +112,7 @@ class SuffixFamily:
         return out
 
 
-def suffixes_of(parts: list[bytes]) -> np.ndarray:
+def suffixes_of(parts: list[bytes] | list[memoryview]) -> np.ndarray:
     """All suffixes of LENGTH bytes of units, in order."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -193,38 +194,37 @@ def packed_units(table: pa.Table, shared: np.ndarray, copies: set[int], shards:
     return out, settled
 
 
-def settle(entries: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    """Of a shard's units (document, packet, first suffix, gram, bytes): suffixes (packet, document, first, last) that smaller documents have."""
-    entries.sort(key=lambda e: (e[0], e[2]))
-    least: dict[bytes, int] = {}
-    grams: dict[int, int] = {}
-    heads = []
-    for i, packet, a, gram, part in entries:
-        if (d := least.setdefault(part, i)) < i:
-            yield packet, i, a, a + len(part) - LENGTH
-        else:
-            if d == i and (part not in grams):
-                grams[part] = 1  # type: ignore[index]
-                grams[gram] = grams.get(gram, 0) + 1
-            heads.append((i, packet, a, gram, part))
-    heads = [h for h in heads if grams[h[3]] > 1]  # a gram with one unit has no other suffixes to meet
+def settle(docs: np.ndarray, packets: np.ndarray, firsts: np.ndarray, grams: np.ndarray, sizes: np.ndarray, data: bytes) -> np.ndarray:
+    """Of a shard's units, whose bytes follow each other in ``data``: rows (packet, document, first, last) of suffixes that smaller documents have."""
+    if not len(docs):
+        return np.zeros((0, 4), np.int64)
+    ends = np.cumsum(sizes)
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    same = np.frombuffer(b"".join(digest(view[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)), "<u8").reshape(-1, 2)
+    order = np.lexsort((firsts, docs, same[:, 1], same[:, 0]))
+    new = np.concatenate([[True], (same[order[1:]] != same[order[:-1]]).any(axis=1)])
+    least = docs[order][new][np.cumsum(new) - 1]
+    later = order[docs[order] > least]
+    out = [np.stack([packets[later], docs[later], firsts[later], firsts[later] + sizes[later] - LENGTH], axis=1)]
+    some, n = np.unique(grams[order[new]], return_counts=True)
+    heads = order[docs[order] == least]
+    heads = heads[n[np.searchsorted(some, grams[heads])] > 1]  # a gram with one unit has no other suffixes to meet
+    heads = heads[np.lexsort((firsts[heads], docs[heads]))]
     family = SuffixFamily()
     for start in range(0, len(heads), BATCH):
         batch = heads[start : start + BATCH]
-        sizes = np.array([len(h[4]) - LENGTH + 1 for h in batch])
-        docs = np.repeat(np.array([h[0] for h in batch], np.int64), sizes)
-        earlier = family.add(suffixes_of([h[4] for h in batch]), docs) < docs
-        if not earlier.any():
-            continue
-        edge = np.cumsum(sizes) - sizes
-        change = np.flatnonzero(np.diff(np.concatenate([[0], earlier.view(np.int8), [0]])))
-        for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-            while x < y:  # a run may go on from unit to unit
-                k = int(np.searchsorted(edge, x, side="right")) - 1
-                z = min(y, int(edge[k] + sizes[k]))
-                i, packet, a, _, _ = batch[k]
-                yield packet, i, a + x - int(edge[k]), a + z - 1 - int(edge[k])
-                x = z
+        many = sizes[batch] - LENGTH + 1
+        own = np.repeat(docs[batch], many)
+        earlier = family.add(suffixes_of([view[e - n : e] for e, n in zip(ends[batch].tolist(), sizes[batch].tolist(), strict=True)]), own) < own
+        edge = np.cumsum(many) - many
+        head, tail = np.zeros(len(own) + 1, bool), np.zeros(len(own) + 1, bool)
+        head[edge] = tail[edge] = True  # runs end with their unit
+        begin = np.flatnonzero(earlier & (head[:-1] | ~np.concatenate([[False], earlier[:-1]])))
+        end = np.flatnonzero(earlier & (np.concatenate([tail[1:-1], [True]]) | ~np.concatenate([earlier[1:], [False]])))
+        k = np.repeat(np.arange(len(batch)), many)[begin]
+        base = firsts[batch][k] - edge[k]
+        out.append(np.stack([packets[batch][k], docs[batch][k], base + begin, base + end], axis=1))
+    return np.concatenate(out)
 
 
 def cut_spans(text: bytes, ranges: list[tuple[int, int]]) -> tuple[list[list[int]], bytes]:
@@ -284,26 +284,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 for k, v in {"shard": -1 - packet, "packet": packet, "docs": put[:, 0].tobytes(), "firsts": put[:, 1].astype("<i4").tobytes(), "grams": b"", "sizes": (put[:, 2] - put[:, 1] + LENGTH).astype("<i4").tobytes(), "data": b""}.items():
                     columns[k].append(v)
             for s, list_ in parts.items():
-                for k, v in {"shard": s, "packet": packet, "docs": np.array([e[0] for e in list_], "<i8").tobytes(), "firsts": np.array([e[1] for e in list_], "<i4").tobytes(), "grams": np.array([e[2] for e in list_], "<u8").tobytes(), "sizes": np.array([len(e[3]) for e in list_], "<i4").tobytes(), "data": b"".join(e[3] for e in list_)}.items():
+                for k, v in {"shard": s, "packet": packet, "docs": np.array([e[0] for e in list_], "<i8").tobytes(), "firsts": np.array([e[1] for e in list_], "<i4").tobytes(), "grams": np.array([e[2] for e in list_], "<u8").tobytes(), "sizes": np.array([len(e[3]) for e in list_], "<i4").tobytes(), "data": pa.compress(b"".join(e[3] for e in list_), "zstd", asbytes=True)}.items():
                     columns[k].append(v)
         return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "packet") else pa.binary()) for k, v in columns.items()})
 
     def verdicts(table: pa.Table) -> pa.Table:
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        every = []
-        for row in table.to_batches(max_chunksize=64):
-            for r in row.to_pylist():
-                docs_, firsts, sizes = (np.frombuffer(r[k], t).tolist() for k, t in (("docs", "<i8"), ("firsts", "<i4"), ("sizes", "<i4")))
-                if r["shard"] < 0:
-                    found.setdefault(r["packet"], []).extend((i, a, a + n - LENGTH) for i, a, n in zip(docs_, firsts, sizes, strict=True))
-                    continue
-                at, data = 0, r["data"]
-                for i, a, n, g in zip(docs_, firsts, sizes, np.frombuffer(r["grams"], "<u8").tolist(), strict=True):
-                    every.append((i, r["packet"], a, g, data[at : at + n]))
-                    at += n
-        for packet, i, a, b in settle(every):
-            found.setdefault(packet, []).append((i, a, b))
-        return pa.table({"packet": pa.array(list(found), pa.int32()), "ranges": pa.array([np.array(v, "<i8").tobytes() for v in found.values()], pa.binary())})
+        kinds = {"docs": "<i8", "firsts": "<i4", "grams": "<u8", "sizes": "<i4"}
+        lists = {k: [np.frombuffer(x, t) for x in table[k].to_pylist()] for k, t in kinds.items()}
+        packets = np.repeat(np.array(table["packet"].to_pylist(), np.int64), [len(x) for x in lists["docs"]])
+        docs_, firsts, grams_, sizes = (np.concatenate(lists[k]).astype(np.uint64 if k == "grams" else np.int64) for k in kinds)
+        if table["shard"][0].as_py() < 0:  # what a packet has settled
+            found = np.stack([packets, docs_, firsts, firsts + sizes - LENGTH], axis=1)
+        else:
+            data = b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(table["data"].to_pylist(), lists["sizes"], strict=True))
+            found = settle(docs_, packets, firsts, grams_, sizes, data)
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        some, at = np.unique(found[:, 0], return_index=True)
+        parts = np.split(found[:, 1:], at[1:]) if len(some) else []
+        return pa.table({"packet": pa.array(some, pa.int32()), "ranges": pa.array([np.ascontiguousarray(x, "<i8").tobytes() for x in parts], pa.binary())})
 
     ranges = rows.groupBy("packet").cogroup(replies.groupBy("packet")).applyInArrow(entries, "shard int, packet int, docs binary, firsts binary, grams binary, sizes binary, data binary")
     ranges = ranges.groupBy("shard").applyInArrow(verdicts, "packet int, ranges binary")
