@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,7 +46,7 @@ def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-@F.pandas_udf("lower double, upper double")
+@F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
 def beta_bounds(successes: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Equal-tailed 95 % bounds of a rate after a uniform prior."""
     a, b = successes.fillna(0).to_numpy(float) + 1, (n.fillna(0) - successes.fillna(0)).to_numpy(float) + 1

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import ATTEMPT_KINDS, ATTEMPTS, CONTENT, DURATION_SCOPES, IDENTIFIER_LENGTH, ORDER_SCOPES, TIME_SEMANTICS, VERSION
 from ..sources.projection import hashed
@@ -14,7 +15,7 @@ from ..sources.projection import hashed
 SAMPLES = 50
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import known_order, order_domain, wilson, within
 
 ITEM = ("source_namespace", "learner_id", "question_id")
-HITS = F.col("correct").cast("int")
+
+
+def hits() -> Column:
+    return F.col("correct").cast("int")
+
 
 
 def of_learner(attempts: DataFrame, learner: str | None) -> DataFrame:
@@ -26,7 +30,7 @@ def coverage(attempts: DataFrame) -> DataFrame:
     """One row: how many attempts, learners and questions there are, what is known of them, and accuracy with bounds."""
     row = attempts.agg(
         F.count("*").alias("n"),
-        F.coalesce(F.sum(HITS), F.lit(0)).alias("successes"),
+        F.coalesce(F.sum(hits()), F.lit(0)).alias("successes"),
         F.count_distinct("learner_id").alias("learners"),
         F.count_distinct("question_id").alias("questions"),
         F.count("timestamp").alias("timestamped"),
@@ -40,7 +44,7 @@ def coverage(attempts: DataFrame) -> DataFrame:
 def first_attempts(attempts: DataFrame) -> DataFrame:
     """One row: accuracy over each learner's first attempt at each question."""
     first = attempts.select(*ITEM, "timestamp", "source_sequence", "event_id", "correct").withColumn("rn", F.row_number().over(within(*ITEM))).where("rn = 1")
-    row = first.agg(F.count("*").alias("n"), F.coalesce(F.sum(HITS), F.lit(0)).alias("successes"))
+    row = first.agg(F.count("*").alias("n"), F.coalesce(F.sum(hits()), F.lit(0)).alias("successes"))
     return row.select("*", *[c.alias(k) for k, c in wilson(F.col("successes"), F.col("n")).items()])
 
 
@@ -85,7 +89,7 @@ def groups(attempts: DataFrame, dimension: str, learner: str | None = None, sear
         rows = rows.where(F.col(column).like(f"%{search}%"))
     out = rows.groupBy(F.col(column).alias("id")).agg(
         F.count("*").alias("n"),
-        F.sum(HITS).alias("successes"),
+        F.sum(hits()).alias("successes"),
         F.count_distinct("learner_id").alias("learners"),
         F.count_distinct("question_id").alias("questions"),
         F.count("duration_ms").alias("known_durations"),
@@ -112,7 +116,7 @@ def sessions(attempts: DataFrame, learner: str | None = None) -> DataFrame:
     spent = F.when(timed, F.col("duration_ms"))
     return rows.groupBy("source_namespace", "learner_id", "session_id").agg(
         F.count("*").alias("n"),
-        F.sum(HITS).alias("successes"),
+        F.sum(hits()).alias("successes"),
         F.count_distinct("question_id").alias("questions"),
         F.count_distinct("bundle_id").alias("bundles"),
         F.min("timestamp").alias("first_timestamp"),
@@ -139,7 +143,7 @@ def streaks(attempts: DataFrame, learner: str | None = None) -> DataFrame:
     rows = of_learner(attempts, learner).withColumn("domain", order_domain())
     keys = ("source_namespace", "learner_id", "domain")
     wrong = F.sum(F.when(F.col("correct"), 0).otherwise(1)).over(within(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    runs = rows.withColumn("wrong", wrong).groupBy(*keys, "wrong").agg(F.sum(HITS).alias("length"))
+    runs = rows.withColumn("wrong", wrong).groupBy(*keys, "wrong").agg(F.sum(hits()).alias("length"))
     return runs.groupBy(*keys).agg(F.max("length").alias("longest_correct_streak"))
 
 
@@ -160,7 +164,7 @@ def trend(attempts: DataFrame, learner: str, bins: int = 80, axis: str = "order"
             raise ValueError("the learner has several order domains; choose a question")
         rows = rows.withColumn("x", F.col("source_sequence").cast("double"))
     rows = rows.withColumn("bucket", F.ntile(bins).over(Window.partitionBy("learner_id").orderBy(*known_order())))
-    out = rows.groupBy("bucket").agg(F.min("x").alias("x_start"), F.max("x").alias("x_end"), F.count("*").alias("n"), F.sum(HITS).alias("successes"), F.min(HITS).alias("minimum"), F.max(HITS).alias("maximum"))
+    out = rows.groupBy("bucket").agg(F.min("x").alias("x_start"), F.max("x").alias("x_end"), F.count("*").alias("n"), F.sum(hits()).alias("successes"), F.min(hits()).alias("minimum"), F.max(hits()).alias("maximum"))
     return out.select("*", *[c.alias(k) for k, c in wilson(F.col("successes"), F.col("n")).items()])
 
 
@@ -168,7 +172,7 @@ def cohort_rows(attempts: DataFrame, learner: str, minimum_attempts: int = 20) -
     """Accuracy of each learner with enough attempts on the items that one learner has tried."""
     items = attempts.where(F.col("learner_id") == learner).select("source_namespace", "question_id").distinct()
     shared = attempts.join(items, ["source_namespace", "question_id"], "left_semi")
-    return shared.groupBy("learner_id").agg(F.count("*").alias("n"), F.avg(HITS).alias("accuracy"), F.count_distinct("question_id").alias("shared_items")).where(F.col("n") >= minimum_attempts)
+    return shared.groupBy("learner_id").agg(F.count("*").alias("n"), F.avg(hits()).alias("accuracy"), F.count_distinct("question_id").alias("shared_items")).where(F.col("n") >= minimum_attempts)
 
 
 def cohort_percentile(attempts: DataFrame, learner: str, minimum_attempts: int = 20) -> DataFrame:

@@ -47,7 +47,8 @@ class Store:
         self.root = Path(root)
         self.root.mkdir(parents=True, exist_ok=True)
         with self.transaction() as c:
-            c.executescript(TABLES)
+            for statement in filter(str.strip, TABLES.split(";")):
+                c.execute(statement)
 
     @contextmanager
     def transaction(self) -> Iterator[sqlite3.Connection]:

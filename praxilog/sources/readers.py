@@ -32,9 +32,15 @@ def numbered(lines: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(offsets), "part").withColumn("row", F.col("start") + F.col("inside") + 1).drop("part", "inside", "start")
 
 
+def strict_json(value: Column) -> Column:
+    """A JSON text as a variant; null also where anything follows it, which shows within brackets and braces."""
+    alone = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), value, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_parse_json(value))
+
+
 def _judged(rows: DataFrame, value: Column) -> DataFrame:
     """Records of JSON texts: too long, not JSON or not an object are errors."""
-    parsed = F.try_parse_json(value)
+    parsed = strict_json(value)
     long = F.octet_length(value) > MOST_BYTES
     error = F.when(long, "longer than the byte bound").when(value.contains("�"), "not valid UTF-8").when(parsed.isNull(), "not valid JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not a JSON object")
     return rows.select("row", F.when(error.isNull(), value).alias("value"), error.alias("error"))
@@ -48,7 +54,7 @@ def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """A record for each item of a JSON array that is the whole file; anything else raises."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(strict_json(F.col("value")).alias("v"))
     if whole.where(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v"), F.lit("")).startswith("ARRAY")).limit(1).count():
         raise ValueError("the file isn't one JSON array")
     items = whole.select(F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("pos", "item"))
@@ -113,7 +119,7 @@ def read_legacy(spark: SparkSession, path: str, learner: str = "local-learner")
     kind = "map<string, struct<attempts: array<struct<id: variant, correct: variant>>>>"
     whole = spark.read.text(path, wholetext=True)
     inner = F.coalesce(F.get_json_object("value", "$.LocalSubmissions"), F.col("value"))
-    if whole.where(F.try_parse_json("value").isNull()).limit(1).count():
+    if whole.where(strict_json(F.col("value")).isNull()).limit(1).count():
         raise ValueError("the file isn't JSON")
     rows = whole.select(F.posexplode(F.map_entries(F.from_json(inner, kind))).alias("q", "e")).select("q", F.col("e.key").alias("question"), F.posexplode("e.value.attempts").alias("pos", "a"))
     own = F.when(F.schema_of_variant("a.id") == "STRING", F.trim(F.variant_get("a.id", "$", "string")))

@@ -243,7 +243,7 @@ def test_csv_guard(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = table(spark, [{"timestamp": 10 * i, "time_semantics": "real", "correct": i % 2 == 0} for i in range(6)])
+    rows = table(spark, [{"timestamp": 1440 + 10 * i, "time_semantics": "real", "correct": i % 2 == 0} for i in range(6)])
     rows.union(rows).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for name, out, mode in (("once", live.without_repeats(stream), "append"), ("windows", live.accuracy_by_window(stream), "complete")):
