@@ -29,6 +29,8 @@ UNITS, WIDTH, ATTENTION = 8, 16, 8
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 12
 #: Words whose inputs a task keeps at most; it starts anew beyond.
 CACHED_WORDS = 200_000
+#: Steps that a fit takes at least.
+LEAST_STEPS = 450
 #: Windows that go through the network at once.
 LANES = 512
 
@@ -208,13 +210,15 @@ def split(text: str) -> list[bytes]:
 
 
 def fit(documents: list[str], toxic: list[int], rounds: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Network | None:
-    """A network fitted on labelled texts, or None if either class is missing."""
+    """A network fitted on labelled texts, or None if either class or any word is missing."""
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max():
         return None
     net, rng = Network.new(seed), np.random.default_rng(seed)
     words = [split(t) for t in documents]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))} or {b"": 0}
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))}
+    if not vocabulary:
+        return None
     own, grams, starts = word_hashes(list(vocabulary))
     sizes = np.diff(np.append(starts, len(grams)))
     ids = [[vocabulary[w] for w in part] for part in words]
@@ -223,7 +227,7 @@ def fit(documents: list[str], toxic: list[int], rounds: int = 10, batch: int = 6
     first = np.cumsum([0, *map(len, spans)])[:-1]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in vars(net).items()}
     step = 0
-    for turn in range(rounds):
+    for turn in range(max(rounds, LEAST_STEPS * batch // len(words))):  # small samples go round more often
         table = (net.word[own] + np.add.reduceat(net.gram[grams], starts, axis=0) / sizes[:, None]) @ net.enter + net.bias
         if turn:  # the window that scores highest now; at first a random one
             logits = logits_of(net, table, [w for _, w in every])
