@@ -29,6 +29,8 @@ UNITS, WIDTH, ATTENTION = 8, 16, 8
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 12
 #: Words whose inputs a task keeps at most; it starts anew beyond.
 CACHED_WORDS = 200_000
+#: Sampled texts that a word must be in to have a vector of its own; rarer words have their characters only.
+COMMON = 6
 #: Steps that a fit takes at least.
 LEAST_STEPS = 450
 #: Windows that go through the network at once.
@@ -48,12 +50,13 @@ class Network:
     weigh: np.ndarray  # ATTENTION
     out: np.ndarray  # 2 * UNITS
     base: np.ndarray  # 1
+    common: np.ndarray  # WORD_ROWS; which rows of ``word`` words that several texts share have; others have row 0
 
     @classmethod
     def new(cls, seed: int = 0) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-        return cls(draw(0.1, WORD_ROWS, WIDTH), draw(0.1, GRAM_ROWS, WIDTH), draw(0.3, WIDTH, 6 * UNITS), np.zeros(6 * UNITS, np.float32), draw(0.3, 2, UNITS, 3 * UNITS), draw(0.3, 2 * UNITS, ATTENTION), draw(0.3, ATTENTION), draw(0.3, 2 * UNITS), np.zeros(1, np.float32))
+        return cls(draw(0.1, WORD_ROWS, WIDTH), draw(0.1, GRAM_ROWS, WIDTH), draw(0.3, WIDTH, 6 * UNITS), np.zeros(6 * UNITS, np.float32), draw(0.3, 2, UNITS, 3 * UNITS), draw(0.3, 2 * UNITS, ATTENTION), draw(0.3, ATTENTION), draw(0.3, 2 * UNITS), np.zeros(1, np.float32), np.ones(WORD_ROWS, bool))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,7 +80,7 @@ def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def inputs(net: Network, words: list[bytes]) -> np.ndarray:
     own, grams, starts = word_hashes(words)
     sizes = np.diff(np.append(starts, len(grams)))
-    return net.word[own] + np.add.reduceat(net.gram[grams], starts, axis=0) / sizes[:, None]
+    return net.word[np.where(net.common[own], own, 0)] + np.add.reduceat(net.gram[grams], starts, axis=0) / sizes[:, None]
 
 
 def cut_windows(n: int) -> list[tuple[int, int]]:
@@ -220,12 +223,18 @@ def fit(documents: list[str], toxic: list[int], rounds: int = 10, batch: int = 6
     if not vocabulary:
         return None
     own, grams, starts = word_hashes(list(vocabulary))
+    texts_of = np.zeros(len(vocabulary), np.int64)
+    for part in words:
+        texts_of[[vocabulary[w] for w in set(part)]] += 1
+    net.common[:] = False
+    net.common[own[texts_of >= COMMON]] = True
+    own = np.where(net.common[own], own, 0)
     sizes = np.diff(np.append(starts, len(grams)))
     ids = [[vocabulary[w] for w in part] for part in words]
     spans = [cut_windows(len(part)) for part in ids]
     every = [(d, part[a:b]) for d, part in enumerate(ids) for a, b in spans[d]]
     first = np.cumsum([0, *map(len, spans)])[:-1]
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in vars(net).items()}
+    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in vars(net).items() if v.dtype == np.float32}
     step = 0
     for turn in range(max(rounds, LEAST_STEPS * batch // len(words))):  # small samples go round more often
         table = (net.word[own] + np.add.reduceat(net.gram[grams], starts, axis=0) / sizes[:, None]) @ net.enter + net.bias
