@@ -28,7 +28,7 @@ SEED = 7
 WAYS = 4
 #: Words that a task keeps in each of two generations, over all ways; beyond, the older one goes.
 CACHED_WORDS = 300_000
-#: Symbols from which on the agenda is a heap.
+#: Symbols from which on a word has a heap of its own as its agenda; shorter ones are merged together.
 LONG = 24
 NEVER = 1 << 60
 _MASK = (1 << 64) - 1
@@ -61,9 +61,18 @@ class PieceCodec:
         self.plain = [own.id_to_piece(i).replace(MARK, " ").encode() if not kinds[i] else b"" for i in range(n)]
         for b, i in enumerate(self.bytes_):
             self.plain[i] = bytes([b])
+        self.simple = re.compile("[" + "".join(map(re.escape, (p for p in self.ids if len(p) == 1))) + "]+").fullmatch
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         newline = any("\n" in p for p in self.ids)
         self.split = re.compile(r".+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+" if newline else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", re.S).findall
+        self.by_id = np.full(n, NEVER, np.int64)
+        self.by_id[[self.ids[p] for p in self.rank]] = list(self.rank.values())
+        pairs = sorted((self.ids[p[:k]] * n + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        self.n, self.pairs, self.wholes = n, np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
         self.known: list[dict[str, bytes]] = [{} for _ in range(WAYS)]
         self.older = self.known
 
@@ -122,28 +131,103 @@ class PieceCodec:
                 out += [self.bytes_[b] for b in p.encode("utf-8", "surrogatepass")]
         return array("i", out).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """Piece numbers; a mark in the text itself becomes its bytes, so that decoding gives it back."""
-        if not text:
-            return np.zeros(0, "<i4")
+    def merged_together(self, words: list[str], keys: list[int]) -> list[bytes]:
+        """Numbers of many words at once, in step: each step takes every word's best candidate from its agenda.
+
+        The words' characters must all be pieces. Words of like length should come together.
+        """
+        width, rows = max(map(len, words)), np.arange(len(words))
+        flat = self.of_char[np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), "<u4")].astype(np.int64)
+        sizes = np.array([len(w) for w in words])
+        column = np.tile(np.arange(width), len(words))
+        base = np.repeat(rows * width, width)
+        alive = column < np.repeat(sizes, width)
+        after = np.where(column + 1 < np.repeat(sizes, width), base + column + 1, -1)
+        before = np.where((column > 0) & alive, base + column - 1, -1)
+        ranks, wholes = np.full(len(flat), NEVER), np.zeros(len(flat), np.int64)
+
+        def offer(at: np.ndarray) -> None:
+            """Puts the candidates that begin at these symbols on the agenda."""
+            at = at[at >= 0]
+            ranks[at] = NEVER
+            at = at[after[at] >= 0]
+            pair = flat[at] * self.n + flat[after[at]]
+            found = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            real = self.pairs[found] == pair
+            at, whole = at[real], self.wholes[found[real]]
+            ranks[at], wholes[at] = self.by_id[whole], whole
+
+        offer(np.flatnonzero(alive))
+        key = np.array(keys, np.uint64)
+        table = ranks.reshape(len(words), width)
+        while len(rows):
+            at = rows * width + table[rows].argmin(axis=1)
+            going = ranks[at] < NEVER
+            rows, at = rows[going], at[going]
+            if not len(rows):
+                break
+            if self.dropped:
+                x = key[rows] ^ column[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ranks[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                x *= np.uint64(0xBF58476D1CE4E5B9)
+                drop = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)) < self.dropped
+                ranks[at[drop]] = NEVER
+                at = at[~drop]
+            gone = after[at]
+            flat[at] = wholes[at]
+            alive[gone], ranks[gone] = False, NEVER
+            after[at] = after[gone]
+            right = after[at] >= 0
+            before[after[at][right]] = at[right]
+            offer(at)
+            offer(before[at])
+        numbers, ends = flat[alive].astype("<i4").tobytes(), np.cumsum(alive.reshape(len(words), width).sum(axis=1)).tolist()
+        return [numbers[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, new: list[tuple[str, int]]) -> None:
+        """Encodes words by their ways and keeps them."""
+        key = lambda word, way: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * WAYS + way)
+        new.sort(key=lambda x: len(x[0]))
+        together: list[tuple[str, int]] = []
+        for word, way in new:
+            if len(word) < LONG and self.simple(word) is not None:
+                together.append((word, way))
+            else:
+                self.known[way][word] = self.numbers(self.merged(word, key(word, way)))
+        for start in range(0, len(together), 20_000):
+            part = together[start : start + 20_000]
+            for (word, way), numbers in zip(part, self.merged_together([w for w, _ in part], [key(*x) for x in part]), strict=True):
+                self.known[way][word] = numbers
+
+    def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
+        """Piece numbers of texts; a mark in a text itself becomes its bytes, so that decoding gives it back."""
         if sum(map(len, self.known)) > CACHED_WORDS:
             self.older, self.known = self.known, [{} for _ in range(WAYS)]
-        own = np.array([self.bytes_[b] for b in MARK.encode()], "<i4").tobytes()
-        out: list[bytes] = []
         known, older = self.known, self.older
-        key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out.append(own)
-            words = self.split((MARK if not k else "") + part.replace(" ", MARK))
-            ways = self.ways(key + k, len(words))
-            for w, word in zip(ways, words, strict=True):
-                if (numbers := known[w].get(word)) is None:
-                    if (numbers := older[w].get(word)) is None:
-                        numbers = self.numbers(self.merged(word, xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * WAYS + w)))
-                    known[w][word] = numbers
-                out.append(numbers)
-        return np.frombuffer(b"".join(out), "<i4")
+        own = np.array([self.bytes_[b] for b in MARK.encode()], "<i4").tobytes()
+        parts: list[list[tuple[list[int], list[str]]]] = []
+        new: dict[tuple[str, int], None] = {}
+        for text in texts_:
+            key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+            parts.append([])
+            for k, part in enumerate(text.split(MARK) if text else ()):
+                words = self.split((MARK if not k else "") + part.replace(" ", MARK))
+                ways = self.ways(key + k, len(words))
+                parts[-1].append((ways, words))
+                for way, word in zip(ways, words):  # noqa: B905
+                    if word not in known[way]:
+                        if (numbers := older[way].get(word)) is None:
+                            new[word, way] = None
+                        else:
+                            known[way][word] = numbers
+        self.learn(list(new))
+        out = []
+        for own_parts in parts:
+            numbers = [b"".join([known[way][word] for way, word in zip(*p)]) for p in own_parts]  # noqa: B905
+            out.append(np.frombuffer(own.join(numbers), "<i4"))
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def ways(self, key: int, n: int) -> list[int]:
         if not self.dropped:
@@ -169,7 +253,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: dict[str, Co
         codec = PieceCodec(sent.value, dropout, seed)
         for b in steps(batches, "__text"):
             own = texts(b, "__text")
-            numbers = [codec.encode(t) for t in own]
+            numbers = codec.encode_all(own)
             sizes = [len(n) for n in numbers]
             flat = np.concatenate(numbers) if numbers else np.zeros(0, "<i4")
             pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))

@@ -75,11 +75,15 @@ def test_pieces_are_the_librarys_without_dropout_and_lossless_with(docs, no_docs
     assert pieces.encode(no_docs, model).count() == 0
 
 
-def test_both_agendas_merge_alike(monkeypatch):
+def test_all_agendas_merge_alike():
     model = queries.tokenizer_file("piece_bpe_32k.model")
-    words = ["▁the", "▁bridges", "aaaaaaaaaaaa", "▁1234567", "▁señorías"]
+    words = ["▁the", "▁bridges", "aaaaaaaaaaaa", "▁1234567", "▁señorías", "x", "▁", "▁▁▁a"]
     codec = pieces.PieceCodec(model, 0.3)
-    assert all(codec.merged_long(w, k) == codec.merged(w, k) for w in words for k in range(40))
+    for k in range(60):
+        keys = [k * 7919 + i for i in range(len(words))]
+        one = [codec.merged(w, x) for w, x in zip(words, keys)]
+        assert one == [codec.merged_long(w, x) for w, x in zip(words, keys)]
+        assert [codec.numbers(p) for p in one] == codec.merged_together(words, keys)
 
 
 def test_token_counts_and_their_cache(spark, docs, no_docs, rows):
