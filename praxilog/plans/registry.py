@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import csv_guarded, known_order, z_value
 from ..models import baselines, bkt, hierarchical, irt
-from ..operators import ingest, integrity, metrics, overview, planner, simulation, splits, units
+from ..operators import experiment, ingest, integrity, metrics, overview, planner, simulation, splits, units
 from ..sources.projection import attempts_from_events
 from ..sources.workload import workload
 
@@ -256,7 +256,12 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.import_counts(rows).select("received", "accepted", "duplicates", "conflicts", "rejected")
 
 
+def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(experiment.report(experiment.run(attempts(spark, sf_dir), ("global", "item_prior", "recent", "hierarchical", "logistic"))), 6)
+
+
 QUERIES |= {
+    "e1_experiment": _experiment,
     "m9_knowledge_tracing": _knowledge,
     "m12_item_response": _items,
     "in4_import_counts": _imported,

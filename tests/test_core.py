@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from praxilog.functions.expressions import csv_guarded, csv_unguarded, wilson
 from praxilog.functions.numeric import beta_quantile
 from praxilog.models import baselines, bkt, hierarchical, irt
-from praxilog.operators import ingest, integrity, metrics, overview, planner, simulation, splits, units
+from praxilog.operators import experiment, ingest, integrity, metrics, overview, planner, simulation, splits, units
 from praxilog.plans.store import Store, export
 from praxilog.schema import ATTEMPTS, CONTENT
-from praxilog.sources import readers, workload
+from praxilog.sources import readers, tutoring, workload
 from praxilog.streaming import live
 
 BASE = {"schema_version": "attempt/1", "source_namespace": "t", "learner_id": "a", "question_id": "q", "skills": ["s1"], "correct": True, "attempt_kind": "practice", "timestamp": None, "duration_ms": None, "session_id": None, "bundle_id": None, "order_scope": "learner", "time_semantics": "unknown", "duration_scope": "unknown"}
@@ -250,3 +250,31 @@ def test_streams(spark, tmp_path):
         q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert spark.table("once").count() == 6 and spark.table("windows").first().n == 12
+
+
+def test_experiment(spark):
+    demo = workload.demo_attempts(spark, 16, 40).cache()
+    made = experiment.run(demo, ("global", "item_prior", "recent", "logistic", "bkt")).cache()
+    assert made.where("probability is null or calibrated is null").count() == 0
+    counts = {r["count"] for r in made.groupBy("model").count().collect()}
+    assert len(counts) == 1
+    saved = experiment.report(made).cache()
+    assert saved.count() == 10 and experiment.recomputed(made, saved).count() == 0
+    assert experiment.compare(made, "logistic", "global").first().difference_lower is not None
+    assert experiment.inspect(made, "bkt", "error", limit=5).count() == 5
+
+
+def test_tutoring_logs(spark, tmp_path):
+    (tmp_path / "questions.csv").write_text("question_id,bundle_id,explanation_id,correct_answer,part,tags,deployed_at\nq1,b1,e1,b,1,2;1;-1,0\nq2,b1,e1,A,1,-1,0\n")
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for u in range(4):
+        (logs / f"u{u}.csv").write_text("timestamp,solving_id,question_id,user_answer,elapsed_time\n" + "".join(f"{1000 * k},{k},q{1 + k % 3},b,{500}\n" for k in range(9)))
+    table = tutoring.questions(spark, str(tmp_path / "questions.csv"))
+    rows = tutoring.attempts_from_logs(tutoring.logs(spark, str(logs)), table)
+    assert rows.count() == 24 and rows.where("correct").count() == 12 and table.where("question_id = 'q1'").first().skills == ["ednet:1", "ednet:2"]
+    kept = tutoring.whole_learners(rows, 7, 2)
+    assert kept.select("learner_id").distinct().count() == 2 and kept.count() == 12
+    (tmp_path / "questions.csv").write_text("question_id,bundle_id,correct_answer,tags\nq1,b,x,1\n")
+    with pytest.raises(ValueError):
+        tutoring.questions(spark, str(tmp_path / "questions.csv"))
