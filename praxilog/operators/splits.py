@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DOMAIN
+from ..functions.ranks import ranked
 from .units import units
 
 RANKS = ("train", "validation", "test")
@@ -57,11 +58,10 @@ def learner_split(attempts: DataFrame, train: float = 0.6, validation: float = 0
     a = max(1, int(n * train))
     b = min(n - 1, max(a + 1, int(n * (train + validation))))
     key = F.xxhash64(F.lit(int(np.random.default_rng(seed).integers(1 << 62))), "source_namespace", "learner_id")
-    keyed = learners.withColumn("key", key)
-    cuts = keyed.orderBy("key").limit(b).agg(F.max(F.when(F.lit(True), F.col("key"))).alias("b")).first()[0]
-    first = keyed.orderBy("key").limit(a).agg(F.max("key")).first()[0]
-    part = F.when(F.col("key") <= first, "train").when(F.col("key") <= cuts, "validation").otherwise("test")
-    return attempts.join(keyed.select("source_namespace", "learner_id", part.alias("part")), ["source_namespace", "learner_id"]).select("source_namespace", "learner_id", "event_id", "part")
+    rank = F.col("rank")
+    part = F.when(rank < a, "train").when(rank < b, "validation").otherwise("test")
+    parts = ranked(learners.withColumn("key", key), "key").select("source_namespace", "learner_id", part.alias("part"))
+    return attempts.join(parts, ["source_namespace", "learner_id"]).select("source_namespace", "learner_id", "event_id", "part")
 
 
 def audit_split(attempts: DataFrame, split: DataFrame) -> DataFrame:

@@ -127,14 +127,7 @@ def read_legacy(spark: SparkSession, path: str, learner: str = "local-learner")
     name = F.when(stable, own).otherwise(F.concat(F.lit("position:"), "pos"))
     event = F.sha2(F.to_json(F.array(F.lit(learner), F.col("question"), name)), 256)
     value = F.to_json(F.struct(event.alias("event_id"), F.lit(learner).alias("learner_id"), F.col("question").alias("question_id"), F.array().cast("array<string>").alias("skills"), F.col("a.correct").alias("correct"), F.col("pos").cast("long").alias("source_sequence"), F.lit("question").alias("order_scope")))
-    out = rows.select(value.alias("value"), F.lit(None).cast("string").alias("error"), F.row_number().over(_one("q", "pos")).cast("long").alias("row"))
-    return out.select("row", "value", "error")
-
-
-def _one(*order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(*order)
+    return numbered(rows.select(value.alias("value"), F.lit(None).cast("string").alias("error"))).select("row", "value", "error")
 
 
 READERS = {"ndjson": read_ndjson, "json": read_json_array, "csv": read_csv, "parquet": read_parquet, "legacy": read_legacy}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..schema import VERSION
 
 QUESTIONS = "question_id string, bundle_id string, explanation_id string, correct_answer string, part string, tags string, deployed_at string"
@@ -40,17 +41,8 @@ def attempts_from_logs(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def whole_learners(attempts: DataFrame, interactions: int, learners: int, sessions: int = 5, seed: int = 0) -> DataFrame:
-    """Whole learners with enough sessions, in a seeded order, until both numbers are reached.
-
-    Learners are ordered by a hash cut into ranges, so the running totals are added up by
-    range and within it, never over all learners in one task.
-    """
+    """Whole learners with enough sessions, in a seeded order, until both numbers are reached."""
     each = attempts.groupBy("learner_id").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions")).where(F.col("sessions") >= sessions)
-    each = each.withColumn("key", F.xxhash64(F.lit(seed), "learner_id")).withColumn("range", F.shiftright("key", 54))
-    inside = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    totals = each.groupBy("range").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 1024 ranges
-    totals = totals.select("range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rn"), F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("rm"))
-    each = each.withColumn("bn", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("bm", F.count("n").over(inside)).join(totals, "range")
-    chosen = each.where((F.col("rn") + F.col("bn") < interactions) | (F.col("rm") + F.col("bm") < learners)).select("learner_id")
+    each = ranked(each.withColumn("key", F.xxhash64(F.lit(seed), "learner_id")), "key", "n")
+    chosen = each.where((F.col("before") < interactions) | (F.col("rank") < learners)).select("learner_id")
     return attempts.join(chosen, "learner_id", "left_semi")
