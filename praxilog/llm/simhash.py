@@ -149,4 +149,4 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rad
     """
     found = near_duplicates(docs, text, doc_id, radius)
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs[doc_id] == F.col("__gone"), "left_anti")
+    return docs.join(dropped, docs[doc_id] == dropped["__gone"], "left_anti")
