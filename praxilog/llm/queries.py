@@ -77,7 +77,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items.item").alias("item_ids"), F.coalesce(F.array_max("items.similarity"), F.lit(0.0)).alias("similarity"))
+    return found.select("doc_id", F.explode("items").alias("found")).select("doc_id", F.col("found.item").alias("item_id"), "found.similarity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
