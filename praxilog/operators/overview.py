@@ -177,9 +177,12 @@ def cohort_rows(attempts: DataFrame, learner: str, minimum_attempts: int = 20) -
 
 def cohort_percentile(attempts: DataFrame, learner: str, minimum_attempts: int = 20) -> DataFrame:
     """One row: the learner's mid-rank percentile among peers with at least two and half of its items; none without peers."""
-    rows = cohort_rows(attempts, learner, minimum_attempts)
-    items = attempts.where(F.col("learner_id") == learner).agg(F.count_distinct("question_id").alias("target_items"))
-    target = rows.where(F.col("learner_id") == learner).select(F.col("accuracy").alias("own"), F.col("n").alias("target_attempts")).join(items)
-    peers = rows.where(F.col("learner_id") != learner).join(target).where(F.col("shared_items") >= F.greatest(F.lit(2.0), F.col("target_items") * 0.5))
-    out = peers.groupBy("own", "target_attempts", "target_items").agg(F.count("*").alias("peers"), (100 * (F.count_if(F.col("accuracy") < F.col("own")) + 0.5 * F.count_if(F.col("accuracy") == F.col("own"))) / F.count("*")).alias("percentile"))
-    return out.select("percentile", F.col("peers").alias("eligible_peers"), "target_attempts", "target_items")
+    rows = cohort_rows(attempts, learner, minimum_attempts).cache()
+    own = rows.where(F.col("learner_id") == learner).first()
+    items = attempts.where(F.col("learner_id") == learner).agg(F.count_distinct("question_id")).first()[0]
+    accuracy, tries = (own["accuracy"], own["n"]) if own else (None, None)
+    peers = rows.where((F.col("learner_id") != learner) & (F.col("shared_items") >= max(2.0, items * 0.5)) & F.lit(own is not None))
+    mine = F.lit(accuracy).cast("double")
+    below = F.count_if(F.col("accuracy") < mine) + 0.5 * F.count_if(F.col("accuracy") == mine)
+    out = peers.agg((100 * below / F.nullif(F.count("*"), F.lit(0))).alias("percentile"), F.count("*").alias("eligible_peers"), F.lit(tries).cast("long").alias("target_attempts"), F.lit(items).cast("long").alias("target_items"))
+    return out.where("eligible_peers > 0")
