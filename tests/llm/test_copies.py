@@ -88,7 +88,7 @@ def plain_distance(a, b):
 
 
 def plain_removed(spark, rows):
-    lines = [(-1 if i is None else i, p, line.strip(" ").lower()) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" ")]
+    lines = [(-1 if i is None else i, p, re.sub("[\t\x0b\f\r]", " ", line).strip(" ").lower()) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" \t\x0b\f\r")]
     norms = sorted({n for _, _, n in lines})
     hashed = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in {w for n in norms for w in re.findall(r"[^\x20\x09-\x0D]+", n)}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     prints = {}
@@ -204,3 +204,18 @@ def test_benchmark_items(spark, docs, no_docs):
     left = decontam.without_benchmark(docs, table)
     assert left.columns == docs.columns and left.count() == sum(not plain(r.text) for r in docs.collect())
     assert decontam.matches(no_docs, table).count() == 0 and decontam.without_benchmark(docs, table.limit(0)).count() == docs.count()
+
+
+def test_similarity_is_that_of_the_distance(spark):
+    r = np.random.default_rng(5)
+    pairs = []
+    for k in range(250):
+        a = "".join(r.choice(list("abé 中 "), int(r.integers(0, 40))))
+        b = list(a)
+        for _ in range(int(r.integers(0, 9))):
+            at, kind = int(r.integers(0, len(b) + 1)), int(r.integers(0, 3))
+            b[at : at + (kind > 0)] = [] if kind == 1 else [str(r.choice(list("abé ")))]
+        pairs.append((k, a, "".join(b)))
+    pairs += [(1000, "", ""), (1001, "", "a"), (1002, prose(1, 60), changed(prose(1, 60), 2, 3)), (1003, prose(1, 60), prose(2, 60))]
+    got = {x.k: x.s for x in spark.createDataFrame(pairs, "k int, a string, b string").select("k", linededup.similar(F.col("a"), F.col("b"), 0.8).alias("s")).collect()}
+    assert got == {k: plain_distance(a, b) <= int(max(len(a), len(b)) * (1 - 0.8) + 1e-9) for k, a, b in pairs}
