@@ -280,7 +280,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, most[y] / n))).otherwise(share)
     own = own.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= chars)).join(own, "i").select("i", "t", "y").collect()
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= chars)).join(F.broadcast(own), "i").select("i", "t", "y").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], [r[2] for r in rows]
 
