@@ -41,7 +41,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(table(spark, sf_dir, "documents"))
+    return linededup.line_report(table(spark, sf_dir, "documents"), wide=True)
 
 
 def toxic_network(docs: DataFrame, labels: DataFrame) -> toxicity.Network | None:
