@@ -3,7 +3,10 @@
 Pieces are built by merges of the best score first, from the agenda of all neighbouring
 pairs. Each candidate that the agenda offers is skipped with a given probability, by a
 keyed hash, so that the same seed gives the same pieces anywhere and other seeds give other
-ones. Merges cannot cross word starts, so texts are encoded word by word.
+ones. Merges cannot cross word starts, so texts are encoded word by word: each occurrence of
+a word has a key of its own, by the seed, its text and its place. Tasks keep words' plain
+merges; an occurrence whose key skips none of them has the plain pieces, any other is encoded
+by its key.
 """
 
 from __future__ import annotations
@@ -24,9 +27,7 @@ from .common import added, steps, texts
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 7
-#: A word is encoded in one of so many ways, by the keyed hash of its text and place, which lets tasks reuse them.
-WAYS = 4
-#: Words that a task keeps in each of two generations, over all ways; beyond, the older one goes.
+#: Words of which a task keeps the plain merges; beyond, it starts anew.
 CACHED_WORDS = 300_000
 #: Symbols from which on a word has a heap of its own as its agenda; shorter ones are merged together.
 LONG = 24
@@ -73,19 +74,28 @@ class PieceCodec:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
-        self.known: list[dict[str, bytes]] = [{} for _ in range(WAYS)]
-        self.older = self.known
-
-    def merged(self, word: str, key: int) -> list[str]:
-        """Pieces of a word; symbols that no piece has stay as they are."""
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words' plain merges: their pieces, and the place and rank of each merge, ``counts`` of them from ``starts`` on."""
+        self.known: dict[str, int] = {}
+        self.made: list[bytes] = []
+        self.easy: list[bool] = []
+        self.starts = self.counts = self.places = np.zeros(0, np.int64)
+        self.ranks = self.places
+
+    def merged(self, word: str, key: int, trace: list[tuple[int, int]] | None = None) -> list[str]:
+        """Pieces of a word; symbols that no piece has stay as they are. With a ``trace``, none is skipped and it gets each merge's place and rank."""
         if len(word) >= LONG:
-            return self.merged_long(word, key)
+            return self.merged_long(word, key, trace)
         rank, dropped = self.rank.get, self.dropped
         parts, places = list(word), list(range(len(word)))
         agenda = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while agenda and (best := min(agenda)) < NEVER:
             i = agenda.index(best)
-            if dropped and skips(key, places[i], best) < dropped:
+            if trace is not None:
+                trace.append((places[i], best))
+            elif dropped and skips(key, places[i], best) < dropped:
                 agenda[i] = NEVER
                 continue
             whole = parts[i] = parts[i] + parts.pop(i + 1)
@@ -96,7 +106,7 @@ class PieceCodec:
                 agenda[i - 1] = rank(parts[i - 1] + whole, NEVER)
         return parts
 
-    def merged_long(self, word: str, key: int) -> list[str]:
+    def merged_long(self, word: str, key: int, trace: list[tuple[int, int]] | None = None) -> list[str]:
         """The same by a heap."""
         rank, dropped = self.rank.get, self.dropped
         n = len(word)
@@ -109,7 +119,9 @@ class PieceCodec:
             j = right[i]
             if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size or rank(parts[i] + parts[j]) != r:
                 continue
-            if dropped and skips(key, i, r) < dropped:
+            if trace is not None:
+                trace.append((i, r))
+            elif dropped and skips(key, i, r) < dropped:
                 continue
             parts[i] += parts[j]
             parts[j] = ""
@@ -131,7 +143,7 @@ class PieceCodec:
                 out += [self.bytes_[b] for b in p.encode("utf-8", "surrogatepass")]
         return array("i", out).tobytes()
 
-    def merged_together(self, words: list[str], keys: list[int]) -> list[bytes]:
+    def merged_together(self, words: list[str], keys: list[int], trace: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
         """Numbers of many words at once, in step: each step takes every word's best candidate from its agenda.
 
         The words' characters must all be pieces. Words of like length should come together.
@@ -166,7 +178,9 @@ class PieceCodec:
             rows, at = rows[going], at[going]
             if not len(rows):
                 break
-            if self.dropped:
+            if trace is not None:
+                trace.append((rows, column[at], ranks[at]))
+            elif self.dropped:
                 x = key[rows] ^ column[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ranks[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                 x *= np.uint64(0xBF58476D1CE4E5B9)
                 drop = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)) < self.dropped
@@ -183,57 +197,90 @@ class PieceCodec:
         numbers, ends = flat[alive].astype("<i4").tobytes(), np.cumsum(alive.reshape(len(words), width).sum(axis=1)).tolist()
         return [numbers[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def learn(self, new: list[tuple[str, int]]) -> None:
-        """Encodes words by their ways and keeps them."""
-        key = lambda word, way: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * WAYS + way)
-        new.sort(key=lambda x: len(x[0]))
-        together: list[tuple[str, int]] = []
-        for word, way in new:
-            if len(word) < LONG and self.simple(word) is not None:
-                together.append((word, way))
-            else:
-                self.known[way][word] = self.numbers(self.merged(word, key(word, way)))
-        for start in range(0, len(together), 20_000):
-            part = together[start : start + 20_000]
-            for (word, way), numbers in zip(part, self.merged_together([w for w, _ in part], [key(*x) for x in part]), strict=True):
-                self.known[way][word] = numbers
+    def learn(self, new: list[str]) -> None:
+        """Keeps the plain merges of words."""
+        new.sort(key=len)
+        easy = [len(w) < LONG and self.simple(w) is not None for w in new]
+        places, ranks, counts = [self.places], [self.ranks], []
+        for flag in (True, False):
+            chosen = [w for w, e in zip(new, easy, strict=True) if e is flag]
+            for start in range(0, len(chosen), 20_000):
+                part = chosen[start : start + 20_000]
+                if flag:
+                    steps_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                    self.made += self.merged_together(part, [0] * len(part), steps_)
+                    row, place, rank = (np.concatenate([t[k] for t in steps_] or [np.zeros(0, np.int64)]) for k in range(3))
+                    order = np.argsort(row, kind="stable")
+                    places.append(place[order])
+                    ranks.append(rank[order])
+                    counts.append(np.bincount(row, minlength=len(part)))
+                else:
+                    for word in part:
+                        trace: list[tuple[int, int]] = []
+                        self.made.append(self.numbers(self.merged(word, 0, trace)))
+                        own = np.array(trace, np.int64).reshape(-1, 2)
+                        places.append(own[:, 0])
+                        ranks.append(own[:, 1])
+                        counts.append(np.array([len(own)]))
+            for word in chosen:
+                self.known[word] = len(self.known)
+            self.easy += [flag] * len(chosen)
+        self.places, self.ranks = np.concatenate(places), np.concatenate(ranks)
+        self.counts = np.concatenate([self.counts, *counts])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def skipping(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences of words skip one of their plain merges or more; the others' pieces are the plain ones."""
+        counts = self.counts[ids]
+        owner = np.repeat(np.arange(len(ids)), counts)
+        at = np.arange(len(owner)) + np.repeat(self.starts[ids] - (np.cumsum(counts) - counts), counts)
+        x = keys[owner] ^ self.places[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.ranks[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        drop = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)) < self.dropped
+        return np.flatnonzero(np.bincount(owner[drop], minlength=len(ids)))
 
     def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
         """Piece numbers of texts; a mark in a text itself becomes its bytes, so that decoding gives it back."""
-        if sum(map(len, self.known)) > CACHED_WORDS:
-            self.older, self.known = self.known, [{} for _ in range(WAYS)]
-        known, older = self.known, self.older
+        if len(self.known) > CACHED_WORDS:
+            self.forget()
         own = np.array([self.bytes_[b] for b in MARK.encode()], "<i4").tobytes()
-        parts: list[list[tuple[list[int], list[str]]]] = []
-        new: dict[tuple[str, int], None] = {}
+        words: list[str] = []
+        ends: list[list[int]] = []
+        keys = [np.zeros(0, np.uint64)]
         for text in texts_:
-            key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
-            parts.append([])
+            first, bounds = len(words), [len(words)]
             for k, part in enumerate(text.split(MARK) if text else ()):
-                words = self.split((MARK if not k else "") + part.replace(" ", MARK))
-                ways = self.ways(key + k, len(words))
-                parts[-1].append((ways, words))
-                for way, word in zip(ways, words):  # noqa: B905
-                    if word not in known[way]:
-                        if (numbers := older[way].get(word)) is None:
-                            new[word, way] = None
-                        else:
-                            known[way][word] = numbers
-        self.learn(list(new))
-        out = []
-        for own_parts in parts:
-            numbers = [b"".join([known[way][word] for way, word in zip(*p)]) for p in own_parts]  # noqa: B905
-            out.append(np.frombuffer(own.join(numbers), "<i4"))
-        return out
+                words += self.split((MARK if not k else "") + part.replace(" ", MARK))
+                bounds.append(len(words))
+            ends.append(bounds)
+            if self.dropped:
+                keys.append(self.keys(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed), len(words) - first))
+        self.learn([w for w in dict.fromkeys(words) if w not in self.known])
+        ids = [self.known[w] for w in words]
+        numbers = [self.made[i] for i in ids]
+        if self.dropped and words:
+            key = np.concatenate(keys)
+            apart = self.skipping(np.array(ids), key).tolist()
+            apart.sort(key=lambda i: len(words[i]))
+            together = [i for i in apart if self.easy[ids[i]]]
+            for start in range(0, len(together), 20_000):
+                part = together[start : start + 20_000]
+                for i, made in zip(part, self.merged_together([words[i] for i in part], key[part]), strict=True):
+                    numbers[i] = made
+            for i in apart:
+                if not self.easy[ids[i]]:
+                    numbers[i] = self.numbers(self.merged(words[i], int(key[i])))
+        return [np.frombuffer(own.join(b"".join(numbers[a:b]) for a, b in zip(bounds, bounds[1:])), "<i4") for bounds in ends]  # noqa: B905
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def ways(self, key: int, n: int) -> list[int]:
-        if not self.dropped:
-            return [0] * n
-        x = (np.arange(n, dtype=np.uint64) + np.uint64(key & _MASK)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(62)).tolist()
+    def keys(self, key: int, n: int) -> np.ndarray:
+        """A key for each of a text's n words, by its place."""
+        x = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
     def decode(self, numbers: np.ndarray) -> str:
         text = b"".join(map(self.plain.__getitem__, numbers.tolist())).decode("utf-8", "surrogatepass")
