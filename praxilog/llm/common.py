@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,20 +18,52 @@ SPACE = r"[ \t-\r]"
 STEP_BYTES = 4 << 20
 
 
+#: A key with over one in so many of all rows is hot; there are fewer hot keys than this.
+HOT = 1000
+#: Tasks that rows of a hot key are dealt to where many rows meet many.
+WAYS = 64
+#: Paths that the open :func:`scratch_space` removes at its end.
+_spaces: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a new one of this machine, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
-        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+        base = context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; a :func:`scratch_space` removes it, else it stays with the folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _spaces:
+        _spaces[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of whatever file system it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that operators kept within it; what they return must be written by then."""
+    _spaces.append([])
+    try:
+        yield
+    finally:
+        for path in _spaces.pop():
+            remove(spark, path)
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -46,6 +79,31 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def joined_evenly(rows: DataFrame, sums: DataFrame, keys: list[str], hot: Column, spread: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``sums``, which has a row for each of ``keys`` at most; null where it has none.
+
+    ``hot`` tells which rows of ``sums`` stand for over one in HOT of all ``rows``, so there are
+    fewer than HOT. Those are broadcast, and what they match goes to tasks by the columns
+    ``spread`` instead of by a key that many rows share.
+    """
+    own = [c for c in sums.columns if c not in keys]
+    few = sums.where(hot).select(*keys, F.struct(*own).alias("__few"))
+    left = rows.join(F.broadcast(few), keys, "left")
+    left = left.withColumn("__way", F.when(F.col("__few").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(0))
+    # 0 in a form that the optimizer doesn't fold, so that the way stays a key of the join
+    rest = sums.where(~hot).select(*keys, F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__way"), F.struct(*own).alias("__rest"))
+    out = left.join(rest, [*keys, "__way"], "left").withColumn("__both", F.coalesce("__few", "__rest"))
+    return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"__both.{c}").alias(c) for c in own])
+
+
+def met_evenly(rows: DataFrame, others: DataFrame, key: str, hot: DataFrame, spread: list[str]) -> DataFrame:
+    """``rows.join(others, key)``, in which rows of the ``hot`` keys, of which there are fewer than HOT, are dealt to WAYS tasks each."""
+    mark = F.broadcast(hot.select(key, F.lit(True).alias("__hot")))
+    left = rows.join(mark, key, "left").withColumn("__way", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(WAYS)).cast("int")).otherwise(0)).drop("__hot")
+    right = others.join(mark, key, "left").withColumn("__way", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return left.join(right, [key, "__way"]).drop("__way")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; null ids are in fold 0 like the empty text."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT, cut, joined_evenly
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -13,24 +13,29 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _least(links: DataFrame, total: int) -> DataFrame:
+    """``links`` (``u``, ``v``) with ``m``, the least ``v`` of each ``u``; a ``u`` of many links is no one task's."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return joined_evenly(links, least, ["u"], F.col("n") * HOT > total, ["v"]).drop("n")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Each node of the edges with the least node that it reaches: columns ``node``, ``component``.
 
     Large-star and small-star rounds take turns until the edges stay the same; every
-    round groups with map-side minima, joins them back, and is checkpointed. Nodes of
-    any orderable type; null nodes are ignored. No edges: no rows.
+    round groups with map-side minima, joins them back, and is checkpointed. Nodes with
+    over a HOT'th of the links are broadcast with their minima. Nodes of any orderable
+    type; null nodes are ignored. No edges: no rows.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(edges)
     while mark[0]:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        both = _least(edges.union(edges.select("v", "u")), 2 * mark[0])
         # each node sends its larger neighbours to the least of its neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # and its smaller neighbours and itself
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        small = _least(large, mark[0]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u <> v").distinct())
         before, mark = mark, _mark(edges)
         if before == mark:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts, written
+from .common import HOT, added, joined_evenly, steps, texts, written
 from .components import connected_components
 
 RADIUS = 3
@@ -27,6 +27,8 @@ SEED = 42
 TILE = 2048
 #: Rows of a tile that are compared with another whole tile at a time.
 STRIP = 256
+#: Tiles of a cell that another tile meets at one place; a pair of cells with more tiles meets at several.
+GROUP = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -48,14 +50,14 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id`` and ``fp`` (long). Null texts count as empty."""
+    """One row for each row of ``docs``: ``doc_id`` (of any type), ``digest`` of the text, and ``fp`` (long). Null texts count as empty."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, shingle, seed) for t in texts(b, "text")], pa.int64())], names=["doc_id", "fp"])
+            yield added(b, "text", fp=pa.array([fingerprint(t, shingle, seed) for t in texts(b, "text")], pa.int64()))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
 
 
 def joined(parents: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -87,19 +89,22 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)]
     cell = sum((c * 17**q for q, c in enumerate(counts)), F.lit(0)).cast("int")
     rows = fps.select("fp", cell.alias("cell"))
-    many = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    rows = rows.join(F.broadcast(many), "cell")  # at most 17**4 cells
-    tiles = rows.groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")).agg(F.collect_list("fp").alias("fps"))
+    many = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")))  # at most 17**4 cells
+    rows = rows.join(many, "cell")
+    tiles = rows.groupBy("cell", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")).agg(F.collect_list("fp").alias("fps"))
     tiles = written(tiles, "tiles")
+    cells = F.broadcast(tiles.groupBy("cell").agg(F.max("tiles").alias("there")))
     steps_ = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
     quarter = lambda q: (F.col("cell") / F.lit(17**q)).cast("int") % 17
     moves = F.filter(
         F.array(*[F.when(F.lit(True) if not any(d) else _inside(quarter, d), F.struct((F.col("cell") + sum(x * 17**q for q, x in enumerate(d))).cast("int").alias("to"), F.lit(not any(d)).alias("own"))) for d in steps_]),
         lambda x: x.isNotNull(),
     )
-    left = tiles.select("cell", F.col("tile").alias("a"), F.col("fps").alias("left"), F.explode(moves).alias("m")).select("a", "left", F.col("m.to").alias("cell"), F.col("m.own").alias("own"))
-    right = tiles.select("cell", F.col("tile").alias("b"), F.col("fps").alias("right"))
-    pairs = left.join(right, "cell").where("not own or a <= b")
+    left = tiles.select("tile", "fps", F.explode(moves).alias("m")).select(F.col("tile").alias("a"), F.col("fps").alias("left"), F.col("m.to").alias("cell"), F.col("m.own").alias("own"))
+    group = lambda c: F.floor(c / F.lit(GROUP)).cast("int")
+    left = left.join(cells, "cell").select("*", F.explode(F.sequence(F.when(F.col("own"), group(F.col("a"))).otherwise(0), group(F.col("there") - 1))).alias("group"))
+    right = tiles.select("cell", F.col("tile").alias("b"), group(F.col("tile")).alias("group"), F.col("fps").alias("right"))
+    pairs = left.join(right, ["cell", "group"]).where("not own or a <= b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,28 +130,35 @@ def _inside(quarter, move: tuple[int, ...]):
     return out
 
 
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """:func:`near_duplicates` with the texts' ``digest``."""
+    rows = written(fingerprints(docs, text, doc_id), "fingerprints")
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    total, kinds = fps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = connected_components(near_fingerprints(fps, radius), "u", "v").select(F.col("node").alias("fp"), "component")
+    rooted = written(fps.join(parts, "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root")), "rooted-fingerprints")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    found = joined_evenly(rooted, least, ["root"], F.col("many") * HOT > kinds, ["fp"]).select("fp", "n", "component_id")
+    return joined_evenly(rows, found, ["fp"], F.col("n") * HOT > total, ["doc_id"]).drop("n")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``fp``, ``component_id``.
 
     Documents of the same component are linked by fingerprints that differ in at most
     ``radius`` bits; the component's id is its least ``doc_id``. Texts without words have
-    fingerprint 0 and link like any other. Rows that repeat an id count as documents of
-    that id. A component whose ids are all null has a null id. No rows: no rows.
+    fingerprint 0 and link like any other. Ids are of any orderable type. Rows that repeat
+    an id are documents of that id, each with its own text's fingerprint and component. A
+    component whose ids are all null has a null id. No rows: no rows.
     """
-    rows = written(fingerprints(docs, text, doc_id), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    parts = connected_components(near_fingerprints(fps, radius), "u", "v")
-    rooted = fps.join(parts, fps.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(found, "fp", "left").select("doc_id", "fp", "component_id")
+    return grouped(docs, text, doc_id, radius).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, and rows without an id.
+    """The rows of ``docs`` whose id is the least of their component, and rows without an id.
 
-    Rows that repeat a kept id stay together with it.
+    Rows that repeat an id are judged each by its own text; those of a kept id that are in
+    the same component stay together.
     """
-    found = near_duplicates(docs, text, doc_id, radius)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped["__gone"], "left_anti")
+    gone = grouped(docs, text, doc_id, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, (docs[doc_id] == gone["__gone"]) & (F.xxhash64(docs[text]) == gone["__digest"]), "left_anti")

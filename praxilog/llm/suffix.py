@@ -23,12 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import HOT, joined_evenly
+
 LENGTH = 50
 GRAM = 16
 #: Text of a packet and of a shard, about, in bytes.
 PACKET_BYTES, SHARD_BYTES = 2 << 20, 12 << 20
-#: Units of a batch of a shard's family.
-BATCH = 20_000
+#: Units of a batch of a shard's family, and its suffixes.
+BATCH, BATCH_SUFFIXES = 20_000, 400_000
+#: Suffixes of a unit; what repeats itself for longer makes several.
+MOST_SUFFIXES = 4096
+#: Text whose grams are hashed at a time; arrays are several times its size.
+SLICE_BYTES = 1 << 20
 
 
 def least_grams(data: np.ndarray) -> np.ndarray:
@@ -55,32 +61,45 @@ def least_grams(data: np.ndarray) -> np.ndarray:
 def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Units of texts: their text's number, first and last suffix, and gram hash."""
     out = []
-    start = 0
-    while start < len(texts):  # some texts at a time; arrays are several times their size
-        stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) < 1 << 20):
-            size += len(texts[stop])
-            stop += 1
-        lengths = np.array([len(t) for t in texts[start:stop]], np.int64)
+    # long texts go in slices that share LENGTH - 1 bytes, so that each suffix lies whole in one
+    slices = ((k, at, t[at : at + SLICE_BYTES + LENGTH - 1]) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), SLICE_BYTES))
+    for group in _by_bytes(slices):
+        lengths = np.array([len(t) for _, _, t in group], np.int64)
         ends = np.cumsum(lengths)
-        least = least_grams(np.frombuffer(b"".join(texts[start:stop]), np.uint8))
-        if len(least):
-            doc = np.repeat(np.arange(stop - start), lengths)[: len(least)]
-            places = np.arange(len(least))
-            whole = places + LENGTH <= ends[doc]
-            first = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]) & whole
-            heads = np.flatnonzero(first)
-            last = np.concatenate([heads[1:], [len(least)]]) - 1
-            last = np.minimum(last, ends[doc[heads]] - LENGTH)
-            base = (ends - lengths)[doc[heads]]
-            out.append((doc[heads] + start, heads - base, last - base, least[heads]))
-        start = stop
+        least = least_grams(np.frombuffer(b"".join(t for _, _, t in group), np.uint8))
+        if not len(least):
+            continue
+        part = np.repeat(np.arange(len(group)), lengths)[: len(least)]
+        whole = np.arange(len(least)) + LENGTH <= ends[part]
+        heads = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (part[1:] != part[:-1])]) & whole)
+        last = np.minimum(np.concatenate([heads[1:], [len(least)]]) - 1, ends[part[heads]] - LENGTH)
+        times = (last - heads) // MOST_SUFFIXES + 1
+        last = np.repeat(last, times)
+        heads = np.repeat(heads, times) + (np.arange(len(last)) - np.repeat(np.cumsum(times) - times, times)) * MOST_SUFFIXES
+        last = np.minimum(last, heads + MOST_SUFFIXES - 1)
+        own = part[heads]
+        base = (ends - lengths)[own] - np.array([at for _, at, _ in group], np.int64)[own]
+        out.append((np.array([k for k, _, _ in group], np.int64)[own], heads - base, last - base, least[heads]))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+def _by_bytes(slices: Iterator[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Slices in groups of about SLICE_BYTES."""
+    group: list[tuple[int, int, bytes]] = []
+    size = 0
+    for s in slices:
+        if group and size + len(s[2]) > SLICE_BYTES:
+            yield group
+            group, size = [], 0
+        group.append(s)
+        size += len(s[2])
+    if group:
+        yield group
+
+
 class SuffixFamily:
     """Sorted arrays of suffixes of LENGTH bytes, each with the least document that has it."""
 
@@ -127,6 +146,10 @@ def _five(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
+#: What is sent of units, and as what.
+KINDS = {"docs": "<i8", "rows": "<i4", "firsts": "<i4", "grams": "<u8", "sizes": "<i4"}
+
+
 def _from_five(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
@@ -137,11 +160,19 @@ LOW = np.uint64((1 << 40) - 1)
 
 
 def _bytes(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Documents of a packet in order of their ids, ties by text; those without id are left out."""
+    """A packet's rows in order of their ids, ties by text; those without id are left out.
+
+    The order is the same wherever the packet is read, so a row's number in it names the row.
+    """
     rows = sorted((i, (t or "").encode("utf-8", "surrogatepass")) for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True) if i is not None)
     return np.array([i for i, _ in rows], np.int64), [t for _, t in rows]
 
 
+def _copied(ids: np.ndarray, texts: list[bytes], copies: dict[int, set[bytes]]) -> np.ndarray:
+    """Which rows are whole copies, given the digests of each id's."""
+    return np.array([i in copies and hashlib.sha256(t).digest() in copies[i] for i, t in zip(ids.tolist(), texts, strict=True)], bool)
+
+
 def packed_grams(table: pa.Table, shards: int) -> Iterator[tuple]:
     """Of a packet, for each shard: the grams that its documents have, once, and whether two documents of it have them."""
     ids, texts = _bytes(table)
@@ -171,16 +202,27 @@ def shared_grams(table: pa.Table) -> Iterator[tuple[int, bytes]]:
             yield p, _five(kept)
 
 
-def packed_units(table: pa.Table, shared: np.ndarray, copies: set[int], shards: int) -> tuple[dict[int, list], list[tuple[int, int, int]]]:
-    """Of a packet: for each shard its units of shared grams, once each; and suffixes (document, first, last) settled here.
+def _copies(replies: pa.Table) -> dict[int, set[bytes]]:
+    """Ids whose texts are whole copies of smaller documents' texts, with the texts' digests."""
+    out: dict[int, set[bytes]] = {}
+    if replies.num_rows:
+        for i, digest in zip(replies["doc_id"].to_pylist(), replies["digest"].to_pylist(), strict=True):
+            if digest is not None:
+                out.setdefault(i, set()).add(digest)
+    return out
+
+
+def packed_units(table: pa.Table, shared: np.ndarray, copies: dict[int, set[bytes]], shards: int) -> tuple[dict[int, list], list[tuple[int, int, int]]]:
+    """Of a packet: for each shard its units of shared grams, once each; and suffixes (row, first, last) settled here.
 
-    Copies of whole texts are left out. Documents come in order, so a unit stands for the least.
+    Units go as (document, row, first suffix, gram, bytes). Whole copies are left out. Rows
+    come in order of documents, so a unit stands for the least.
     """
     ids, texts = _bytes(table)
     doc, first, last, gram = units(texts)
     keep = np.isin(gram & LOW, shared)
-    if copies:
-        keep &= ~np.isin(ids[doc], np.fromiter(copies, np.int64))
+    if copies and len(doc):
+        keep &= ~_copied(ids, texts, copies)[doc]
     out: dict[int, list] = {}
     settled: list[tuple[int, int, int]] = []
     seen: dict[bytes, int] = {}
@@ -188,14 +230,14 @@ def packed_units(table: pa.Table, shared: np.ndarray, copies: set[int], shards:
         part = texts[d][a : b + LENGTH]
         i = int(ids[d])
         if (least := seen.setdefault(part, i)) < i:
-            settled.append((i, a, b))
+            settled.append((d, a, b))
         elif least == i:
-            out.setdefault((g & int(LOW)) % shards, []).append((i, a, g, part))
+            out.setdefault((g & int(LOW)) % shards, []).append((i, d, a, g, part))
     return out, settled
 
 
-def settle(docs: np.ndarray, packets: np.ndarray, firsts: np.ndarray, grams: np.ndarray, sizes: np.ndarray, data: bytes) -> np.ndarray:
-    """Of a shard's units, whose bytes follow each other in ``data``: rows (packet, document, first, last) of suffixes that smaller documents have."""
+def settle(docs: np.ndarray, packets: np.ndarray, rows: np.ndarray, firsts: np.ndarray, grams: np.ndarray, sizes: np.ndarray, data: bytes) -> np.ndarray:
+    """Of a shard's units, whose bytes follow each other in ``data``: rows (packet, row, first, last) of suffixes that smaller documents have."""
     if not len(docs):
         return np.zeros((0, 4), np.int64)
     ends = np.cumsum(sizes)
@@ -205,14 +247,16 @@ def settle(docs: np.ndarray, packets: np.ndarray, firsts: np.ndarray, grams: np.
     new = np.concatenate([[True], (same[order[1:]] != same[order[:-1]]).any(axis=1)])
     least = docs[order][new][np.cumsum(new) - 1]
     later = order[docs[order] > least]
-    out = [np.stack([packets[later], docs[later], firsts[later], firsts[later] + sizes[later] - LENGTH], axis=1)]
+    out = [np.stack([packets[later], rows[later], firsts[later], firsts[later] + sizes[later] - LENGTH], axis=1)]
     some, n = np.unique(grams[order[new]], return_counts=True)
     heads = order[docs[order] == least]
     heads = heads[n[np.searchsorted(some, grams[heads])] > 1]  # a gram with one unit has no other suffixes to meet
     heads = heads[np.lexsort((firsts[heads], docs[heads]))]
-    family = SuffixFamily()
-    for start in range(0, len(heads), BATCH):
-        batch = heads[start : start + BATCH]
+    family, start = SuffixFamily(), 0
+    while start < len(heads):
+        many = np.cumsum(sizes[heads[start : start + BATCH]] - LENGTH + 1)
+        batch = heads[start : start + max(1, int(np.searchsorted(many, BATCH_SUFFIXES, "right")))]
+        start += len(batch)
         many = sizes[batch] - LENGTH + 1
         own = np.repeat(docs[batch], many)
         earlier = family.add(suffixes_of([view[e - n : e] for e, n in zip(ends[batch].tolist(), sizes[batch].tolist(), strict=True)]), own) < own
@@ -223,7 +267,7 @@ def settle(docs: np.ndarray, packets: np.ndarray, firsts: np.ndarray, grams: np.
         end = np.flatnonzero(earlier & (np.concatenate([tail[1:-1], [True]]) | ~np.concatenate([earlier[1:], [False]])))
         k = np.repeat(np.arange(len(batch)), many)[begin]
         base = firsts[batch][k] - edge[k]
-        out.append(np.stack([packets[batch][k], docs[batch][k], base + begin, base + end], axis=1))
+        out.append(np.stack([packets[batch][k], rows[batch][k], base + begin, base + end], axis=1))
     return np.concatenate(out)
 
 
@@ -246,19 +290,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """A row for each row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``spans`` (begin, end in bytes).
 
     Removed is each byte that a string of LENGTH bytes covers which also starts in a document
-    of a smaller id, judged on the input. Texts of fewer bytes lose nothing; null texts are
-    empty. Rows that repeat an id are not smaller than each other; rows without an id
-    neither lose bytes nor make others lose them. No rows: no rows.
+    of a smaller id, judged on the input. Ids are whole numbers (or text of such; other text
+    is an error). Texts of fewer bytes lose nothing; null texts are empty. Rows that repeat
+    an id are not smaller than each other, and each loses what its own text shares with
+    smaller ids; rows without an id neither lose bytes nor make others lose them. No rows:
+    no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     packets, shards = max(8, -(-total // PACKET_BYTES)), max(8, -(-total // SHARD_BYTES))
-    digest = [F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y")]
-    ids = rows.where(F.octet_length("text") >= LENGTH).where("doc_id is not null").select("doc_id", *digest)
-    least = ids.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    key = lambda c: F.pmod(F.xxhash64(c), F.lit(packets)).cast("int")
-    copies = ids.join(least, ["x", "y"]).where("doc_id > least").select(key("doc_id").alias("packet"), F.lit(None).cast("binary").alias("grams"), "doc_id")
-    rows = rows.select(key("doc_id").alias("packet"), "doc_id", "text").repartition("packet")
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(packets)).cast("int")
+    ids = rows.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).select(key.alias("packet"), "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    least = ids.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times")).where("least < most")
+    copies = joined_evenly(ids, least, ["digest"], F.col("times") * HOT > n, ["doc_id"]).where("doc_id > least").select("packet", F.lit(None).cast("binary").alias("grams"), "doc_id", "digest")
+    rows = rows.select(key.alias("packet"), "doc_id", "text").repartition("packet")
 
     def grams(table: pa.Table) -> pa.Table:
         packet = table["packet"][0].as_py()
@@ -270,63 +315,63 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         return pa.table({"packet": pa.array([f[0] for f in found], pa.int32()), "grams": pa.array([f[1] for f in found], pa.binary())})
 
     shared = rows.groupBy("packet").applyInArrow(grams, "packet int, shard int, grams binary, twice binary").groupBy("shard").applyInArrow(share, "packet int, grams binary")
-    replies = shared.withColumn("doc_id", F.lit(None).cast("long")).unionByName(copies)
+    no_copy = (F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"))
+    replies = shared.select("*", *no_copy).unionByName(copies)
 
     def entries(left: pa.Table, right: pa.Table) -> pa.Table:
         own = [_from_five(x) for x in right["grams"].to_pylist() if x is not None] if right.num_rows else []
-        gone = {i for i in right["doc_id"].to_pylist() if i is not None} if right.num_rows else set()
-        columns: dict[str, list] = {"shard": [], "packet": [], "docs": [], "firsts": [], "grams": [], "sizes": [], "data": []}
+        columns: dict[str, list] = {k: [] for k in ("shard", "packet", *KINDS, "data")}
+
+        def put(shard: int, data: bytes, **arrays: np.ndarray) -> None:
+            for k, v in {"shard": shard, "packet": packet, "data": data, **{k: v.astype(KINDS[k]).tobytes() for k, v in arrays.items()}}.items():
+                columns[k].append(v)
+
         if left.num_rows:
             packet = left["packet"][0].as_py()
-            parts, settled = packed_units(left, np.concatenate(own) if own else np.zeros(0, np.uint64), gone, shards)
+            parts, settled = packed_units(left, np.concatenate(own) if own else np.zeros(0, np.uint64), _copies(right), shards)
             if settled:
-                put = np.array(settled, "<i8")
-                for k, v in {"shard": -1 - packet, "packet": packet, "docs": put[:, 0].tobytes(), "firsts": put[:, 1].astype("<i4").tobytes(), "grams": b"", "sizes": (put[:, 2] - put[:, 1] + LENGTH).astype("<i4").tobytes(), "data": b""}.items():
-                    columns[k].append(v)
+                row, first, last = np.array(settled, np.int64).T
+                put(-1 - packet, b"", docs=row, rows=row, firsts=first, grams=np.zeros(0), sizes=last - first + LENGTH)
             for s, list_ in parts.items():
-                for k, v in {"shard": s, "packet": packet, "docs": np.array([e[0] for e in list_], "<i8").tobytes(), "firsts": np.array([e[1] for e in list_], "<i4").tobytes(), "grams": np.array([e[2] for e in list_], "<u8").tobytes(), "sizes": np.array([len(e[3]) for e in list_], "<i4").tobytes(), "data": pa.compress(b"".join(e[3] for e in list_), "zstd", asbytes=True)}.items():
-                    columns[k].append(v)
+                i, row, first, gram = (np.array([e[k] for e in list_], np.uint64 if k == 3 else np.int64) for k in range(4))
+                put(s, pa.compress(b"".join(e[4] for e in list_), "zstd", asbytes=True), docs=i, rows=row, firsts=first, grams=gram, sizes=np.array([len(e[4]) for e in list_]))
         return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "packet") else pa.binary()) for k, v in columns.items()})
 
     def verdicts(table: pa.Table) -> pa.Table:
-        kinds = {"docs": "<i8", "firsts": "<i4", "grams": "<u8", "sizes": "<i4"}
-        lists = {k: [np.frombuffer(x, t) for x in table[k].to_pylist()] for k, t in kinds.items()}
+        lists = {k: [np.frombuffer(x, t) for x in table[k].to_pylist()] for k, t in KINDS.items()}
         packets = np.repeat(np.array(table["packet"].to_pylist(), np.int64), [len(x) for x in lists["docs"]])
-        docs_, firsts, grams_, sizes = (np.concatenate(lists[k]).astype(np.uint64 if k == "grams" else np.int64) for k in kinds)
+        docs_, rows_, firsts, grams_, sizes = (np.concatenate(lists[k]).astype(np.uint64 if k == "grams" else np.int64) for k in KINDS)
         if table["shard"][0].as_py() < 0:  # what a packet has settled
-            found = np.stack([packets, docs_, firsts, firsts + sizes - LENGTH], axis=1)
+            found = np.stack([packets, rows_, firsts, firsts + sizes - LENGTH], axis=1)
         else:
             data = b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(table["data"].to_pylist(), lists["sizes"], strict=True))
-            found = settle(docs_, packets, firsts, grams_, sizes, data)
+            found = settle(docs_, packets, rows_, firsts, grams_, sizes, data)
         found = found[np.argsort(found[:, 0], kind="stable")]
         some, at = np.unique(found[:, 0], return_index=True)
         parts = np.split(found[:, 1:], at[1:]) if len(some) else []
-        return pa.table({"packet": pa.array(some, pa.int32()), "ranges": pa.array([np.ascontiguousarray(x, "<i8").tobytes() for x in parts], pa.binary())})
+        return pa.table({"packet": pa.array(some, pa.int32()), "ranges": pa.array([np.ascontiguousarray(x, "<i4").tobytes() for x in parts], pa.binary())})
 
-    ranges = rows.groupBy("packet").cogroup(replies.groupBy("packet")).applyInArrow(entries, "shard int, packet int, docs binary, firsts binary, grams binary, sizes binary, data binary")
+    ranges = rows.groupBy("packet").cogroup(replies.groupBy("packet")).applyInArrow(entries, ", ".join(["shard int, packet int", *(f"{k} binary" for k in KINDS), "data binary"]))
     ranges = ranges.groupBy("shard").applyInArrow(verdicts, "packet int, ranges binary")
-    ranges = ranges.withColumn("doc_id", F.lit(None).cast("long")).unionByName(copies.select("packet", F.col("grams").alias("ranges"), "doc_id"))
+    ranges = ranges.select("*", *no_copy).unionByName(copies.withColumnRenamed("grams", "ranges"))
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict[int, list[tuple[int, int]]] = {}
-        gone: set[int] = set()
-        if right.num_rows:
-            gone = {i for i in right["doc_id"].to_pylist() if i is not None}
-            for x in right["ranges"].to_pylist():
+        out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
+        if left.num_rows:
+            ids, data = _bytes(left)
+            for x in right["ranges"].to_pylist() if right.num_rows else ():
                 if x is not None:
-                    for i, a, b in np.frombuffer(x, "<i8").reshape(-1, 3).tolist():
-                        by.setdefault(i, []).append((a, b))
-        names = left["doc_id"].to_pylist() if left.num_rows else []
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
-        for i, t in zip(names, left["text"].to_pylist() if names else [], strict=True):
-            data = (t or "").encode("utf-8", "surrogatepass")
-            spans, kept = cut_spans(data, [(0, len(data) - LENGTH)] if i in gone and len(data) >= LENGTH else [(a, b) for a, b in by.get(i, []) if b + LENGTH <= len(data)])
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(len(data) - len(kept))
-            out["n_spans"].append(len(spans))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["spans"].append(spans)
+                    for row, a, b in np.frombuffer(x, "<i4").reshape(-1, 3).tolist():
+                        by.setdefault(row, []).append((a, b))
+            for row in np.flatnonzero(_copied(ids, data, _copies(right))).tolist():
+                by[row] = [(0, len(data[row]) - LENGTH)]
+            alone = [(t or "").encode("utf-8", "surrogatepass") for i, t in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True) if i is None]
+            for row, (i, t) in enumerate(zip([*ids.tolist(), *[None] * len(alone)], [*data, *alone], strict=True)):
+                spans, kept = cut_spans(t, by.get(row, []))
+                for k, v in {"doc_id": i, "n_bytes": len(t), "n_removed": len(t) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": spans}.items():
+                    out[k].append(v)
         kinds = {"kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
-        return pa.table({"doc_id": pa.array(names, pa.int64())} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return rows.groupBy("packet").cogroup(ranges.groupBy("packet")).applyInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")

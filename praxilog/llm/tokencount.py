@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, steps, texts
+from .common import HOT, SPACE, joined_evenly, steps, texts, written
 
 SCHEMA = "digest string, version string, n_tokens long"
 #: Words whose counts a task keeps at most; it starts anew beyond.
@@ -76,8 +76,10 @@ def count_tokens(docs: DataFrame, model: str, cache: str, text: str = "text", ke
     """
     spark, version = docs.sparkSession, version_of(model.encode())
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[c.alias(k) for k, c in (keep or {"doc_id": F.col("doc_id")}).items()], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), plain(F.col(text)).alias("__text"))
+    keep = keep or {"doc_id": F.col("doc_id")}
+    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), plain(F.col(text)).alias("__text"))
     rows = rows.withColumn("__digest", F.sha2("__text", 256))
+    places = written(rows.drop("__text"), "text-digests")
     distinct = rows.groupBy(F.col("__digest").alias("digest")).agg(F.first("__text").alias("text"))
     missing = distinct.join(read_cache(spark, cache, version), "digest", "left_anti")
 
@@ -87,6 +89,7 @@ def count_tokens(docs: DataFrame, model: str, cache: str, text: str = "text", ke
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * b.num_rows, pa.string()), pa.array(own.counts(texts(b, "text")), pa.int64())], names=["digest", "version", "n_tokens"])
 
     missing.mapInArrow(run, SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version).select(F.col("digest").alias("__digest"), "n_tokens")
-    found = rows.drop("__text").join(counts, "__digest", "left").drop("__digest")
+    times = places.groupBy("__digest").agg(F.count("*").alias("__times"))
+    counts = times.join(read_cache(spark, cache, version).withColumnRenamed("digest", "__digest"), "__digest")
+    found = joined_evenly(places, counts, ["__digest"], F.col("__times") * HOT > places.count(), list(keep)).drop("__digest", "__times")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -9,11 +9,12 @@ each step fits the window of every sampled text that scores highest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,42 +170,51 @@ class Scorer:
         self.rows: dict[bytes, int] = {}
         self.table = np.zeros((1024, 6 * UNITS), np.float32)
 
-    def ids(self, words: list[list[bytes]]) -> list[list[int]]:
-        get = self.rows.get
-        out = [list(map(get, own)) for own in words]
-        if new := {w for own, at in zip(words, out, strict=True) if None in at for w, i in zip(own, at, strict=True) if i is None}:
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the table of gate inputs, which gets those of new words."""
+        out = np.fromiter((self.rows.get(w, -1) for w in words), np.int32, len(words))
+        unknown = np.flatnonzero(out < 0).tolist()
+        if unknown:
+            new = list({words[i] for i in unknown})
             if len(self.rows) + len(new) > CACHED_WORDS and self.rows:
                 self.forget()
                 return self.ids(words)
-            rows, new = self.rows, list(new)
+            rows = self.rows
             while len(self.table) < len(rows) + len(new):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for start in range(0, len(new), 20_000):
                 part = new[start : start + 20_000]
                 self.table[len(rows) : len(rows) + len(part)] = inputs(self.net, part) @ self.net.enter + self.net.bias
                 rows.update(zip(part, range(len(rows), len(rows) + len(part)), strict=True))
-            out = [[rows[w] for w in own] if None in at else at for own, at in zip(words, out, strict=True)]
+            out[unknown] = [rows[words[i]] for i in unknown]
         return out
 
     def scores(self, documents: list[str]) -> list[float]:
-        ids = self.ids([split(t) for t in documents])
-        spans = [(d, a, b) for d, own in enumerate(ids) for a, b in cut_windows(len(own))]
-        logits = logits_of(self.net, self.table, [ids[d][a:b] for d, a, b in spans])
+        words = [split(t) for t in documents]
+        ends = np.cumsum([len(own) for own in words])
+        flat = self.ids([w for own in words for w in own])
+        doc, begins, stops = windows_of(ends)
         out = np.zeros(len(documents))
-        np.maximum.at(out, [d for d, _, _ in spans], sigmoid(logits.astype(np.float64)))
+        np.maximum.at(out, doc, sigmoid(logits_of(self.net, self.table, flat, begins, stops).astype(np.float64)))
         return out.tolist()
 
 
-def packed(windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in windows])
-    mask = np.arange(WINDOW) < sizes[:, None]
+def windows_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts whose words follow each other and end at ``ends``: their text, and where they begin and end."""
+    spans = [(d, start + a, start + b) for d, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)) for a, b in cut_windows(end - start)]
+    return tuple(np.array(spans, np.int64).reshape(-1, 3).T)  # type: ignore[return-value]
+
+
+def packed(flat: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of windows, lanes x WINDOW, and which places hold one."""
+    mask = np.arange(WINDOW) < (stops - begins)[:, None]
     at = np.zeros(mask.shape, np.int64)
-    at[mask] = [i for w in windows for i in w]
+    at[mask] = flat[(begins[:, None] + np.arange(WINDOW))[mask]]
     return at, mask
 
 
-def logits_of(net: Network, table: np.ndarray, windows: list[list[int]]) -> np.ndarray:
-    parts = [forward(net, table, *packed(windows[s : s + LANES]))[0] for s in range(0, len(windows), LANES)]
+def logits_of(net: Network, table: np.ndarray, flat: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    parts = [forward(net, table, *packed(flat, begins[s : s + LANES], stops[s : s + LANES]))[0] for s in range(0, len(begins), LANES)]
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
@@ -212,55 +222,89 @@ def split(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def fit(documents: list[str], toxic: list[int], rounds: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Network | None:
-    """A network fitted on labelled texts, or None if either class or any word is missing."""
+class Vocabulary:
+    """Rows of words and of their trigrams: what a fit moves."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.own, self.grams, self.starts = word_hashes(words)
+        self.sizes = np.diff(np.append(self.starts, len(self.grams)))
+
+    def trigrams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of some words' trigrams, word after word, and where each word's begin."""
+        sizes = self.sizes[some]
+        heads = np.cumsum(sizes) - sizes
+        return self.grams[np.arange(sizes.sum()) + np.repeat(self.starts[some] - heads, sizes)], heads
+
+    def vectors(self, net: Network, some: np.ndarray) -> np.ndarray:
+        grams, heads = self.trigrams(some)
+        return net.word[self.own[some]] + np.add.reduceat(net.gram[grams], heads, axis=0) / self.sizes[some, None]
+
+    def table(self, net: Network) -> np.ndarray:
+        """Gate inputs of all words."""
+        out = np.zeros((len(self.own), 6 * UNITS), np.float32)
+        for start in range(0, len(out), 20_000):
+            some = np.arange(start, min(len(out), start + 20_000))
+            out[some] = self.vectors(net, some) @ net.enter + net.bias
+        return out
+
+
+def gradients(net: Network, words: Vocabulary, at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of all parameters for the mean log loss of windows, whose words are ``at`` and labels ``y``."""
+    used, back = np.unique(at, return_inverse=True)
+    back = back.reshape(at.shape)
+    x = words.vectors(net, used)
+    logits, kept = forward(net, x @ net.enter + net.bias, back, mask, keep=True)
+    dentered, grads = backward(net, kept, ((sigmoid(logits) - y) / len(y)).astype(net.out.dtype))
+    dentered *= mask[..., None]
+    dtable = np.zeros((len(used), 6 * UNITS), net.out.dtype)
+    np.add.at(dtable, back.ravel(), dentered.reshape(-1, 6 * UNITS))
+    grads |= {"enter": x.T @ dtable, "bias": dtable.sum(axis=0), "word": np.zeros_like(net.word), "gram": np.zeros_like(net.gram)}
+    dx = dtable @ net.enter.T
+    np.add.at(grads["word"], words.own[used], dx)
+    sizes = words.sizes[used]
+    np.add.at(grads["gram"], words.trigrams(used)[0], np.repeat(dx / sizes[:, None], sizes, axis=0))
+    return grads
+
+
+def fit(documents: Iterable[str | pa.StringScalar], toxic: Iterable[int], rounds: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Network | None:
+    """A network fitted on labelled texts, or None if either class or any word is missing.
+
+    Texts are taken one by one; what is held of them is a number for each word, in one array.
+    """
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max():
         return None
     net, rng = Network.new(seed), np.random.default_rng(seed)
-    words = [split(t) for t in documents]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))}
-    if not vocabulary:
+    numbers: dict[bytes, int] = {}
+    parts: list[np.ndarray] = []
+    for t in documents:
+        own = split(t.as_py() if isinstance(t, pa.Scalar) else t)
+        parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int32, len(own)))
+    if not numbers:
         return None
-    own, grams, starts = word_hashes(list(vocabulary))
-    texts_of = np.zeros(len(vocabulary), np.int64)
-    for part in words:
-        texts_of[[vocabulary[w] for w in set(part)]] += 1
+    words = Vocabulary(list(numbers))
+    del numbers
+    flat, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    common = np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=len(words.own)) >= COMMON  # in so many texts
+    del parts
     net.common[:] = False
-    net.common[own[texts_of >= COMMON]] = True
-    own = np.where(net.common[own], own, 0)
-    sizes = np.diff(np.append(starts, len(grams)))
-    ids = [[vocabulary[w] for w in part] for part in words]
-    spans = [cut_windows(len(part)) for part in ids]
-    every = [(d, part[a:b]) for d, part in enumerate(ids) for a, b in spans[d]]
-    first = np.cumsum([0, *map(len, spans)])[:-1]
+    net.common[words.own[common]] = True
+    words.own = np.where(net.common[words.own], words.own, 0)
+    doc, begins, stops = windows_of(ends)
+    first = np.searchsorted(doc, np.arange(len(ends)))
+    many = np.diff(np.append(first, len(doc)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in vars(net).items() if v.dtype == np.float32}
     step = 0
-    for turn in range(max(rounds, LEAST_STEPS * batch // len(words))):  # small samples go round more often
-        table = (net.word[own] + np.add.reduceat(net.gram[grams], starts, axis=0) / sizes[:, None]) @ net.enter + net.bias
+    for turn in range(max(rounds, LEAST_STEPS * batch // len(ends))):  # small samples go round more often
         if turn:  # the window that scores highest now; at first a random one
-            logits = logits_of(net, table, [w for _, w in every])
-            worst = np.array([f + int(logits[f : f + len(own)].argmax()) for f, own in zip(first, spans, strict=True)])
+            logits = logits_of(net, words.table(net), flat, begins, stops)
+            worst = np.array([f + int(logits[f : f + n].argmax()) for f, n in zip(first.tolist(), many.tolist(), strict=True)])
         else:
-            worst = first + np.array([rng.integers(len(own)) for own in spans])
-        for chosen in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // batch)):
+            worst = first + np.array([rng.integers(n) for n in many.tolist()])
+        for chosen in np.array_split(rng.permutation(len(ends)), max(1, len(ends) // batch)):
             step += 1
-            at, mask = packed([every[worst[d]][1] for d in chosen])
-            used, back = np.unique(at, return_inverse=True)
-            back = back.reshape(at.shape)
-            pieces = np.concatenate([np.arange(starts[u], starts[u] + sizes[u]) for u in used])
-            heads = np.concatenate([[0], np.cumsum(sizes[used])[:-1]])
-            x = net.word[own[used]] + np.add.reduceat(net.gram[grams[pieces]], heads, axis=0) / sizes[used, None]
-            logits, kept = forward(net, x @ net.enter + net.bias, back, mask, keep=True)
-            dentered, grads = backward(net, kept, ((sigmoid(logits) - y[chosen]) / len(chosen)).astype(np.float32))
-            dentered *= mask[..., None]
-            dtable = np.zeros((len(used), 6 * UNITS), np.float32)
-            np.add.at(dtable, back.ravel(), dentered.reshape(-1, 6 * UNITS))
-            grads |= {"enter": x.T @ dtable, "bias": dtable.sum(axis=0), "word": np.zeros_like(net.word), "gram": np.zeros_like(net.gram)}
-            dx = dtable @ net.enter.T
-            np.add.at(grads["word"], own[used], dx)
-            np.add.at(grads["gram"], grams[pieces], np.repeat(dx / sizes[used, None], sizes[used], axis=0))
-            for k, g in grads.items():  # Adam
+            own = worst[chosen]
+            for k, g in gradients(net, words, *packed(flat, begins[own], stops[own]), y[chosen]).items():  # Adam
                 mean, square = moments[k]
                 mean += 0.1 * (g - mean)
                 square += 0.001 * (g * g - square)
@@ -268,7 +312,7 @@ def fit(documents: list[str], toxic: list[int], rounds: int = 10, batch: int = 6
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", most: tuple[int, int] = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", most: tuple[int, int] = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[pa.ChunkedArray, list[int]]:
     """A bounded sample of labelled texts for :func:`fit`, about ``most[y]`` of class y, chosen by the id's hash.
 
     Only texts of at most ``chars`` characters are used, so the driver gets no more than
@@ -280,9 +324,9 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, most[y] / n))).otherwise(share)
     own = own.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= chars)).join(F.broadcast(own), "i").select("i", "t", "y").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return [r[1] for r in rows], [r[2] for r in rows]
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= chars)).join(F.broadcast(own), "i").select("i", "t", "y").toArrow()
+    rows = rows.take(pc.sort_indices(rows, [("i", "ascending"), ("t", "ascending")]))
+    return rows["t"], rows["y"].to_pylist()
 
 
 def score(docs: DataFrame, net: Network | None, text: str = "text", keep: dict[str, Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import steps, texts
+
 #: Characters of their own, besides: 0 the start, 1 any other character; digits are one class.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0:/.-_?=&#%+~@"
 SIZE = len(SYMBOLS) + 2
@@ -23,6 +25,8 @@ DEPTH = 3
 FOLDS = 5
 #: Scores are calibrated in bins of this width, from -LIMIT to LIMIT.
 BIN, LIMIT = 0.005, 10.0
+#: Counts that a task holds apart before it merges them.
+MERGE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits, else nulls; of equally long ones the first by name."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True)[::-1]:
+    for r in sorted(sorted(rules, key=lambda r: r.name, reverse=True), key=lambda r: len(r.name)):  # a later one overrides
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         name = F.when(fits, F.lit(r.name)).otherwise(name)
         verdict = F.when(fits, F.lit("allow" if r.allow else "block")).otherwise(verdict)
@@ -81,22 +85,28 @@ def grams(urls: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole[real[DEPTH:]], lengths
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of keys from parts that may share keys."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, np.concatenate([c for _, c in parts]))
+    return keys, n
+
+
 def count_grams(rows: DataFrame, url: str, label: str, fold: str) -> np.ndarray:
     """Counts over all rows: folds (calibration or not) x labels x grams. There are SIZE**4 grams at most, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = _table(), {}
-        for b in batches:
-            keys = np.array(b.column("kind").to_pylist(), np.int64)
-            urls = b.column("url").to_pylist()
-            for kind in np.unique(keys):
-                codes, _ = grams([u for u, k in zip(urls, keys, strict=True) if k == kind], table)
-                some, n = np.unique(codes, return_counts=True)
-                own = seen.setdefault(int(kind), {})
-                for c, x in zip(some.tolist(), n.tolist(), strict=True):
-                    own[c] = own.get(c, 0) + x
-        for kind, own in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array(list(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["kind", "gram", "n"])
+        table, total = _table(), SIZE ** (DEPTH + 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for b in steps(batches, "url"):
+            kinds = b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
+            codes, lengths = grams(texts(b, "url"), table)
+            held.append(np.unique(codes + total * np.repeat(kinds, lengths), return_counts=True))
+            if sum(len(k) for k, _ in held[1:]) > MERGE:
+                held = [_merged(held)]
+        keys, n = _merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys // total, pa.int32()), pa.array(keys % total, pa.int32()), pa.array(n, pa.int64())], names=["kind", "gram", "n"])
 
     kind = (F.col(fold).cast("int") * 2 + (F.col(label) == "allow").cast("int")).alias("kind")
     sums = rows.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(F.col(url).alias("url"), kind).mapInArrow(run, "kind int, gram int, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -126,10 +136,10 @@ def scored(rows: DataFrame, url: str, ratios: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
-        for b in batches:
+        for b in steps(batches, url):
             out = np.zeros(b.num_rows)
             if sent is not None and b.num_rows:
-                codes, lengths = grams([u or "" for u in b.column(url).to_pylist()], table)
+                codes, lengths = grams(texts(b, url), table)
                 sums = np.concatenate([[0.0], np.cumsum(sent.value[codes], dtype=np.float64)])
                 ends = np.cumsum(lengths)
                 out = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)

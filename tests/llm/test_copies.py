@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from praxilog.llm import decontam, linededup, simhash, suffix
+from praxilog.llm import components, decontam, linededup, simhash, suffix
 from praxilog.llm.components import connected_components
 
 from .conftest import changed, prose
@@ -57,6 +57,10 @@ def test_near_duplicates(spark, docs, no_docs, rows):
             least[root[p]] = min(least.get(root[p], i), i)
     got = sorted((str(r.doc_id), r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == sorted((str(i), p, least.get(root[p])) for i, p in prints)
+    again = spark.createDataFrame([(1, prose(1, 90)), (2, prose(1, 90)), (2, prose(2, 90)), (None, prose(1, 90))], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(again).collect()) == sorted([("1", prose(1, 90)), ("2", prose(2, 90)), ("None", prose(1, 90))])
+    named = simhash.near_duplicates(again.select(F.concat(F.lit("n"), "doc_id").alias("doc_id"), "text")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in named) == [("None", "n1"), ("n1", "n1"), ("n2", "n1"), ("n2", "n2")]
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, p in prints if i is not None and i == least[root[p]])
     assert simhash.near_duplicates(no_docs).count() == 0
@@ -87,9 +91,16 @@ def plain_distance(a, b):
     return row[-1]
 
 
+def digest(text):
+    """Spark's hash of a text, which tells rows of one id apart."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_removed(spark, rows):
-    lines = [(-1 if i is None else i, p, re.sub("[\t\x0b\f\r]", " ", line).strip(" ").lower()) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" \t\x0b\f\r")]
-    norms = sorted({n for _, _, n in lines})
+    """Links, and the places (id, text, line) of repeated lines, by rows; null ids come first."""
+    lines = sorted({(i is not None, i or 0, digest(t), p, re.sub("[\t\x0b\f\r]", " ", line).strip(" ").lower(), t) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" \t\x0b\f\r")})
+    norms = sorted({x[4] for x in lines})
     hashed = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in {w for n in norms for w in re.findall(r"[^\x20\x09-\x0D]+", n)}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     prints = {}
     for n in norms:
@@ -102,9 +113,13 @@ def plain_removed(spark, rows):
             links.append((a, b))
     root = united(norms, links)
     first = {}
-    for i, p, n in sorted(lines):
-        first.setdefault(root[n], (i, p))
-    return links, {(i, p) for i, p, n in lines if first[root[n]] != (i, p)}
+    for x in lines:
+        first.setdefault(root[x[4]], x[:4])
+    return links, {(i if known else None, t, p) for known, i, d, p, n, t in lines if first[root[n]] != (known, i, d, p)}
+
+
+def without(rows, gone):
+    return sorted((str(i), None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, t, p) not in gone)) for i, t in rows)
 
 
 def test_fuzzy_lines(spark, docs, no_docs, rows):
@@ -114,16 +129,49 @@ def test_fuzzy_lines(spark, docs, no_docs, rows):
     table = spark.createDataFrame([(i, t, 1, "x") for i, t in small], "doc_id long, text string, __id int, norm string").repartition(3)
     links, gone = plain_removed(spark, small)
     assert links
-    got = {(-1 if r.doc_id is None else r.doc_id, r.pos) for r in linededup.repeated_lines(table).collect()}
-    assert got == gone
-    for blocks in (5,):
-        assert {(-1 if r.doc_id is None else r.doc_id, r.pos) for r in linededup.repeated_lines(table, blocks=blocks).collect()} == gone
+    want = {(i, digest(t), p) for i, t, p in gone}
+    for blocks in (None, 6):
+        assert {(r.doc_id, r.row, r.pos) for r in linededup.repeated_lines(table, blocks=blocks).collect()} == want
     left = linededup.without_repeated_lines(table)
     assert left.columns == table.columns
-    want = sorted((str(i), None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (-1 if i is None else i, p) not in gone)) for i, t in small)
-    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == want
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == without(small, gone)
     report = {r.doc_id: r.removed for r in linededup.line_report(table).collect()}
     assert report[60] == [1, 2, 3, 4] and linededup.line_report(no_docs).count() == 0 and linededup.without_repeated_lines(no_docs).count() == 0
+    assert [linededup.blocks_for(n) for n in (0, 1 << 24, 1 << 26, 1 << 40)] == [4, 4, 5, 6]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    cases = [
+        [(None, "a line\nunlike"), (None, "vvv\na line")],
+        [(1, "a line"), (2, "a line\nbbb"), (2, "ccc\nddd"), (2, "ccc\nddd")],
+        [("x", "a line"), ("x1", "a line\nother"), ("", ""), (None, None)],
+    ]
+    for rows in cases:
+        kind = "string" if isinstance(rows[0][0], str) else "long"
+        gone = plain_removed(spark, [(None if i is None else i, t) for i, t in rows])[1] if kind == "long" else {("x1", "a line\nother", 0)}
+        table = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        assert sorted((str(r.doc_id), r.text) for r in linededup.without_repeated_lines(table).collect()) == without(rows, gone)
+    left = {t for i, t in without(cases[1], plain_removed(spark, cases[1])[1])}
+    assert left == {"a line", "bbb", "ccc\nddd"}
+
+
+def test_a_hot_line_and_a_hot_group(spark, monkeypatch):
+    """Keys that count as hot go other ways than the rest, to the same result."""
+    from praxilog.llm import common
+
+    rows = [(k, f"the one line that all have\nbut {k} {k * 7} {k * 11} {k * 13} too\nand nearly this line of many words in which one changes {k % 9}") for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    gone = plain_removed(spark, rows)[1]
+    for hot in (10,):
+        for m in (common, linededup, components, simhash):
+            monkeypatch.setattr(m, "HOT", hot)
+        assert {(r.doc_id, r.row, r.pos) for r in linededup.repeated_lines(table).collect()} == {(i, digest(t), p) for i, t, p in gone}
+        least = {}
+        prints = {i: plain_fingerprint(t) for i, t in rows}
+        root = united(set(prints.values()), [(a, b) for a, b in itertools.combinations(set(prints.values()), 2) if (a ^ b).bit_count() <= 3])
+        for i, p in prints.items():
+            least[root[p]] = min(least.get(root[p], i), i)
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(table).collect()} == {(i, least[root[p]]) for i, p in prints.items()}
 
 
 def plain_suffixes(rows):
@@ -160,6 +208,26 @@ def test_suffix_families(spark, docs, no_docs, rows, monkeypatch):
     assert suffix.remove_repeats(no_docs).count() == 0
 
 
+def test_suffixes_of_rows_that_share_an_id(spark):
+    x, y, z = (prose(k, 40)[:200] for k in (71, 72, 73))
+    key = lambda t: sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in t.collect())
+    for rows in ([(1, x), (2, x), (2, y)], [(1, x + y), (2, "some other words " + x), (2, z + z[::-1])], [(None, x), (None, y), (3, x), (3, x), (4, x + y)]):
+        assert key(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_suffixes(rows)
+
+
+def test_long_texts_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 300)
+    monkeypatch.setattr(suffix, "MOST_SUFFIXES", 16)
+    monkeypatch.setattr(suffix, "BATCH_SUFFIXES", 50)
+    texts = [prose(5, 400).encode(), b"a" * 900, b"ab" * 300 + b"c", b"", b"short", prose(5, 90).encode() + b"a" * 77]
+    doc, first, last, _ = suffix.units(texts)
+    seen = sorted((int(d), p) for d, a, b in zip(doc, first, last, strict=True) for p in range(a, b + 1))
+    assert seen == [(d, p) for d, t in enumerate(texts) for p in range(len(t) - 49)] and (last - first).max() < 16
+    rows = [(k, t.decode()) for k, t in enumerate(texts)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_suffixes(rows)
+
+
 def test_levels_stay_few():
     family, r = suffix.SuffixFamily(), np.random.default_rng(0)
     seen = {}

@@ -33,7 +33,7 @@ def test_stages(spark, sf_dir):
     rows = [(i, t) for (i, t), s in zip(rows, toxicity.Scorer(net).scores([t or "" for _, t in rows]), strict=True) if s < 0.7]
     assert not any(100 <= i < 200 for i, _ in rows) and len(rows) > 70
     _, gone = plain_removed(spark, rows)
-    rows = [(i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)) for i, t in rows]
+    rows = [(i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, t, p) not in gone)) for i, t in rows]
     prints = {i: plain_fingerprint(t) for i, t in rows}
     fps = sorted(set(prints.values()))
     root = united(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3])

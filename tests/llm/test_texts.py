@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from praxilog.llm import langid, pieces, quality, queries, tokencount, toxicity
@@ -102,24 +103,71 @@ def test_token_counts_and_their_cache(spark, docs, no_docs, rows):
     assert tokencount.count_tokens(no_docs, model, scratch(spark, "cache")).count() == 0
 
 
+def plain_logit(net, x):
+    """The network over one window, place by place; ``x`` holds the words' inputs."""
+    u = toxicity.UNITS
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((2, len(x), u))
+    for way, order in enumerate((range(len(x)), range(len(x) - 1, -1, -1))):
+        h = np.zeros(u)
+        for t in order:
+            gates = (x[t] @ net.enter + net.bias)[way * 3 * u : (way + 1) * 3 * u]
+            again = h @ net.recur[way]
+            z, r = sigmoid(gates[:u] + again[:u]), sigmoid(gates[u : 2 * u] + again[u : 2 * u])
+            h = z * h + (1 - z) * np.tanh(gates[2 * u :] + r * again[2 * u :])
+            states[way, t] = h
+    both = np.concatenate(states, axis=1)
+    e = np.exp(np.tanh(both @ net.look) @ net.weigh)
+    return (e / e.sum()) @ both @ net.out + net.base[0]
+
+
+def plain_input(net, word):
+    own = xxhash.xxh32_intdigest(word) % toxicity.WORD_ROWS
+    framed = b"^" + word + b"$"
+    grams = [((framed[k] * 961 + framed[k + 1] * 31 + framed[k + 2]) * 2654435761 >> 8) % toxicity.GRAM_ROWS for k in range(len(framed) - 2)]
+    return net.word[own if net.common[own] else 0] + np.mean([net.gram[g] for g in grams], axis=0)
+
+
+def test_scores_are_those_of_a_plain_network():
+    net = toxicity.Network.new(3)
+    net.common[::2] = False
+    for k in ("word", "gram", "enter", "bias"):
+        setattr(net, k, getattr(net, k) * 4 + 0.01)
+    documents = [" ".join(f"{w}{k}" for w in ("alpha", "beta", "x", "straße")) * n for k, n in enumerate((1, 3, 20, 60))] + ["one"]
+    got = toxicity.Scorer(net).scores(documents)
+    for text, score in zip(documents, got, strict=True):
+        words = text.lower().encode().split()
+        logits = [plain_logit(net, [plain_input(net, w) for w in words[a:b]]) for a, b in toxicity.cut_windows(len(words))]
+        assert score == pytest.approx(max(1 / (1 + np.exp(-x)) for x in logits), abs=1e-5)
+
+
 def test_gradients_are_those_of_finite_differences():
     rng, net = np.random.default_rng(0), toxicity.Network.new(1)
     for k, v in vars(net).items():
-        setattr(net, k, v.astype(np.float64) * 2)
-    table, at = rng.normal(0, 1, (20, 6 * toxicity.UNITS)), rng.integers(0, 20, (3, toxicity.WINDOW))
+        if k != "common":
+            setattr(net, k, v.astype(np.float64) * 2)
+    words = toxicity.Vocabulary([b"w%d" % k for k in range(20)] + [b"w", b"abcabcabc"])
+    at = rng.integers(0, 22, (3, toxicity.WINDOW))
     mask = np.arange(toxicity.WINDOW) < np.array([[5], [48], [20]])
-    weights = np.array([1.0, -2.0, 0.5])
-    _, kept = toxicity.forward(net, table, at, mask, keep=True)
-    _, grads = toxicity.backward(net, kept, weights)
-    for k in ("recur", "look", "weigh", "out", "base"):
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        table = words.vectors(net, np.arange(22)) @ net.enter + net.bias
+        p = toxicity.sigmoid(toxicity.forward(net, table, at, mask)[0])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grads = toxicity.gradients(net, words, at, mask, y)
+    assert set(grads) == {"word", "gram", "enter", "bias", "recur", "look", "weigh", "out", "base"}
+    places = {"word": (words.own[at[1, 0]], 3), "gram": (words.trigrams(np.array([21]))[0][1], 5)}
+    for k, g in grads.items():
         v = getattr(net, k)
-        i = tuple(rng.integers(0, n) for n in v.shape)
-        old, ends = v[i], []
-        for e in (1e-3, -1e-3):
-            v[i] = old + e
-            ends.append(toxicity.forward(net, table, at, mask)[0] @ weights)
-        v[i] = old
-        assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(grads[k][i], rel=2e-2, abs=1e-4)
+        for i in (places.get(k, tuple(rng.integers(0, n) for n in v.shape)), np.unravel_index(np.abs(g).argmax(), g.shape)):
+            old, ends = v[i], []
+            for e in (1e-4, -1e-4):
+                v[i] = old + e
+                ends.append(loss())
+            v[i] = old
+            assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(g[i], rel=1e-2, abs=1e-6), k
 
 
 def test_toxic_words_are_found_anywhere(spark, docs, no_docs):
