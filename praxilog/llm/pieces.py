@@ -15,6 +15,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ CACHED_WORDS = 300_000
 #: Symbols from which on a word has a heap of its own as its agenda; shorter ones are merged together.
 LONG = 24
 NEVER = 1 << 60
+#: Stands, among words, for a mark in a text itself; half a surrogate pair, which no text of a table has.
+LITERAL = "\udfff"
 _MASK = (1 << 64) - 1
 
 
@@ -41,6 +44,12 @@ def skips(key: int, place: int, rank: int) -> int:
     return (x ^ x >> 29) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places from each start on, as many as the sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class PieceCodec:
     """Encodes and decodes by a merge-type (BPE) SentencePiece model with byte fallback."""
 
@@ -59,9 +68,11 @@ class PieceCodec:
             score = own.get_score(self.ids[p])
             self.rank[p] = len(self.rank) if last is None or score != last else self.rank[before]
             last, before = score, p
-        self.plain = [own.id_to_piece(i).replace(MARK, " ").encode() if not kinds[i] else b"" for i in range(n)]
+        plain = [own.id_to_piece(i).replace(MARK, " ").encode() if not kinds[i] else b"" for i in range(n)]
         for b, i in enumerate(self.bytes_):
-            self.plain[i] = bytes([b])
+            plain[i] = bytes([b])
+        self.plain, self.plain_sizes = np.frombuffer(b"".join(plain), np.uint8), np.array([len(x) for x in plain])
+        self.plain_starts = np.cumsum(self.plain_sizes) - self.plain_sizes
         self.simple = re.compile("[" + "".join(map(re.escape, (p for p in self.ids if len(p) == 1))) + "]+").fullmatch
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         newline = any("\n" in p for p in self.ids)
@@ -77,15 +88,21 @@ class PieceCodec:
         self.forget()
 
     def forget(self) -> None:
-        """Drops the words' plain merges: their pieces, and the place and rank of each merge, ``counts`` of them from ``starts`` on."""
+        """Drops what is kept of words.
+
+        That is, one word after the other: the numbers of their plain pieces; the place and
+        rank of each plain merge; and of easy ones, whose characters are all pieces, their
+        symbols with each symbol's rank and whole with the next.
+        """
         self.known: dict[str, int] = {}
-        self.made: list[bytes] = []
-        self.easy: list[bool] = []
-        self.starts = self.counts = self.places = np.zeros(0, np.int64)
-        self.ranks = self.places
+        self.kept = {k: np.zeros(0, np.int64) for k in ("numbers", "places", "ranks", "symbols", "pairs", "wholes")}
+        self.sizes = {k: np.zeros(0, np.int64) for k in ("numbers", "places", "symbols")}
+        self.starts = dict(self.sizes)
 
     def merged(self, word: str, key: int, trace: list[tuple[int, int]] | None = None) -> list[str]:
         """Pieces of a word; symbols that no piece has stay as they are. With a ``trace``, none is skipped and it gets each merge's place and rank."""
+        if word == LITERAL:
+            return [word]
         if len(word) >= LONG:
             return self.merged_long(word, key, trace)
         rank, dropped = self.rank.get, self.dropped
@@ -135,6 +152,8 @@ class PieceCodec:
         return [p for p in parts if p]
 
     def numbers(self, pieces: list[str]) -> bytes:
+        if pieces == [LITERAL]:
+            return array("i", [self.bytes_[b] for b in MARK.encode()]).tobytes()
         out = []
         for p in pieces:
             if (i := self.ids.get(p)) is not None:
@@ -143,35 +162,48 @@ class PieceCodec:
                 out += [self.bytes_[b] for b in p.encode("utf-8", "surrogatepass")]
         return array("i", out).tobytes()
 
-    def merged_together(self, words: list[str], keys: list[int], trace: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
-        """Numbers of many words at once, in step: each step takes every word's best candidate from its agenda.
-
-        The words' characters must all be pieces. Words of like length should come together.
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and wholes of pairs of symbols; NEVER where they don't merge."""
+        pair = left * self.n + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        whole = self.wholes[at]
+        return np.where(self.pairs[at] == pair, self.by_id[whole], NEVER), whole
+
+    def symbols_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes of words, their symbols, and the rank and whole of each symbol with the next; their characters must all be pieces."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        symbols = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")].astype(np.int64)
+        ranks, wholes = self.candidates(symbols, np.append(symbols[1:], 0))
+        ranks[np.cumsum(sizes) - 1] = NEVER
+        return sizes, symbols, ranks, wholes
+
+    def merged_together(self, words: list[str], keys: list[int] | np.ndarray) -> list[bytes]:
+        """Numbers of many words at once; see :meth:`in_step`."""
+        numbers, counts = self.in_step(*self.symbols_of(words), np.array(keys, np.uint64))
+        return [x.astype("<i4").tobytes() for x in np.split(numbers, np.cumsum(counts)[:-1])]
+
+    def in_step(self, sizes: np.ndarray, symbols: np.ndarray, pairs: np.ndarray, wholes_: np.ndarray, key: np.ndarray, trace: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of many words, and how many each has: each step takes every word's best candidate from its agenda.
+
+        Words of like length should come together. With a ``trace``, none is skipped and it
+        gets each merge's word, place and rank.
         """
-        width, rows = max(map(len, words)), np.arange(len(words))
-        flat = self.of_char[np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), "<u4")].astype(np.int64)
-        sizes = np.array([len(w) for w in words])
-        column = np.tile(np.arange(width), len(words))
-        base = np.repeat(rows * width, width)
-        alive = column < np.repeat(sizes, width)
-        after = np.where(column + 1 < np.repeat(sizes, width), base + column + 1, -1)
-        before = np.where((column > 0) & alive, base + column - 1, -1)
-        ranks, wholes = np.full(len(flat), NEVER), np.zeros(len(flat), np.int64)
+        width, rows = int(sizes.max()), np.arange(len(sizes))
+        alive = (np.arange(width) < sizes[:, None]).ravel()
+        flat, ranks, wholes = np.zeros(len(alive), np.int64), np.full(len(alive), NEVER), np.zeros(len(alive), np.int64)
+        flat[alive], ranks[alive], wholes[alive] = symbols, pairs, wholes_
+        place = np.arange(len(alive))
+        after = np.where(alive & np.append(alive[1:], False) & ((place + 1) % width != 0), place + 1, -1)
+        before = np.where(alive & (place % width != 0), place - 1, -1)
 
         def offer(at: np.ndarray) -> None:
             """Puts the candidates that begin at these symbols on the agenda."""
             at = at[at >= 0]
             ranks[at] = NEVER
             at = at[after[at] >= 0]
-            pair = flat[at] * self.n + flat[after[at]]
-            found = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            real = self.pairs[found] == pair
-            at, whole = at[real], self.wholes[found[real]]
-            ranks[at], wholes[at] = self.by_id[whole], whole
-
-        offer(np.flatnonzero(alive))
-        key = np.array(keys, np.uint64)
-        table = ranks.reshape(len(words), width)
+            ranks[at], wholes[at] = self.candidates(flat[at], flat[after[at]])
+
+        table = ranks.reshape(len(sizes), width)
         while len(rows):
             at = rows * width + table[rows].argmin(axis=1)
             going = ranks[at] < NEVER
@@ -179,11 +211,9 @@ class PieceCodec:
             if not len(rows):
                 break
             if trace is not None:
-                trace.append((rows, column[at], ranks[at]))
+                trace.append((rows, at % width, ranks[at]))
             elif self.dropped:
-                x = key[rows] ^ column[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ranks[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                drop = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)) < self.dropped
+                drop = self.dropping(key[rows], at % width, ranks[at])
                 ranks[at[drop]] = NEVER
                 at = at[~drop]
             gone = after[at]
@@ -194,83 +224,97 @@ class PieceCodec:
             before[after[at][right]] = at[right]
             offer(at)
             offer(before[at])
-        numbers, ends = flat[alive].astype("<i4").tobytes(), np.cumsum(alive.reshape(len(words), width).sum(axis=1)).tolist()
-        return [numbers[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return flat[alive], alive.reshape(len(sizes), width).sum(axis=1)
+
+    def dropping(self, keys: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Which candidates are skipped; see :func:`skips`."""
+        x = keys ^ places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ranks.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)) < self.dropped
 
     def learn(self, new: list[str]) -> None:
-        """Keeps the plain merges of words."""
+        """Keeps what words are made of."""
         new.sort(key=len)
+        kept = {k: [v] for k, v in self.kept.items()}
+        sizes = {k: [v] for k, v in self.sizes.items()}
         easy = [len(w) < LONG and self.simple(w) is not None for w in new]
-        places, ranks, counts = [self.places], [self.ranks], []
-        for flag in (True, False):
-            chosen = [w for w, e in zip(new, easy, strict=True) if e is flag]
-            for start in range(0, len(chosen), 20_000):
-                part = chosen[start : start + 20_000]
-                if flag:
-                    steps_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    self.made += self.merged_together(part, [0] * len(part), steps_)
-                    row, place, rank = (np.concatenate([t[k] for t in steps_] or [np.zeros(0, np.int64)]) for k in range(3))
-                    order = np.argsort(row, kind="stable")
-                    places.append(place[order])
-                    ranks.append(rank[order])
-                    counts.append(np.bincount(row, minlength=len(part)))
-                else:
-                    for word in part:
-                        trace: list[tuple[int, int]] = []
-                        self.made.append(self.numbers(self.merged(word, 0, trace)))
-                        own = np.array(trace, np.int64).reshape(-1, 2)
-                        places.append(own[:, 0])
-                        ranks.append(own[:, 1])
-                        counts.append(np.array([len(own)]))
-            for word in chosen:
-                self.known[word] = len(self.known)
-            self.easy += [flag] * len(chosen)
-        self.places, self.ranks = np.concatenate(places), np.concatenate(ranks)
-        self.counts = np.concatenate([self.counts, *counts])
-        self.starts = np.cumsum(self.counts) - self.counts
+        chosen = [w for w, e in zip(new, easy, strict=True) if e]
+        for start in range(0, len(chosen), 20_000):
+            own = self.symbols_of(chosen[start : start + 20_000])
+            trace: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            numbers, counts = self.in_step(*own, np.zeros(len(own[0]), np.uint64), trace)
+            row, place, rank = (np.concatenate([t[k] for t in trace] or [np.zeros(0, np.int64)]) for k in range(3))
+            order = np.argsort(row, kind="stable")
+            for k, v in {"numbers": numbers, "places": place[order], "ranks": rank[order], "symbols": own[1], "pairs": own[2], "wholes": own[3]}.items():
+                kept[k].append(v)
+            for k, v in {"numbers": counts, "places": np.bincount(row, minlength=len(counts)), "symbols": own[0]}.items():
+                sizes[k].append(v)
+        odd = [w for w, e in zip(new, easy, strict=True) if not e]
+        for word in odd:
+            steps_: list[tuple[int, int]] = []
+            numbers = np.frombuffer(self.numbers(self.merged(word, 0, steps_)), "<i4").astype(np.int64)
+            merges = np.array(steps_, np.int64).reshape(-1, 2)
+            for k, v in {"numbers": numbers, "places": merges[:, 0], "ranks": merges[:, 1]}.items():
+                kept[k].append(v)
+            for k, v in {"numbers": len(numbers), "places": len(merges), "symbols": 0}.items():
+                sizes[k].append(np.array([v]))
+        self.known.update(zip(chosen + odd, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.kept = {k: np.concatenate(v) for k, v in kept.items()}
+        self.sizes = {k: np.concatenate(v) for k, v in sizes.items()}
+        self.starts = {k: np.cumsum(v) - v for k, v in self.sizes.items()}
+
+    def places_of(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """Where what is kept of words lies, word by word."""
+        return runs(self.starts[kind][ids], self.sizes[kind][ids])
 
     def skipping(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Which occurrences of words skip one of their plain merges or more; the others' pieces are the plain ones."""
-        counts = self.counts[ids]
-        owner = np.repeat(np.arange(len(ids)), counts)
-        at = np.arange(len(owner)) + np.repeat(self.starts[ids] - (np.cumsum(counts) - counts), counts)
-        x = keys[owner] ^ self.places[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.ranks[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        drop = ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)) < self.dropped
+        owner = np.repeat(np.arange(len(ids)), self.sizes["places"][ids])
+        at = self.places_of("places", ids)
+        drop = self.dropping(keys[owner], self.kept["places"][at], self.kept["ranks"][at])
         return np.flatnonzero(np.bincount(owner[drop], minlength=len(ids)))
 
     def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
         """Piece numbers of texts; a mark in a text itself becomes its bytes, so that decoding gives it back."""
         if len(self.known) > CACHED_WORDS:
             self.forget()
-        own = np.array([self.bytes_[b] for b in MARK.encode()], "<i4").tobytes()
         words: list[str] = []
-        ends: list[list[int]] = []
-        keys = [np.zeros(0, np.uint64)]
+        ends, keys = [], [np.zeros(0, np.uint64)]
         for text in texts_:
-            first, bounds = len(words), [len(words)]
+            first = len(words)
             for k, part in enumerate(text.split(MARK) if text else ()):
+                if k:
+                    words.append(LITERAL)
                 words += self.split((MARK if not k else "") + part.replace(" ", MARK))
-                bounds.append(len(words))
-            ends.append(bounds)
+            ends.append(len(words))
             if self.dropped:
                 keys.append(self.keys(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed), len(words) - first))
-        self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-        ids = [self.known[w] for w in words]
-        numbers = [self.made[i] for i in ids]
+        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(ids < 0)):
+            self.learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
+            ids[missing] = [self.known[words[i]] for i in missing.tolist()]
+        starts, counts, pool = self.starts["numbers"][ids], self.sizes["numbers"][ids], [self.kept["numbers"]]
         if self.dropped and words:
-            key = np.concatenate(keys)
-            apart = self.skipping(np.array(ids), key).tolist()
-            apart.sort(key=lambda i: len(words[i]))
-            together = [i for i in apart if self.easy[ids[i]]]
-            for start in range(0, len(together), 20_000):
-                part = together[start : start + 20_000]
-                for i, made in zip(part, self.merged_together([words[i] for i in part], key[part]), strict=True):
-                    numbers[i] = made
-            for i in apart:
-                if not self.easy[ids[i]]:
-                    numbers[i] = self.numbers(self.merged(words[i], int(key[i])))
-        return [np.frombuffer(own.join(b"".join(numbers[a:b]) for a, b in zip(bounds, bounds[1:])), "<i4") for bounds in ends]  # noqa: B905
+            key, size = np.concatenate(keys), len(pool[0])
+            apart = self.skipping(ids, key)
+            lengths = self.sizes["symbols"][ids[apart]]
+            apart = apart[np.argsort(lengths, kind="stable")]
+            odd = apart[: np.count_nonzero(lengths == 0)]
+            for start in range(len(odd), len(apart), 20_000):
+                part = apart[start : start + 20_000]
+                at = self.places_of("symbols", ids[part])
+                numbers, counts[part] = self.in_step(self.sizes["symbols"][ids[part]], *(self.kept[k][at] for k in ("symbols", "pairs", "wholes")), key[part])
+                starts[part] = size + np.cumsum(counts[part]) - counts[part]
+                pool.append(numbers)
+                size += len(numbers)
+            for i in odd.tolist():
+                numbers = np.frombuffer(self.numbers(self.merged(words[i], int(key[i]))), "<i4")
+                starts[i], counts[i] = size, len(numbers)
+                pool.append(numbers)
+                size += len(numbers)
+        flat = np.concatenate(pool)[runs(starts, counts)].astype("<i4")
+        bounds = np.append(0, np.cumsum(counts))[[0, *ends]].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -282,9 +326,12 @@ class PieceCodec:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
+    def decode_bytes(self, numbers: np.ndarray) -> bytes:
+        data = self.plain[runs(self.plain_starts[numbers], self.plain_sizes[numbers])].tobytes()
+        return data[1:] if data.startswith(b" ") else data
+
     def decode(self, numbers: np.ndarray) -> str:
-        text = b"".join(map(self.plain.__getitem__, numbers.tolist())).decode("utf-8", "surrogatepass")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_bytes(numbers).decode("utf-8", "surrogatepass")
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: dict[str, Column] | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
@@ -304,7 +351,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: dict[str, Co
             sizes = [len(n) for n in numbers]
             flat = np.concatenate(numbers) if numbers else np.zeros(0, "<i4")
             pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
-            same = [codec.decode(n) == t for n, t in zip(numbers, own, strict=True)]
+            same = [codec.decode_bytes(n) == t.encode("utf-8", "surrogatepass") for n, t in zip(numbers, own, strict=True)]
             yield added(b, "__text", pieces=pieces, n_pieces=pa.array(sizes, pa.int64()), lossless=pa.array(same, pa.bool_()))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("__text").dtypes)

@@ -94,10 +94,10 @@ def forward(net: Network, table: np.ndarray, at: np.ndarray, mask: np.ndarray, k
     """Logits of windows. table: gate inputs of words (6 UNITS); at, mask: lanes x WINDOW, places in the table and whether they hold a word."""
     lanes, length = mask.shape
     x = np.stack([table[at.T, : 3 * UNITS], table[at.T[::-1], 3 * UNITS :]], axis=1)  # length x 2 x lanes x 3 UNITS
-    m = np.stack([mask.T, mask.T[::-1]], axis=1).astype(np.float32)[..., None]
+    m = np.stack([mask.T, mask.T[::-1]], axis=1).astype(table.dtype)[..., None]
     full = mask.all(axis=0)
     full &= full[::-1]
-    states = np.zeros((length + 1, 2, lanes, UNITS), np.float32)
+    states = np.zeros((length + 1, 2, lanes, UNITS), table.dtype)
     kept: dict = {"g": [], "n": [], "q": []}
     for t in range(length):
         u = states[t] @ net.recur
@@ -120,7 +120,7 @@ def forward(net: Network, table: np.ndarray, at: np.ndarray, mask: np.ndarray, k
         np.add(states[t], d, out=states[t + 1])
     both = np.concatenate([states[1:, 0], states[:0:-1, 1]], axis=-1)  # length x lanes x 2 UNITS
     eyes = np.tanh(both @ net.look)
-    e = np.where(mask.T, eyes @ net.weigh, np.float32(-1e9))
+    e = np.where(mask.T, eyes @ net.weigh, table.dtype.type(-1e9))
     e = np.exp(e - e.max(axis=0))
     e /= e.sum(axis=0)
     pooled = np.einsum("tl,tlh->lh", e, both)
@@ -141,9 +141,9 @@ def backward(net: Network, kept: dict, dlogit: np.ndarray) -> tuple[np.ndarray,
     dboth = dboth + deyes @ net.look.T
     length, lanes = e.shape
     dstates = np.stack([dboth[..., :UNITS], dboth[::-1, :, UNITS:]], axis=1)
-    dx = np.zeros((2, lanes, length, 3 * UNITS), np.float32)
+    dx = np.zeros((2, lanes, length, 3 * UNITS), both.dtype)
     grads["recur"] = np.zeros_like(net.recur)
-    dh = np.zeros((2, lanes, UNITS), np.float32)
+    dh = np.zeros((2, lanes, UNITS), both.dtype)
     for t in range(length - 1, -1, -1):
         n, h, q = (kept[k][t] for k in "nhq")
         z, r = kept["g"][t][..., :UNITS], kept["g"][t][..., UNITS:]
@@ -253,7 +253,7 @@ def gradients(net: Network, words: Vocabulary, at: np.ndarray, mask: np.ndarray,
     used, back = np.unique(at, return_inverse=True)
     back = back.reshape(at.shape)
     x = words.vectors(net, used)
-    logits, kept = forward(net, x @ net.enter + net.bias, back, mask, keep=True)
+    logits, kept = forward(net, (x @ net.enter + net.bias).astype(net.out.dtype), back, mask, keep=True)
     dentered, grads = backward(net, kept, ((sigmoid(logits) - y) / len(y)).astype(net.out.dtype))
     dentered *= mask[..., None]
     dtable = np.zeros((len(used), 6 * UNITS), net.out.dtype)
