@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
 import unicodedata
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,85 +18,114 @@ from ..schema import ATTEMPT_KINDS, ATTEMPTS, CONTENT, DURATION_SCOPES, IDENTIFI
 from ..sources.projection import hashed
 
 SAMPLES = 50
-
-
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-def normal_text(c: Column) -> Column:
-    """Trimmed, and in composed form where it isn't ASCII."""
-    t = F.trim(c)
-    return F.when(t.rlike(r"[^\x00-\x7F]"), _nfc(t)).otherwise(t)
-
-
-def _get(name: str, kind: str) -> Column:
-    return F.try_variant_get("v", f"$.{name}", kind)
-
-
-def _type(name: str) -> Column:
-    return F.schema_of_variant(F.variant_get("v", f"$.{name}", "variant"))
-
-
-def _missing(name: str) -> Column:
-    return _type(name).isNull() | (_type(name) == "VOID")
+ARROW = {"array<string>": pa.list_(pa.string()), "boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64(), "timestamp": pa.timestamp("us", "UTC")}
+
+
+WORDS = {"attempt_kind": (ATTEMPT_KINDS, "unknown"), "order_scope": (ORDER_SCOPES, "learner"), "time_semantics": (TIME_SEMANTICS, "unknown"), "duration_scope": (DURATION_SCOPES, "unknown")}
+FIELDS = {f.name for f in ATTEMPTS} - {"identity", "content_hash"}
+#: What a time looks like; its numbers are checked by reading it.
+MOMENT = re.compile(r"\d{4}-\d\d-\d\d[Tt _].*(?:[Zz]|[+-]\d\d(?::?\d\d)?)").fullmatch
+
+
+def identifier(value: object) -> str:
+    """Text without white space at its ends, in composed form."""
+    if not isinstance(value, str):
+        raise ValueError("is no text")
+    value = unicodedata.normalize("NFC", value.strip())
+    if not 1 <= len(value) <= IDENTIFIER_LENGTH or any(c < " " for c in value) or any("\ud800" <= c <= "\udfff" for c in value):
+        raise ValueError("is empty, too long or has control characters")
+    return value
+
+
+def moment(value: object) -> datetime:
+    if not isinstance(value, str) or not MOMENT(value):
+        raise ValueError("has no zone or isn't a time")
+    return datetime.fromisoformat(value.upper().replace("_", " ")).astimezone(UTC)
+
+
+def number(value: object) -> float:
+    if isinstance(value, bool) or not isinstance(value, int | float) or not 0 <= float(value) < math.inf:
+        raise ValueError("is no number from 0")
+    return float(value)
+
+
+def attempt(text: str, namespace: str, learner: str) -> dict[str, object]:
+    """The content of one record; a ValueError names the first rule that it breaks."""
+    try:
+        raw = json.loads(text)
+    except (ValueError, RecursionError):
+        raise ValueError("not valid JSON") from None
+    if not isinstance(raw, dict):
+        raise ValueError("not a JSON object")
+    if not raw.keys() <= FIELDS:
+        raise ValueError("unknown field")
+    if raw.get("schema_version", VERSION) != VERSION:
+        raise ValueError("schema_version is unknown")
+    out: dict[str, object] = {"schema_version": VERSION}
+    field = ""
+    try:
+        for field in ("source_namespace", "event_id", "learner_id", "question_id"):
+            out[field] = identifier(raw.get(field, {"source_namespace": namespace, "learner_id": learner}.get(field)))
+        for field in ("session_id", "bundle_id"):
+            out[field] = None if raw.get(field) is None else identifier(raw[field])
+        field = "skills"
+        tags = raw.get("skills")
+        if not isinstance(tags, list | None):
+            raise ValueError("are no list")
+        out["skills"] = sorted({identifier(t) for t in tags or ()})
+        field = "correct"
+        if type(raw.get("correct")) is not bool:
+            raise ValueError("is no boolean")
+        out["correct"] = raw["correct"]
+        field = "source_sequence"
+        if type(raw.get("source_sequence")) is not int or not 0 <= raw["source_sequence"] < 1 << 63:
+            raise ValueError("is no whole number from 0")
+        out["source_sequence"] = raw["source_sequence"]
+        field = "timestamp"
+        out["timestamp"] = None if raw.get("timestamp") is None else moment(raw["timestamp"])
+        field = "duration_ms"
+        out["duration_ms"] = None if raw.get("duration_ms") is None else number(raw["duration_ms"])
+        for field, (words, default) in WORDS.items():
+            out[field] = raw.get(field, default)
+            if not isinstance(out[field], str) or out[field] not in words:
+                raise ValueError("is none of its words")
+    except (ValueError, OverflowError) as e:
+        raise ValueError(f"{field} {e}") from None
+    for known, words in (("timestamp", "time_semantics"), ("duration_ms", "duration_scope")):
+        if out[known] is None and out[words] != "unknown":
+            raise ValueError(f"{words} without {known}")
+    if out["source_namespace"] != namespace:
+        raise ValueError("source_namespace differs from the import's")
+    return out
 
 
 def validated(records: DataFrame, namespace: str = "local", learner: str = "local-learner") -> DataFrame:
     """Records as attempts with digests, ``row``, and ``reason``, the first rule that a record breaks (null for good ones).
 
     Types are exact: a number is no boolean and text is no number. Times need a zone.
-    Unknown fields are refused. Absent namespaces, learners and codes have their defaults.
+    Identifiers and skills lose white space at their ends and are composed; unknown fields
+    are refused; of a field that a record repeats the last counts. Absent namespaces,
+    learners and codes have their defaults. Each record is parsed once, in batches.
     """
-    allowed = [f.name for f in ATTEMPTS if f.name not in ("identity", "content_hash")]
-    rows = records.withColumn("v", F.try_parse_json("value"))
-    reasons = [F.col("error"), F.when(F.col("v").isNull(), "not valid JSON"), F.when(F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, allowed)))) > 0, "unknown field")]
-    out: dict[str, Column] = {"schema_version": F.lit(VERSION)}
-    reasons.append(F.when(~_missing("schema_version") & ~F.coalesce(_get("schema_version", "string") == VERSION, F.lit(False)), "schema_version is unknown"))
-
-    def identifier(name: str, default: str | None, optional: bool) -> None:
-        text = normal_text(_get(name, "string"))
-        wrong = (_type(name) != "STRING") | ~F.length(text).between(1, IDENTIFIER_LENGTH) | text.rlike(r"[\x00-\x1F]")
-        gone = _missing(name)
-        reasons.append(F.when(~gone & F.coalesce(wrong, F.lit(True)), f"{name} is no identifier"))
-        if default is None and not optional:
-            reasons.append(F.when(gone, f"{name} is missing"))
-        out[name] = F.when(gone, F.lit(default)).otherwise(text)
-
-    identifier("source_namespace", namespace, False)
-    identifier("event_id", None, False)
-    identifier("learner_id", learner, False)
-    identifier("question_id", None, False)
-    tags = F.transform(_get("skills", "array<string>"), lambda t: F.trim(t))
-    reasons.append(F.when(~_missing("skills") & ~F.coalesce(_type("skills").isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(tags, lambda t: F.coalesce(F.length(t).between(1, IDENTIFIER_LENGTH), F.lit(False))), F.lit(False)), "skills are no list of identifiers"))
-    out["skills"] = F.coalesce(F.array_sort(F.array_distinct(tags)), F.array().cast("array<string>"))
-    reasons.append(F.when(F.coalesce(_type("correct") != "BOOLEAN", F.lit(True)), "correct is no boolean"))
-    out["correct"] = _get("correct", "boolean")
-
-    def code(name: str, words: tuple[str, ...], default: str) -> None:
-        reasons.append(F.when(~_missing(name) & ~F.coalesce((_type(name) == "STRING") & _get(name, "string").isin(*words), F.lit(False)), f"{name} is none of its words"))
-        out[name] = F.when(_missing(name), default).otherwise(_get(name, "string"))
-
-    code("attempt_kind", ATTEMPT_KINDS, "unknown")
-    reasons.append(F.when(~F.coalesce((_type("source_sequence") == "BIGINT") & (_get("source_sequence", "bigint") >= 0), F.lit(False)), "source_sequence is no whole number from 0"))
-    out["source_sequence"] = _get("source_sequence", "bigint")
-    stamp = _get("timestamp", "string")
-    reasons.append(F.when(~_missing("timestamp") & ~F.coalesce((_type("timestamp") == "STRING") & stamp.rlike(r"[T ].*(Z|[+-]\d\d:?\d\d)$") & F.try_to_timestamp(stamp).isNotNull(), F.lit(False)), "timestamp has no zone or isn't one"))
-    out["timestamp"] = F.try_to_timestamp(stamp)
-    duration = _get("duration_ms", "double")
-    reasons.append(F.when(~_missing("duration_ms") & ~F.coalesce(_type("duration_ms").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (duration >= 0) & (duration < float("inf")), F.lit(False)), "duration_ms is no number from 0"))
-    out["duration_ms"] = duration
-    identifier("session_id", None, True)
-    identifier("bundle_id", None, True)
-    code("order_scope", ORDER_SCOPES, "learner")
-    code("time_semantics", TIME_SEMANTICS, "unknown")
-    code("duration_scope", DURATION_SCOPES, "unknown")
-    reasons.append(F.when(_missing("timestamp") & (out["time_semantics"] != "unknown"), "time_semantics without timestamp"))
-    reasons.append(F.when(_missing("duration_ms") & (out["duration_scope"] != "unknown"), "duration_scope without duration_ms"))
-    reasons.append(F.when(out["source_namespace"] != namespace, "source_namespace differs from the import's"))
-    good = rows.select("row", F.coalesce(*reasons).alias("reason"), *[out[c].alias(c) for c in CONTENT])
-    return hashed(good)
+    kinds = {f.name: f for f in ATTEMPTS}
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("reason", T.StringType()), *[kinds[c] for c in CONTENT]])
+    arrow = pa.schema([("row", pa.int64()), ("reason", pa.string()), *[(c, ARROW.get(kinds[c].dataType.simpleString(), pa.string())) for c in CONTENT]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns: dict[str, list] = {c: [] for c in arrow.names}
+            for row, value, error in zip(b.column("row").to_pylist(), b.column("value").to_pylist(), b.column("error").to_pylist(), strict=True):
+                found: dict[str, object] = {"row": row, "reason": error}
+                if error is None:
+                    try:
+                        found |= attempt(value or "", namespace, learner)
+                    except ValueError as e:
+                        found["reason"] = str(e)
+                for c, kept in columns.items():
+                    kept.append(found.get(c))
+            yield pa.RecordBatch.from_pydict(columns, schema=arrow)
+
+    return hashed(records.select("row", "value", "error").mapInArrow(run, schema))
 
 
 def classified(attempts: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -116,6 +150,7 @@ def import_counts(rows: DataFrame) -> DataFrame:
         F.count("*").alias("received"), is_("accepted").alias("accepted"), is_("duplicate").alias("duplicates"), is_("conflict").alias("conflicts"), is_("rejected").alias("rejected"),
         F.count_if(good & F.col("timestamp").isNull()).alias("no_timestamp"), F.count_if(good & F.col("duration_ms").isNull()).alias("no_duration"), F.count_if(good & F.col("session_id").isNull()).alias("no_session"),
         F.count_if(good & (F.size("skills") == 0)).alias("no_skills"), F.count_if(good & (F.col("time_semantics") == "shifted")).alias("shifted"),
+        F.count_if(good & (F.col("order_scope") == "question")).alias("question_only"), F.count_if(good & (F.col("duration_scope") == "bundle")).alias("bundle_duration"),
     )
 
 

@@ -16,22 +16,26 @@ from .overview import item_durations
 @dataclass(frozen=True)
 class PlanConfig:
     budget_seconds: float = 900.0
-    deficit_weight: float = 1.0
-    uncertainty_weight: float = 0.5
-    priority_weight: float = 0.5
-    recent_window: int = 5
+    deficit_weight: float = 0.4
+    uncertainty_weight: float = 0.4
+    priority_weight: float = 0.2
+    recent_window: int = 10
     recent_penalty: float = 0.25
-    minimum_durations: int = 1
-    maximum_actions: int = 50
-    prerequisite_bound: float = 0.5
+    minimum_durations: int = 3
+    maximum_actions: int = 12
+    prerequisite_bound: float = 0.6
     priorities: dict[str, float] = field(default_factory=dict)
     prerequisites: dict[str, list[str]] = field(default_factory=dict)
+    #: Questions to choose from; all that the learner tried where it is empty.
+    available: tuple[str, ...] = ()
 
     def check(self) -> None:
-        """Weights must be finite and prerequisites without cycles."""
-        numbers = [self.budget_seconds, self.deficit_weight, self.uncertainty_weight, self.priority_weight, *self.priorities.values()]
-        if any(not math.isfinite(x) or x < 0 for x in numbers) or self.budget_seconds <= 0:
-            raise ValueError("weights must be finite and not negative, the budget positive")
+        """Weights must be finite and not all zero, limits within theirs, and prerequisites without cycles."""
+        weights = [self.deficit_weight, self.uncertainty_weight, self.priority_weight]
+        if any(not math.isfinite(x) or x < 0 for x in [self.budget_seconds, *weights, *self.priorities.values()]) or self.budget_seconds <= 0 or not sum(weights):
+            raise ValueError("weights must be finite, not negative and not all zero, the budget positive")
+        if not (1 <= self.maximum_actions <= 100 and 0 <= self.recent_window <= 1000 and 0 < self.prerequisite_bound < 1 and 1 <= self.minimum_durations <= 1000):
+            raise ValueError("a limit is out of its bounds")
         left = {k: set(v) for k, v in self.prerequisites.items()}
         while left:
             free = [k for k, v in left.items() if not v & left.keys()]
@@ -42,11 +46,15 @@ class PlanConfig:
 
 
 def candidates(attempts: DataFrame, config: PlanConfig = PlanConfig()) -> DataFrame:
-    """A row for each learner and question tried, with its score, its median time and how many prerequisites block it."""
+    """A row for each learner and question tried (or available), with its score, its median time and how many prerequisites block it."""
     config.check()
     spark = attempts.sparkSession
     hit = F.col("correct").cast("int")
     items = attempts.groupBy("learner_id", "question_id").agg(F.count("*").alias("n"), F.sum(hit).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("skills")))).alias("tags"))
+    if config.available:
+        asked = F.explode(F.array(*map(F.lit, dict.fromkeys(config.available))))
+        items = attempts.select("learner_id").distinct().select("learner_id", asked.alias("question_id")).join(items, ["learner_id", "question_id"], "left")
+        items = items.select("learner_id", "question_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "s")], F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     items = items.withColumn("bounds", beta_bounds("s", "n"))
     ordered = attempts.withColumn("back", F.row_number().over(Window.partitionBy("learner_id").orderBy(*[F.desc_nulls_first(c) for c in ("timestamp",)], F.desc("source_sequence"), F.desc("event_id"))))
     one = attempts.groupBy("learner_id").agg((F.bool_and(F.col("order_scope") == "learner") & (F.count_distinct("source_namespace") <= 1)).alias("ordered"))
@@ -86,3 +94,10 @@ def plan(attempts: DataFrame, config: PlanConfig = PlanConfig()) -> DataFrame:
     return rows.groupBy("learner_id").applyInPandas(choose, "learner_id string, place int, question_id string, score double, planned_seconds double, remaining_seconds double")
 
 
+
+
+def left_out(attempts: DataFrame, config: PlanConfig = PlanConfig(), most: int = 100) -> DataFrame:
+    """What no plan may hold, the best ``most`` of each learner by ``reason``: ``blocked`` by prerequisites, else of ``unknown_time``."""
+    rows = candidates(attempts, config).withColumn("reason", F.when(F.col("blocks") > 0, "blocked").when(~F.col("timed"), "unknown_time")).where("reason is not null")
+    place = F.row_number().over(Window.partitionBy("learner_id", "reason").orderBy(F.desc("score"), "question_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("learner_id", "reason", "place", "question_id", "score", "blocks")

@@ -22,9 +22,19 @@ def placed(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("domain", order_domain()).withColumn("pos", F.row_number().over(within(*DOMAIN)))
 
 
-def units(attempts: DataFrame) -> DataFrame:
-    """Attempts with ``domain``, ``pos`` and ``unit`` (from 1 in each domain)."""
+def coupled(attempts: DataFrame) -> bool:
+    """Whether any attempt has a session or a time; without, each attempt is a unit."""
+    return attempts.where("session_id is not null or timestamp is not null").limit(1).count() > 0
+
+
+def units(attempts: DataFrame, coupled: bool = True) -> DataFrame:
+    """Attempts with ``domain``, ``pos`` and ``unit`` (from 1 in each domain).
+
+    Where attempts are known not to be :func:`coupled`, the windows that close units are left out.
+    """
     rows = placed(attempts)
+    if not coupled:
+        return rows.withColumn("unit", F.col("pos").cast("long"))
     last = lambda key: F.when(F.col(key).isNotNull(), F.max("pos").over(Window.partitionBy(*DOMAIN, key)))
     rows = rows.withColumn("reach", F.greatest("pos", last("session_id"), last("timestamp")))
     before = Window.partitionBy(*DOMAIN).orderBy("pos")
@@ -49,9 +59,9 @@ def _at_unit_start(value: Column, *keys: str) -> Column:
     return F.first_value(value).over(w)
 
 
-def history_features(attempts: DataFrame, recent: int = RECENT) -> DataFrame:
+def history_features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
     """Attempts with counts and smoothed rates of what came before their unit: overall, lately and of the item."""
-    rows = units(attempts).withColumn("hit", F.col("correct").cast("int"))
+    rows = units(attempts, coupled).withColumn("hit", F.col("correct").cast("int"))
     for name, keys in (("", ()), ("item_", ("question_id",))):
         w = Window.partitionBy(*DOMAIN, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn(f"{name}n", F.count("hit").over(w)).withColumn(f"{name}s", F.coalesce(F.sum("hit").over(w), F.lit(0)))

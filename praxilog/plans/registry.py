@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import csv_guarded, known_order, z_value
 from ..models import baselines, bkt, hierarchical, irt
-from ..operators import experiment, ingest, integrity, metrics, overview, planner, simulation, splits, units
+from ..operators import experiment, ingest, integrity, metrics, overview, planner, splits, units
 from ..sources.projection import attempts_from_events
 from ..sources.workload import workload
 
@@ -154,7 +154,8 @@ query("ft6_gap_features", sql("""SELECT event_id, CASE WHEN timestamp IS NULL OR
 query("ft6_skill_features", sql("""SELECT event_id, skill, CAST(first_value(n) OVER u AS BIGINT) AS prior_attempts, round((first_value(s) OVER u + 1) / (first_value(n) OVER u + 2), 9) AS prior_rate FROM (
   SELECT *, count(*) OVER d AS n, coalesce(sum(correct::INTEGER) OVER d, 0) AS s FROM (SELECT *, unnest(skills) AS skill FROM united) WINDOW d AS (PARTITION BY source_namespace, learner_id, domain, skill ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WINDOW u AS (PARTITION BY source_namespace, learner_id, domain, unit, skill ORDER BY pos)""", UNITS_SQL))(lambda a: units.skill_features(a).drop("source_namespace"))
-query("ft6_feature_map")(lambda a: units.feature_map(a).select("event_id", F.size("features").alias("n_features"), F.col("features")["learner_rate"].alias("learner_rate"), F.col("features")["item_rate"].alias("item_rate"), F.col("features")["gap_log_seconds"].alias("gap_log_seconds")))
+GAPS, SKILLS = SQL["ft6_gap_features"].split("united AS", 1)[1].split("\n", 1)[1], 12
+query("ft6_feature_map", sql(f"SELECT f.event_id, CAST({SKILLS} + 3 * len(a.skills) AS INTEGER) AS n_features, f.past_accuracy AS learner_rate, f.item_past_accuracy AS item_rate, g.gap_log_seconds FROM ({FEATURES}) f JOIN ({GAPS}) g USING (event_id) JOIN attempts a USING (event_id)", UNITS_SQL))(lambda a: units.feature_map(a).select("event_id", F.size("features").alias("n_features"), F.col("features")["learner_rate"].alias("learner_rate"), F.col("features")["item_rate"].alias("item_rate"), F.col("features")["gap_log_seconds"].alias("gap_log_seconds")))
 
 FORWARD_SQL = """counted AS (SELECT *, max(unit) OVER (PARTITION BY source_namespace, learner_id, domain) AS units FROM united),
 cuts AS (SELECT *, greatest(1, floor(units * CAST(0.6 AS DOUBLE))) AS a FROM counted),
@@ -230,7 +231,10 @@ query("j10_seen_in_train", sql("SELECT event_id, question_id NOT IN (SELECT ques
 )
 query("so1_duration_union", sql("SELECT duration_scope, count(*) AS n FROM attempts WHERE duration_ms IS NOT NULL AND duration_scope IN ('event', 'bundle') GROUP BY 1"))(lambda a: a.where("duration_ms is not null and duration_scope = 'event'").unionByName(a.where("duration_ms is not null and duration_scope = 'bundle'")).groupBy("duration_scope").agg(F.count("*").alias("n")))
 query("so4_unseen_tags", sql("SELECT skill FROM (SELECT unnest(skills) AS skill FROM split WHERE part = 'test' EXCEPT SELECT unnest(skills) FROM split WHERE part = 'train')", UNITS_SQL, FORWARD_SQL))(lambda a: parts_of(a)[1].select(F.explode("skills").alias("skill")).exceptAll(parts_of(a)[0].select(F.explode("skills").alias("skill")).distinct()).distinct().join(parts_of(a)[0].select(F.explode("skills").alias("skill")).distinct(), "skill", "left_anti"))
-query("sk3_csv_guard", sql("SELECT event_id, question_id AS guarded FROM attempts"))(lambda a: a.select("event_id", csv_guarded(F.col("question_id")).alias("guarded")))
+query("sk3_csv_guard", sql("""SELECT event_id, CASE WHEN regexp_matches(cell, '^[=+@\\t\\r-]') THEN '''' || cell ELSE cell END AS guarded FROM (
+  SELECT event_id, CASE source_sequence % 6 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) ELSE '' END || question_id AS cell FROM attempts)"""))(
+    lambda a: a.select("event_id", csv_guarded(F.concat(F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "\t", ""))), (F.col("source_sequence") % 6 + 1).cast("int")), "question_id")).alias("guarded"))
+)
 query("sk2_export_order", sql("SELECT source_namespace, learner_id, source_sequence, event_id, question_id, correct FROM attempts ORDER BY 1, 2, 3, 4"))(lambda a: a.select("source_namespace", "learner_id", "source_sequence", "event_id", "question_id", "correct").orderBy("source_namespace", "learner_id", "source_sequence", "event_id"))
 query("m5_hierarchical")(lambda a: hierarchical.predict(*parts_of(a), "source_namespace", "question_id").select("event_id", "probability"))
 query("e4_cluster_bootstrap")(lambda a: metrics.bootstrap(metrics.cluster_sums(item_predictions(a))))
@@ -240,13 +244,13 @@ query("p1_plan")(planner.plan)
 
 def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = parts_of(attempts(spark, sf_dir))
-    return rounded(bkt.predict(test, bkt.fit(spark, train, first=20, rounds=2, around=8), baselines.rate_of(train)).select("event_id", "probability"))
+    return rounded(bkt.predict(test, bkt.fit(spark, train), baselines.rate_of(train)).select("event_id", "probability"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = parts_of(attempts(spark, sf_dir))
     rows = irt.eligible(irt.responses(train))
-    return rounded(irt.predict(*irt.fit(rows, rounds=4), test).select("event_id", "probability"))
+    return rounded(irt.predict(*irt.fit(rows), test).select("event_id", "probability"))
 
 
 def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +261,7 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(experiment.report(experiment.run(attempts(spark, sf_dir), ("global", "item_prior", "recent", "hierarchical", "logistic"))), 6)
+    return rounded(experiment.report(experiment.run(attempts(spark, sf_dir))), 6)
 
 
 QUERIES |= {
@@ -265,6 +269,5 @@ QUERIES |= {
     "m9_knowledge_tracing": _knowledge,
     "m12_item_response": _items,
     "in4_import_counts": _imported,
-    "s1_simulation": lambda spark, sf_dir: rounded(simulation.summary(simulation.outcomes(spark, simulation.SimulationConfig(repetitions=40)))),
 }
 SQL["in4_import_counts"] = """SELECT n AS received, n - 3 * (n // 1000) - greatest(0, n % 1000 - 997) AS accepted, n // 1000 + CAST(n % 1000 > 997 AS BIGINT) AS duplicates, n // 1000 + CAST(n % 1000 > 998 AS BIGINT) AS conflicts, n // 1000 + CAST(n % 1000 > 999 AS BIGINT) AS rejected FROM (SELECT count(*) AS n FROM events)"""

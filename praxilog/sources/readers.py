@@ -38,27 +38,29 @@ def strict_json(value: Column) -> Column:
     return F.when(alone, F.try_parse_json(value))
 
 
-def _judged(rows: DataFrame, value: Column) -> DataFrame:
-    """Records of JSON texts: too long, not JSON or not an object are errors."""
-    parsed = strict_json(value)
-    long = F.octet_length(value) > MOST_BYTES
-    error = F.when(long, "longer than the byte bound").when(value.contains("�"), "not valid UTF-8").when(parsed.isNull(), "not valid JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not a JSON object")
+def _judged(rows: DataFrame, value: Column, wrong: Column | None = None) -> DataFrame:
+    """Records of JSON texts: what is too long or no UTF-8 is an error; whether they are JSON shows when they are read."""
+    error = F.coalesce(wrong if wrong is not None else F.lit(None).cast("string"), F.when(F.octet_length(value) > MOST_BYTES, "longer than the byte bound").when(~F.is_valid_utf8(value), "not valid UTF-8"))
     return rows.select("row", F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each line that isn't blank; blank ones count in ``row``."""
-    rows = numbered(spark.read.text(path)).where(F.trim("value") != "")
+    """A record for each line with more than white space; the others count in ``row``. Lines keep their bytes, so bad UTF-8 shows."""
+    rows = numbered(spark.read.text(path)).where(F.col("value").rlike(r"[^ \t\n\x0B\f\r]"))
     return _judged(rows, F.col("value"))
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each item of a JSON array that is the whole file; anything else raises."""
+    """A record for each item of a JSON array that is the whole file; anything else raises.
+
+    A file is one task's, of 2 GB at most; larger data belong in lines (:func:`read_ndjson`).
+    """
     whole = spark.read.text(path, wholetext=True).select(strict_json(F.col("value")).alias("v"))
     if whole.where(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v"), F.lit("")).startswith("ARRAY")).limit(1).count():
         raise ValueError("the file isn't one JSON array")
     items = whole.select(F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("pos", "item"))
-    return _judged(items.select((F.col("pos") + 1).cast("long").alias("row"), F.to_json("item").alias("text")), F.col("text"))
+    items = items.select((F.col("pos") + 1).cast("long").alias("row"), F.to_json("item").alias("text"), F.schema_of_variant("item").alias("kind"))
+    return _judged(items, F.col("text"), F.when(~F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), "not a JSON object"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

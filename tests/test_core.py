@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from praxilog.functions.expressions import csv_guarded, csv_unguarded, wilson
 from praxilog.functions.numeric import beta_quantile
 from praxilog.models import baselines, bkt, hierarchical, irt
-from praxilog.operators import experiment, ingest, integrity, metrics, overview, planner, simulation, splits, units
+from praxilog.operators import experiment, ingest, integrity, metrics, overview, planner, splits, units
 from praxilog.plans.store import Store, export
 from praxilog.schema import ATTEMPTS, CONTENT
 from praxilog.sources import readers, tutoring, workload
@@ -179,11 +179,49 @@ def test_planner(spark):
         planner.PlanConfig(prerequisites={"a": ["b"], "b": ["a"]}).check()
 
 
-def test_simulation_is_the_same_again(spark):
-    config = simulation.SimulationConfig(repetitions=6)
-    a, b = (sorted(map(tuple, simulation.outcomes(spark, config).collect())) for _ in range(2))
-    assert a == b and len(a) == 30 and all(r[6] <= config.budget_seconds for r in a)
-    assert simulation.paired(simulation.outcomes(spark, config)).count() == 4
+def test_plans_are_those_of_a_plain_choice(spark):
+    rows = [{"question_id": f"q{i % 9}", "skills": [f"s{i % 3}"], "correct": i % 4 > 0, "duration_ms": 30000.0 * (1 + i % 9), "duration_scope": "event"} for i in range(120)] + [{"question_id": "untimed", "correct": True, "skills": []}]
+    config = planner.PlanConfig(budget_seconds=500, prerequisites={"s1": ["s2"]}, priorities={"s0": 2.0}, available=(*(f"q{i}" for i in range(8)), "untimed", "new"))
+    found = planner.candidates(table(spark, rows), config).collect()
+    assert {r.question_id for r in found} == set(config.available)
+    left, want = 500.0, []
+    for r in sorted(found, key=lambda r: (-r.score, r.question_id)):
+        if not r.blocks and r.timed and r.median_seconds <= left and len(want) < 12:
+            left -= r.median_seconds
+            want.append(r.question_id)
+    assert want and [r.question_id for r in planner.plan(table(spark, rows), config).orderBy("place").collect()] == want
+    out = {(r.question_id, r.reason) for r in planner.left_out(table(spark, rows), config).collect()}
+    assert {("new", "unknown_time"), ("untimed", "unknown_time")} <= out and {q for q, reason in out if reason == "blocked"} == {r.question_id for r in found if r.blocks}
+    new = next(r for r in found if r.question_id == "new")
+    assert new.score == pytest.approx(0.4 * 0.5 + 0.4 * 0.95 + 0.2 * 0.5)
+    with pytest.raises(ValueError):
+        planner.PlanConfig(maximum_actions=0).check()
+
+
+def test_units_without_sessions_or_times(spark):
+    bare = table(spark, [{"correct": i % 3 > 0, "question_id": f"q{i % 4}"} for i in range(30)]).withColumns({"session_id": F.lit(None).cast("string"), "timestamp": F.lit(None).cast("timestamp")})
+    key = lambda t: sorted(map(str, t.collect()))
+    assert not units.coupled(bare) and key(units.history_features(bare, coupled=False)) == key(units.history_features(bare))
+
+
+def test_records_are_judged_as_their_rules_say(spark, tmp_path):
+    good = {"event_id": "e", "question_id": "q", "correct": True, "source_sequence": 1}
+    cases = [
+        (json.dumps(good | {"event_id": "\tq\n"}), "q"),
+        (json.dumps(good | {"event_id": "a\ufffd"}, ensure_ascii=False), "a\ufffd"),
+        (json.dumps(good | {"event_id": "e\u0301"}), "\u00e9"),
+        (json.dumps(good)[:-1] + ', "event_id": "last"}', "last"),
+        (json.dumps(good | {"timestamp": "2024-01-01 00:00+00:00"}), "e"),
+        (json.dumps(good | {"timestamp": "2024-01-01T00:00:00Z"}), "e"),
+        (json.dumps(good | {"skills": ["e\u0301", "\u00e9", " b"]}), "e"),
+        *((x, None) for x in (json.dumps(good | {"skills": ["a\u0001"]}), json.dumps(good | {"skills": [1]}), json.dumps(good | {"timestamp": "2024-13-01T00:00:00Z"}), json.dumps(good | {"timestamp": "2024-01-01"}), json.dumps(good | {"attempt_kind": None}), json.dumps(good | {"duration_ms": True}), json.dumps(good) + " x", json.dumps(good).replace("1", "NaN"), json.dumps(good | {"event_id": "x" * 513}))),
+    ]
+    path = tmp_path / "x.ndjson"
+    path.write_bytes("\n".join(["\t", *(x for x, _ in cases)]).encode() + b'\n{"event_id": "\xff"}\n')
+    rows = ingest.validated(readers.read_ndjson(spark, str(path))).orderBy("row").collect()
+    assert [r.row for r in rows] == list(range(2, len(cases) + 3))
+    assert [None if r.reason else r.event_id for r in rows] == [x for _, x in cases] + [None]
+    assert rows[6].skills == ["b", "\u00e9"] and rows[-1].reason == "not valid UTF-8" and rows[4].timestamp.hour == 0
 
 
 def test_import_is_strict_and_counts(spark, tmp_path):
