@@ -27,21 +27,28 @@ def coupled(attempts: DataFrame) -> bool:
     return attempts.where("session_id is not null or timestamp is not null").limit(1).count() > 0
 
 
-def units(attempts: DataFrame, coupled: bool = True) -> DataFrame:
-    """Attempts with ``domain``, ``pos`` and ``unit`` (from 1 in each domain).
-
-    Where attempts are known not to be :func:`coupled`, the windows that close units are left out.
-    """
+def opened(attempts: DataFrame, coupled: bool = True) -> DataFrame:
+    """:func:`units` with ``opens``, 1 for the first attempt of a unit; rows come out in order of their domains."""
     rows = placed(attempts)
     if not coupled:
-        return rows.withColumn("unit", F.col("pos").cast("long"))
-    last = lambda key: F.when(F.col(key).isNotNull(), F.max("pos").over(Window.partitionBy(*DOMAIN, key)))
-    rows = rows.withColumn("reach", F.greatest("pos", last("session_id"), last("timestamp")))
+        return rows.withColumns({"opens": F.lit(1), "unit": F.col("pos").cast("long")})
+    # peers in time lie together in the known order, so they need no order of their own
+    moment = Window.partitionBy(*DOMAIN).orderBy(F.col("timestamp").asc_nulls_last()).rangeBetween(Window.currentRow, Window.currentRow)
+    rows = rows.withColumn("last_of_moment", F.when(F.col("timestamp").isNotNull(), F.max("pos").over(moment)))
+    last_of_session = F.when(F.col("session_id").isNotNull(), F.max("pos").over(Window.partitionBy(*DOMAIN, "session_id")))
+    rows = rows.withColumn("reach", F.greatest("pos", "last_of_moment", last_of_session))
     before = Window.partitionBy(*DOMAIN).orderBy("pos")
     reached = F.max("reach").over(before.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("opens", F.when(reached.isNull() | (F.col("pos") > reached), 1).otherwise(0))
-    rows = rows.withColumn("unit", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.drop("reach", "opens")
+    return rows.withColumn("unit", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0))).drop("reach", "last_of_moment")
+
+
+def units(attempts: DataFrame, coupled: bool = True) -> DataFrame:
+    """Attempts with ``domain``, ``pos`` and ``unit`` (from 1 in each domain).
+
+    Where attempts are known not to be :func:`coupled`, the windows that close units are left out.
+    """
+    return opened(attempts, coupled).drop("opens")
 
 
 def unit_sizes(attempts: DataFrame) -> DataFrame:
@@ -53,54 +60,67 @@ def check_units(attempts: DataFrame, most: int = UNIT_ROWS) -> DataFrame:
     return unit_sizes(attempts).where(F.col("size") > most)
 
 
-def _at_unit_start(value: Column, *keys: str) -> Column:
-    """A value as it was at the first attempt of the unit within the keys."""
-    w = Window.partitionBy(*DOMAIN, "unit", *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return F.first_value(value).over(w)
+def _carried(first: Column, *keys: str, **values: Column) -> Column:
+    """Values as they were at the last attempt that ``first`` marks, within the domain and keys: one window in the order that made them."""
+    w = Window.partitionBy(*DOMAIN, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(F.when(first, F.struct(*[c.alias(k) for k, c in values.items()])), ignorenulls=True).over(w)
 
 
-def history_features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
-    """Attempts with counts and smoothed rates of what came before their unit: overall, lately and of the item."""
-    rows = units(attempts, coupled).withColumn("hit", F.col("correct").cast("int"))
-    for name, keys in (("", ()), ("item_", ("question_id",))):
-        w = Window.partitionBy(*DOMAIN, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn(f"{name}n", F.count("hit").over(w)).withColumn(f"{name}s", F.coalesce(F.sum("hit").over(w), F.lit(0)))
-    w = Window.partitionBy(*DOMAIN).orderBy("pos").rowsBetween(-recent, -1)
-    rows = rows.withColumn("recent_n", F.count("hit").over(w)).withColumn("recent_s", F.coalesce(F.sum("hit").over(w), F.lit(0)))
-    for name in ("n", "s", "recent_n", "recent_s"):
-        rows = rows.withColumn(f"past_{name}", _at_unit_start(F.col(name)))
-    rows = rows.withColumn("past_item_n", _at_unit_start(F.col("item_n"), "question_id")).withColumn("past_item_s", _at_unit_start(F.col("item_s"), "question_id"))
-    rate = lambda s, n: (F.col(s) + 1) / (F.col(n) + 2)
+def _before(*keys: str) -> dict[str, Column]:
+    """Attempts and right ones before, within the domain and keys."""
+    w = Window.partitionBy(*DOMAIN, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return {"n": F.count("hit").over(w), "s": F.coalesce(F.sum("hit").over(w), F.lit(0))}
+
+
+def _first_of_unit(*keys: str) -> Column:
+    """Whether no attempt of the keys is before it in the unit."""
+    return ~F.lag("unit").over(Window.partitionBy(*DOMAIN, *keys).orderBy("pos")).eqNullSafe(F.col("unit"))
+
+
+def _rate(s: Column, n: Column) -> Column:
+    return (s + 1) / (n + 2)
+
+
+def features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
+    """Attempts with :func:`history_features` and :func:`gap_features`, in one pass."""
+    rows = opened(attempts, coupled).withColumn("hit", F.col("correct").cast("int"))
+    lately = Window.partitionBy(*DOMAIN).orderBy("pos").rowsBetween(-recent, -1)
+    ever = Window.partitionBy(*DOMAIN).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"own_{k}": c for k, c in _before().items()} | {"late_n": F.count("hit").over(lately), "late_s": F.coalesce(F.sum("hit").over(lately), F.lit(0)), "known": F.last("timestamp", ignorenulls=True).over(ever)})
+    rows = rows.withColumn("past", _carried(F.col("opens") == 1, n=F.col("own_n"), s=F.col("own_s"), late_n=F.col("late_n"), late_s=F.col("late_s"), known=F.col("known")))
+    rows = rows.withColumns({f"item_{k}": c for k, c in _before("question_id").items()} | {"first_of_item": _first_of_unit("question_id")})
+    rows = rows.withColumn("item", _carried(F.col("first_of_item"), "question_id", n=F.col("item_n"), s=F.col("item_s")))
+    seconds = F.greatest(F.lit(0.0), (F.unix_micros("timestamp") - F.unix_micros("past.known")) / 1e6)
+    known = F.col("timestamp").isNotNull() & F.col("past.known").isNotNull()
     return rows.select(
-        "source_namespace", "event_id", "learner_id", "question_id", "correct", "domain", "unit",
-        F.col("past_n").alias("past_attempts"), F.col("past_s").alias("past_successes"), rate("past_s", "past_n").alias("past_accuracy"),
-        F.col("past_recent_n").alias("recent_count"), rate("past_recent_s", "past_recent_n").alias("recent_accuracy"),
-        F.col("past_item_n").alias("item_past_attempts"), rate("past_item_s", "past_item_n").alias("item_past_accuracy"),
+        "source_namespace", "event_id", "learner_id", "question_id", "correct", "domain", "unit", "attempt_kind", "skills",
+        F.col("past.n").alias("past_attempts"), F.col("past.s").alias("past_successes"), _rate(F.col("past.s"), F.col("past.n")).alias("past_accuracy"),
+        F.col("past.late_n").alias("recent_count"), _rate(F.col("past.late_s"), F.col("past.late_n")).alias("recent_accuracy"),
+        F.col("item.n").alias("item_past_attempts"), _rate(F.col("item.s"), F.col("item.n")).alias("item_past_accuracy"),
+        F.when(known, 0.0).otherwise(1.0).alias("gap_unknown"), F.when(known, F.log1p(seconds)).otherwise(0.0).alias("gap_log_seconds"),
     )
 
 
+def history_features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
+    """Attempts with counts and smoothed rates of what came before their unit: overall, lately and of the item."""
+    return features(attempts, recent, coupled).drop("attempt_kind", "skills", "gap_unknown", "gap_log_seconds")
+
+
 def gap_features(attempts: DataFrame) -> DataFrame:
     """Attempts with the time since the last known moment before their unit: ``gap_unknown`` and ``gap_log_seconds``."""
-    rows = units(attempts)
-    w = Window.partitionBy(*DOMAIN).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("known", F.last("timestamp", ignorenulls=True).over(w))
-    rows = rows.withColumn("previous", _at_unit_start(F.col("known")))
-    seconds = F.greatest(F.lit(0.0), (F.unix_micros("timestamp") - F.unix_micros("previous")) / 1e6)
-    return rows.select("source_namespace", "event_id", F.when(seconds.isNull() | F.col("timestamp").isNull() | F.col("previous").isNull(), 1.0).otherwise(0.0).alias("gap_unknown"), F.when(F.col("timestamp").isNotNull() & F.col("previous").isNotNull(), F.log1p(seconds)).otherwise(0.0).alias("gap_log_seconds"))
+    return features(attempts).select("source_namespace", "event_id", "gap_unknown", "gap_log_seconds")
 
 
 def skill_features(attempts: DataFrame) -> DataFrame:
     """A row for each attempt and skill: attempts and smoothed rate of the skill before the unit, in the order domain."""
     rows = units(attempts).withColumn("hit", F.col("correct").cast("int")).withColumn("skill", F.explode("skills"))
-    w = Window.partitionBy(*DOMAIN, "skill").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("n", F.count("hit").over(w)).withColumn("s", F.coalesce(F.sum("hit").over(w), F.lit(0)))
-    rows = rows.withColumn("skill_n", _at_unit_start(F.col("n"), "skill")).withColumn("skill_s", _at_unit_start(F.col("s"), "skill"))
-    return rows.select("source_namespace", "event_id", "skill", F.col("skill_n").alias("prior_attempts"), ((F.col("skill_s") + 1) / (F.col("skill_n") + 2)).alias("prior_rate"))
+    rows = rows.withColumns(_before("skill") | {"first": _first_of_unit("skill")})
+    rows = rows.withColumn("past", _carried(F.col("first"), "skill", n=F.col("n"), s=F.col("s")))
+    return rows.select("source_namespace", "event_id", "skill", F.col("past.n").alias("prior_attempts"), _rate(F.col("past.s"), F.col("past.n")).alias("prior_rate"))
 
 
 def feature_map(attempts: DataFrame) -> DataFrame:
     """``features``, a map of all numeric features of an attempt by name, with ``kind=...`` and one entry a skill."""
-    base, gap = history_features(attempts), gap_features(attempts)
     key = ["source_namespace", "event_id"]
     one = F.lit(1.0)
     entry = lambda name, value: F.struct(F.concat(F.lit(name), "skill").alias("k"), F.coalesce(value, F.lit(0.0)).alias("v"))
@@ -109,7 +129,7 @@ def feature_map(attempts: DataFrame) -> DataFrame:
             entry("skill:", one), entry("prior_rate:", F.col("prior_rate")), entry("prior_count:", F.log1p("prior_attempts")),
         )))).alias("of_skills")
     )
-    rows = attempts.select(*key, "attempt_kind", F.size("skills").alias("n_skills")).join(base, key).join(gap, key).join(skills, key, "left")
+    rows = features(attempts).withColumn("n_skills", F.size("skills")).join(skills, key, "left")
     names = {
         "learner_log_attempts": F.log1p("past_attempts"), "learner_rate": F.col("past_accuracy"), "item_log_attempts": F.log1p("item_past_attempts"), "item_rate": F.col("item_past_accuracy"),
         "recent_rate": F.col("recent_accuracy"), "recent_count": F.col("recent_count").cast("double"), "cold_learner": (F.col("past_attempts") == 0).cast("double"), "cold_item": (F.col("item_past_attempts") == 0).cast("double"),
