@@ -21,7 +21,7 @@ STEP_BYTES = 4 << 20
 #: A key with over one in so many of all rows is hot; there are fewer hot keys than this.
 HOT = 1000
 #: Tasks that rows of a hot key are dealt to where many rows meet many.
-WAYS = 64
+WAYS = 16
 #: Paths that the open :func:`scratch_space` removes at its end.
 _spaces: list[list[str]] = []
 
