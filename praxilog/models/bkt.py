@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DOMAIN
+from ..functions.lineage import cut
 from ..operators.units import units
 
 NAMES = ("initial", "learning", "slip", "guess", "forgetting")
@@ -31,9 +32,9 @@ def step(known: float, correct: bool, initial: float, learning: float, slip: flo
     return p, after, after * (1 - forgetting) + (1 - after) * learning
 
 
-def sequences(attempts: DataFrame) -> DataFrame:
-    """The ordered attempts of each domain and skill: ``steps`` of ``unit``, ``hit`` and ``event_id``."""
-    rows = units(attempts).select(*DOMAIN, "pos", "unit", "correct", "event_id", F.explode("skills").alias("skill"))
+def sequences(attempts: DataFrame, primary: bool = True) -> DataFrame:
+    """The ordered attempts of each domain and skill: ``steps`` of ``unit``, ``hit`` and ``event_id``. An attempt counts for its first skill alone, or for all unless ``primary``."""
+    rows = units(attempts).select(*DOMAIN, "pos", "unit", "correct", "event_id", F.explode(F.slice("skills", 1, 1) if primary else F.col("skills")).alias("skill"))
     return rows.groupBy(*DOMAIN, "skill").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", F.col("correct").alias("hit"), "event_id"))).alias("steps"))
 
 
@@ -56,9 +57,9 @@ def likelihoods(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.groupBy("skill", "candidate").agg(F.sum("ll").alias("ll"))
 
 
-def fit(spark: SparkSession, attempts: DataFrame, forgetting: bool = False, first: int = 60, rounds: int = 4, around: int = 16, seed: int = 0) -> DataFrame:
+def fit(spark: SparkSession, attempts: DataFrame, forgetting: bool = False, first: int = 60, rounds: int = 4, around: int = 16, seed: int = 0, primary: bool = True) -> DataFrame:
     """A row of parameters for each skill; those of under MINIMUM attempts or two sequences have the defaults."""
-    seqs = sequences(attempts).checkpoint()
+    seqs = cut(sequences(attempts, primary))
     sizes = seqs.groupBy("skill").agg(F.sum(F.size("steps")).alias("n"), F.count("*").alias("sequences")).collect()
     rng, low, high = np.random.default_rng(seed), np.array(LOWER), np.array(UPPER)
     if not forgetting:
@@ -86,9 +87,9 @@ def fit(spark: SparkSession, attempts: DataFrame, forgetting: bool = False, firs
     return spark.createDataFrame(rows, "skill string, fitted boolean, " + ", ".join(f"{n} double" for n in NAMES))
 
 
-def predict(attempts: DataFrame, parameters: DataFrame, rate: float) -> DataFrame:
-    """Attempts with ``probability``: the mean over their skills' predictions before the unit, ``rate`` without skills."""
-    rows = sequences(attempts).join(parameters, "skill", "left")
+def predict(attempts: DataFrame, parameters: DataFrame, rate: float, primary: bool = True) -> DataFrame:
+    """Attempts with ``probability``: that of their first skill before the unit, or the mean over all of them unless ``primary``; ``rate`` without skills."""
+    rows = sequences(attempts, primary).join(parameters, "skill", "left")
     rows = rows.select(*DOMAIN, "skill", "steps", *[F.coalesce(F.col(n), F.lit(float(d))).alias(n) for n, d in zip(NAMES, DEFAULTS, strict=True)])
     out = rows.select(*DOMAIN[:2], F.explode(F.expr(_FOLD.format(out=_KEEP) + ".out")).alias("x")).groupBy("source_namespace", "x.event_id").agg(F.avg("x.p").alias("p"))
     return attempts.join(out, ["source_namespace", "event_id"], "left").withColumn("probability", F.coalesce("p", F.lit(rate))).drop("p")

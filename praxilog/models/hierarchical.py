@@ -49,8 +49,8 @@ def posteriors(counts: DataFrame, alpha: float, beta: float) -> DataFrame:
     return counts.withColumn("mean", (F.col("s") + alpha) / (F.col("n") + alpha + beta))
 
 
-def predict(train: DataFrame, test: DataFrame, *keys: str) -> DataFrame:
-    """Posterior mean of each group; groups that train lacks have the prior's."""
+def predict(train: DataFrame, test: DataFrame, *keys: str, shrinkage: bool = True) -> DataFrame:
+    """Posterior mean of each group; groups that train lacks have the prior's. Without ``shrinkage`` the prior is uniform."""
     counts = group_counts(train, *keys)
-    a, b = fit_prior(counts)
+    a, b = fit_prior(counts) if shrinkage else (1.0, 1.0)
     return test.join(posteriors(counts, a, b).select(*keys, F.col("mean").alias("probability")), list(keys), "left").withColumn("probability", F.coalesce("probability", F.lit(a / (a + b))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import MaxAbsScaler, MaxAbsScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import logit
@@ -55,6 +55,24 @@ class LogisticHistory:
         out = self.model.transform(self.scale.transform(vectors(rows, self.names)).drop("probability"))
         return out.withColumn("probability", vector_to_array("probability")[1]).drop("vector", "scaled", "rawPrediction", "prediction")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keeps the fitted model in a folder; :meth:`load` gives one that predicts the same."""
+        names = self.names if self.rate is None else []
+        spark.createDataFrame([(self.c, self.rate, names)], "c double, rate double, names array<string>").coalesce(1).write.parquet(f"{path}/settings")
+        if self.rate is None:
+            self.scale.write().save(f"{path}/scale")
+            self.model.write().save(f"{path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LogisticHistory:
+        row = spark.read.parquet(f"{path}/settings").first()
+        out = LogisticHistory(row["c"])
+        out.rate = row["rate"]
+        if out.rate is None:
+            out.names = list(row["names"])
+            out.scale, out.model = MaxAbsScalerModel.load(f"{path}/scale"), LogisticRegressionModel.load(f"{path}/model")
+        return out
+
     def associations(self, most: int = 30) -> list[tuple[str, float]]:
         """The names with the largest coefficients."""
         pairs = zip(self.names, self.model.coefficients.toArray().tolist(), strict=True) if self.rate is None else ()

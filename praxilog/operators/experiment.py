@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..models import baselines, bkt, hierarchical, irt, logistic
 from . import metrics, splits, units
 
 KEY = ["source_namespace", "event_id"]
+#: Strengths of the logistic model that validation chooses from.
+STRENGTHS = (0.1, 1.0, 10.0)
+MODELS = ("global", "item_prior", "recent", "hierarchical", "logistic", "bkt", "irt1", "irt2")
+#: What models lose without a part of them.
+ABLATIONS = ("logistic_without_skills", "logistic_without_time", "hierarchical_without_shrinkage", "bkt_forgetting", "bkt_mean_skills")
 KEPT = [*KEY, "learner_id", "question_id", "part", "correct", "probability"]
 
 
@@ -23,13 +29,26 @@ def families(attempts: DataFrame) -> dict[str, Callable[[DataFrame, DataFrame, D
     """Models by name: functions of train, of what to predict, and of all parts."""
     spark = attempts.sparkSession
 
-    def history(train: DataFrame, ask: DataFrame, rows: DataFrame) -> DataFrame:
+    def history(train: DataFrame, ask: DataFrame, rows: DataFrame, strengths: tuple[float, ...] = STRENGTHS, without: tuple[str, ...] = ()) -> DataFrame:
         features = units.feature_map(rows)
-        model = logistic.LogisticHistory().fit(train.join(features, KEY))
-        return model.predict(ask.join(features, KEY))
-
-    def items(train: DataFrame, ask: DataFrame, rows: DataFrame) -> DataFrame:
-        return irt.predict(*irt.fit(irt.eligible(irt.responses(train)), rounds=6), ask)
+        if without:
+            kept = F.map_filter("features", lambda k, _: ~F.exists(F.array(*map(F.lit, without)), lambda p: F.startswith(k, p)))
+            features = features.withColumn("features", kept)
+        known = cut(train.join(features, KEY))
+        asked = cut(ask.join(features, KEY))
+        models = [logistic.LogisticHistory(c).fit(known) for c in strengths]
+        if len(models) > 1:
+            losses = [metrics.scored(m.predict(asked.where("part = 'validation'"))).agg(F.avg("loss")).first()[0] for m in models]
+            models = [m for _, m in sorted(zip([x if x is not None else 0.0 for x in losses], models, strict=True), key=lambda x: x[0])]
+        return models[0].predict(asked)
+
+    def items(train: DataFrame, ask: DataFrame, rows: DataFrame, parameters: int = 1) -> DataFrame:
+        own = irt.eligible(irt.responses(train))
+        learners, known = irt.fit(own, parameters)
+        return _online(rows, irt.predict_online(irt.support(own, learners, known)[0], known, rows.where("part <> 'train'")))
+
+    def tracing(train: DataFrame, ask: DataFrame, rows: DataFrame, forgetting: bool = False, primary: bool = True) -> DataFrame:
+        return _online(rows, bkt.predict(rows, bkt.fit(spark, train, forgetting, primary=primary), baselines.rate_of(train), primary))
 
     return {
         "global": lambda train, ask, rows: baselines.predict_global(train, ask),
@@ -37,15 +56,25 @@ def families(attempts: DataFrame) -> dict[str, Callable[[DataFrame, DataFrame, D
         "recent": lambda train, ask, rows: _online(rows, baselines.predict_recent(rows, baselines.rate_of(train))),
         "hierarchical": lambda train, ask, rows: hierarchical.predict(train, ask, "source_namespace", "question_id"),
         "logistic": history,
-        "bkt": lambda train, ask, rows: _online(rows, bkt.predict(rows, bkt.fit(spark, train), baselines.rate_of(train))),
+        "bkt": tracing,
         "irt1": items,
+        "irt2": lambda train, ask, rows: items(train, ask, rows, 2),
+        "logistic_without_skills": lambda train, ask, rows: history(train, ask, rows, (1.0,), ("skill:", "prior_rate:", "prior_count:", "unknown_skill")),
+        "logistic_without_time": lambda train, ask, rows: history(train, ask, rows, (1.0,), ("gap_",)),
+        "hierarchical_without_shrinkage": lambda train, ask, rows: hierarchical.predict(train, ask, "source_namespace", "question_id", shrinkage=False),
+        "bkt_forgetting": lambda train, ask, rows: tracing(train, ask, rows, True),
+        "bkt_mean_skills": lambda train, ask, rows: tracing(train, ask, rows, primary=False),
     }
 
 
-def run(attempts: DataFrame, models: tuple[str, ...] = ("global", "item_prior", "recent", "hierarchical", "logistic", "bkt", "irt1"), split: DataFrame | None = None) -> DataFrame:
-    """Predictions of validation and test attempts: ``model``, ``part``, ``probability``, ``calibrated`` (by validation)."""
+def run(attempts: DataFrame, models: tuple[str, ...] = MODELS, split: DataFrame | None = None) -> DataFrame:
+    """Predictions of validation and test attempts: ``model``, ``part``, ``probability``, ``calibrated`` (by validation).
+
+    ``models`` are of MODELS and ABLATIONS. The logistic model's strength is the one of
+    STRENGTHS with the least loss on validation.
+    """
     split = splits.forward_split(attempts) if split is None else split
-    rows = attempts.join(split.select(*KEY, "part"), KEY).where("part <> 'excluded'").cache()
+    rows = cut(attempts.join(split.select(*KEY, "part"), KEY).where("part <> 'excluded'"))
     known, out = families(attempts), None
     for name in models:
         made = known[name](rows.where("part = 'train'"), rows.where("part in ('validation', 'test')"), rows).select(*KEPT)
@@ -68,9 +97,9 @@ def compare(predictions: DataFrame, a: str, b: str, repetitions: int = 200, seed
 
 
 def recomputed(predictions: DataFrame, saved: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Models whose saved measures differ from those of their predictions; none for a sound run."""
+    """Models whose saved measures differ from those of their predictions, or that one side lacks; none for a sound run."""
     now = report(predictions).select("model", "kind", F.col("log_loss").alias("now"))
-    return now.join(saved.select("model", "kind", "log_loss"), ["model", "kind"], "full").where(F.abs(F.col("now") - F.col("log_loss")) > tolerance)
+    return now.join(saved.select("model", "kind", "log_loss"), ["model", "kind"], "full").where("now is null or log_loss is null or abs(now - log_loss) > " + repr(tolerance))
 
 
 def inspect(predictions: DataFrame, model: str, sort: str = "identity", learner: str | None = None, question: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import order_domain, wilson
+from .metrics import calibration_bins
 
 
 def integrity_counts(attempts: DataFrame) -> DataFrame:
@@ -83,17 +84,41 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(w for w in weight if w <= own * (1 + 1e-7)))
 
 
-def drift_report(attempts: DataFrame, learner: str, window: int = 100, minimum: int = 50, effect: float = 0.1, missing: float = 0.1, coverage: float = 0.25, seed: int = 2026, draws: int = 10_000) -> dict:
+def bounded_counts(windows: DataFrame) -> DataFrame:
+    """:func:`drift_counts` with the share and bounds of each count as a struct ``<count>_share``."""
+    rows = drift_counts(windows)
+    share = lambda k: F.struct(*[c.alias(name) for name, c in wilson(F.col(k), F.col("n")).items()]).alias(f"{k}_share")
+    return rows.select("*", *[share(k) for k in ("successes", "no_timestamp", "no_duration", "no_session", "unseen")])
+
+
+def predicted_windows(windows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The windows' attempts with ``probability``, null where ``predictions`` have none."""
+    key = ["source_namespace", "event_id"]
+    return windows.drop("probability").join(predictions.select(*key, "probability"), key, "left")
+
+
+def window_calibration(windows: DataFrame, predictions: DataFrame) -> DataFrame | None:
+    """Calibration bins of each ``part``; None unless every attempt of both windows is predicted."""
+    rows = predicted_windows(windows, predictions)
+    if rows.where("probability is null").limit(1).count():
+        return None
+    of = lambda part: calibration_bins(rows.where(F.col("part") == part)).withColumn("part", F.lit(part))
+    return of("reference").unionByName(of("current"))
+
+
+def drift_report(attempts: DataFrame, learner: str, window: int = 100, minimum: int = 50, effect: float = 0.1, missing: float = 0.1, coverage: float = 0.25, seed: int = 2026, draws: int = 10_000, predictions: DataFrame | None = None) -> dict:
     """Whether accuracy, missing values or items differ between a learner's last two windows, with alerts.
 
     Needs one order domain and enough attempts in both windows, else it is unavailable.
+    ``predictions`` of all attempts of both windows add each window's calibration.
     """
     if not 30 <= minimum <= window <= 10_000 or not all(0 < x < 1 for x in (effect, missing, coverage)):
         raise ValueError("windows must hold at least 30 attempts and effects be within 0 and 1")
     own = attempts.where(F.col("learner_id") == learner)
     if own.select("source_namespace", order_domain()).distinct().limit(2).count() != 1:
         return {"available": False, "reason": "one order domain is needed"}
-    counts = {r["part"]: r.asDict() for r in drift_counts(drift_windows(attempts, learner, window)).collect()}
+    windows = drift_windows(attempts, learner, window)
+    counts = {r["part"]: r.asDict(recursive=True) for r in bounded_counts(windows).collect()}
     a, b = counts.get("reference", {"n": 0}), counts.get("current", {"n": 0})
     if min(a["n"], b["n"]) < minimum:
         return {"available": False, "reason": "too few attempts", "reference_n": a["n"], "current_n": b["n"]}
@@ -102,14 +127,20 @@ def drift_report(attempts: DataFrame, learner: str, window: int = 100, minimum:
     low, high = np.quantile(gap, [0.025, 0.975]).tolist()
     difference = b["successes"] / b["n"] - a["successes"] / a["n"]
     lost = {k: b[k] / b["n"] - a[k] / a["n"] for k in ("no_timestamp", "no_duration", "no_session")}
+    bins = window_calibration(windows, predictions) if predictions is not None else None
+    calibration = None if bins is None else {p: [r.asDict() for r in bins.where(F.col("part") == p).orderBy("bin").collect()] for p in ("reference", "current")}
     return {
         "available": True,
         "difference": difference,
         "interval": [low, high],
         "p_value": fisher_two_sided(a["successes"], a["n"] - a["successes"], b["successes"], b["n"] - b["successes"]),
         "response_alert": abs(difference) >= effect and (low > 0 or high < 0),
-        "missingness": {k: {"difference": v, "alert": abs(v) >= missing} for k, v in lost.items()},
+        "reference": a["successes_share"],
+        "current": b["successes_share"],
+        "missingness": {k: {"reference": a[f"{k}_share"], "current": b[f"{k}_share"], "difference": v, "alert": abs(v) >= missing} for k, v in lost.items()},
         "unseen_share": b["unseen"] / b["n"],
+        "unseen": b["unseen_share"],
+        "calibration": calibration,
         "coverage_alert": b["unseen"] / b["n"] >= coverage,
     }
 

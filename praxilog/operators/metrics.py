@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clipped, log_loss, wilson
+from ..functions.expressions import clipped, log_loss, order_domain, wilson
 
 #: Buckets that ranks are summed in, so that no task orders all predictions.
 RANK_BUCKETS = 4096
@@ -37,8 +37,12 @@ def calibration_error(predictions: DataFrame, bins: int = 10) -> DataFrame:
 
 def auroc(predictions: DataFrame, *keys: str) -> DataFrame:
     """The area under the ROC curve, ties counting half, of each group; null where a class is missing."""
-    rows = scored(predictions)
-    values = rows.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("bucket", F.floor(F.col("p") * RANK_BUCKETS))
+    return _area(scored(predictions).groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), *keys)
+
+
+def _area(values: DataFrame, *keys: str) -> DataFrame:
+    """:func:`auroc` of the positives and negatives (``pos``, ``neg``) at each probability ``p``."""
+    values = values.withColumn("bucket", F.floor(F.col("p") * RANK_BUCKETS))
     whole = values.groupBy(*keys, "bucket").agg(F.sum("neg").alias("neg"))
     whole = whole.withColumn("below", F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys, "bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -57,6 +61,25 @@ def metric_summary(predictions: DataFrame, *keys: str) -> DataFrame:
     return out.join(area, list(keys), "left") if keys else out.withColumn("one", F.lit(1)).join(area.withColumn("one", F.lit(1)), "one", "left").drop("one")
 
 
+def slices(predictions: DataFrame, train: DataFrame) -> DataFrame:
+    """:func:`metric_summary` of parts of the predictions, by ``slice`` and ``value``.
+
+    ``learner`` and ``item`` are cold or warm, as train lacks or has the order domain or the
+    question; ``untagged`` has attempts without skills; ``skill`` and ``each_learner`` have a
+    row for each. A part without predictions has no row.
+    """
+    domain, item = ["source_namespace", "learner_id", "domain"], ["source_namespace", "question_id"]
+    known = train.select("source_namespace", "learner_id", order_domain().alias("domain")).distinct().withColumn("__domain", F.lit("warm"))
+    asked = train.select(*item).distinct().withColumn("__item", F.lit("warm"))
+    rows = predictions.withColumn("domain", order_domain()).join(known, domain, "left").join(asked, item, "left")
+    part = lambda name, value: F.struct(F.lit(name).alias("slice"), value.alias("value"))
+    warm = lambda c: F.coalesce(F.col(c), F.lit("cold"))
+    tags = F.when(F.size("skills") > 0, F.transform(F.array_distinct("skills"), lambda s: part("skill", s))).otherwise(F.array(part("untagged", F.lit(""))))
+    own = F.array(part("learner", warm("__domain")), part("item", warm("__item")), part("each_learner", F.col("learner_id")))
+    rows = rows.select("correct", "probability", F.explode(F.concat(own, tags)).alias("of"))
+    return metric_summary(rows.select("correct", "probability", "of.slice", "of.value"), "slice", "value")
+
+
 def cluster_sums(predictions: DataFrame, cluster: str = "learner_id") -> DataFrame:
     """Sums of each cluster, all that the bootstrap needs."""
     return scored(predictions).groupBy(cluster).agg(F.count("*").alias("n"), F.sum("loss").alias("loss"), F.sum("square").alias("square"), F.sum("right").alias("right"), F.sum(F.col("y") - F.col("p")).alias("residual"))
@@ -70,17 +93,44 @@ def bootstrap(sums: DataFrame, columns: tuple[str, ...] = ("loss", "square", "ri
     """
     if not 20 <= repetitions <= 5000 or not 0 < confidence < 1:
         raise ValueError("repetitions must be 20 to 5000 and confidence within 0 and 1")
-    key = sums.columns[0]
+    draws = _drawn(sums, sums.columns[0], repetitions, seed)
+    means = draws.groupBy("draw").agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum(F.col("w") * F.col("n"))).alias(c) for c in columns])
+    tail = (1 - confidence) / 2
+    return means.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{side}") for c in columns for side, q in (("lower", tail), ("upper", 1 - tail))])
+
+
+def _drawn(rows: DataFrame, key: str, repetitions: int, seed: int) -> DataFrame:
+    """``rows`` for each ``draw`` with ``w``, the cluster's Poisson(1) weight in it."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw", key), 11)).cast("double") / F.lit(float(1 << 53))
     weight, total, term = F.lit(0), 0.0, float(np.exp(-1.0))
     for k in range(12):
         total += term
         weight = weight + F.when(F.col("u") >= F.lit(total), 1).otherwise(0)
         term /= k + 1
-    draws = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("u", uniform).withColumn("w", weight)
-    means = draws.groupBy("draw").agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum(F.col("w") * F.col("n"))).alias(c) for c in columns])
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("u", uniform).withColumn("w", weight)
+
+
+def auroc_interval(predictions: DataFrame, cluster: str = "learner_id", repetitions: int = 200, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """One row: percentile bounds of the area over clusters drawn as :func:`bootstrap` draws them, and how many draws had both classes.
+
+    Predictions are first added up by cluster and probability, and draws in which a cluster
+    has no weight are left out before any exchange.
+    """
+    if not 20 <= repetitions <= 5000 or not 0 < confidence < 1:
+        raise ValueError("repetitions must be 20 to 5000 and confidence within 0 and 1")
+    sums = scored(predictions).groupBy(cluster, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    draws = _drawn(sums, cluster, repetitions, seed).where("w > 0")
+    values = draws.groupBy("draw", "p").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
     tail = (1 - confidence) / 2
-    return means.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{side}") for c in columns for side, q in (("lower", tail), ("upper", 1 - tail))])
+    return _area(values, "draw").agg(F.percentile("auroc", F.lit(tail)).alias("auroc_lower"), F.percentile("auroc", F.lit(1 - tail)).alias("auroc_upper"), F.count("auroc").alias("eligible_draws"))
+
+
+def residual_interval(predictions: DataFrame, cluster: str = "learner_id", repetitions: int = 200, seed: int = 0) -> DataFrame:
+    """One row: bounds of the mean of outcome less prediction over clusters drawn with replacement, and ``clusters``; null for fewer than two."""
+    sums = cluster_sums(predictions, cluster)
+    bounds = bootstrap(sums, ("residual",), repetitions, seed)
+    clusters = sums.count()
+    return bounds.select(F.lit(clusters).alias("clusters"), *[F.when(F.lit(clusters > 1), F.col(c)).alias(c) for c in bounds.columns])
 
 
 def paired_sums(a: DataFrame, b: DataFrame, cluster: str = "learner_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import csv_guarded, known_order, z_value
 from ..models import baselines, bkt, hierarchical, irt
-from ..operators import experiment, ingest, integrity, metrics, overview, planner, splits, units
+from ..operators import experiment, ingest, integrity, leakage, metrics, overview, planner, splits, units
 from ..sources.projection import attempts_from_events
 from ..sources.workload import workload
 
@@ -197,15 +197,20 @@ SUMMARY_SQL = f"""SELECT {{k}} count(*) AS n, CAST(sum(y) AS BIGINT) AS positive
 RANKED = "SELECT {cols} n, positives, class_balance, log_loss, brier, {wil}, round(CASE WHEN pos > 0 AND neg > 0 THEN (ranks - pos * (pos + 1) / 2) / (pos * neg) END, 9) AS auroc FROM ({s})"
 
 
-def _summary_sql(key: str = "") -> str:
-    inner = SUMMARY_SQL.format(k=f"{key}," if key else "", w=f"PARTITION BY {key}" if key else "", g=f"GROUP BY {key}" if key else "")
+def _summary_sql(key: str = "", source: str = "scored", *more: str) -> str:
+    inner = SUMMARY_SQL.format(k=f"{key}," if key else "", w=f"PARTITION BY {key}" if key else "", g=f"GROUP BY {key}" if key else "").replace("FROM scored", f"FROM {source}")
     wil = wilson_sql("right_", "n").replace("AS estimate", "AS accuracy").replace("AS lower", "AS accuracy_lower").replace("AS upper", "AS accuracy_upper")
-    return sql(RANKED.format(cols=f"{key}," if key else "", wil=wil, s=inner), *PARTS, ITEM_SQL)
+    return sql(RANKED.format(cols=f"{key}," if key else "", wil=wil, s=inner), *PARTS, ITEM_SQL, *more)
 
 
 query("ag19_metric_summary", _summary_sql())(lambda a: metrics.metric_summary(item_predictions(a)))
 query("ag20_slices_by_kind", _summary_sql("attempt_kind"))(lambda a: metrics.metric_summary(item_predictions(a), "attempt_kind"))
 query("ag20_slices_by_skill", _summary_sql("skill").replace("FROM scored)", "FROM (SELECT *, unnest(skills) AS skill FROM scored))"))(lambda a: metrics.metric_summary(item_predictions(a).withColumn("skill", F.explode("skills")), "skill"))
+SLICED = """sliced AS (SELECT correct, p, y, 'learner' AS slice, CASE WHEN (learner_id, domain) IN (SELECT (learner_id, domain) FROM split WHERE part = 'train') THEN 'warm' ELSE 'cold' END AS value FROM scored
+  UNION ALL SELECT correct, p, y, 'item', CASE WHEN question_id IN (SELECT question_id FROM split WHERE part = 'train') THEN 'warm' ELSE 'cold' END FROM scored
+  UNION ALL SELECT correct, p, y, 'each_learner', learner_id FROM scored UNION ALL SELECT correct, p, y, 'untagged', '' FROM scored WHERE len(skills) = 0
+  UNION ALL SELECT correct, p, y, 'skill', unnest(skills) FROM scored)"""
+query("ag20_slices", _summary_sql("slice, value", "sliced", SLICED))(lambda a: metrics.slices(item_predictions(a), parts_of(a)[0]))
 SHIFT_SQL = """SELECT round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)), 9) AS distance, count(*) FILTER (WHERE a > 0) AS train_categories, count(*) FILTER (WHERE b > 0) AS test_categories,
   CAST(sum(CASE WHEN a = 0 THEN b ELSE 0 END) AS BIGINT) AS unseen_rows, round(sum(CASE WHEN a = 0 THEN b ELSE 0 END) / any_value(m), 9) AS unseen_share FROM (SELECT *, a / n AS p, b / m AS q FROM (
   SELECT count(*) FILTER (WHERE part = 'train') AS a, count(*) FILTER (WHERE part = 'test') AS b FROM split WHERE part IN ('train', 'test') GROUP BY {c}), (SELECT count(*) FILTER (WHERE part = 'train') AS n, count(*) FILTER (WHERE part = 'test') AS m FROM split))"""
@@ -238,6 +243,18 @@ query("sk3_csv_guard", sql("""SELECT event_id, CASE WHEN regexp_matches(cell, '^
 query("sk2_export_order", sql("SELECT source_namespace, learner_id, source_sequence, event_id, question_id, correct FROM attempts ORDER BY 1, 2, 3, 4"))(lambda a: a.select("source_namespace", "learner_id", "source_sequence", "event_id", "question_id", "correct").orderBy("source_namespace", "learner_id", "source_sequence", "event_id"))
 query("m5_hierarchical")(lambda a: hierarchical.predict(*parts_of(a), "source_namespace", "question_id").select("event_id", "probability"))
 query("e4_cluster_bootstrap")(lambda a: metrics.bootstrap(metrics.cluster_sums(item_predictions(a))))
+query("e4_auroc_interval")(lambda a: metrics.auroc_interval(item_predictions(a)))
+query("ag22_residual_interval")(lambda a: metrics.residual_interval(item_predictions(a)))
+query("d1_calibration_windows")(lambda a: integrity.window_calibration(integrity.drift_windows(a, LEARNER), baselines.predict_item(parts_of(a)[0], a)))
+query("ft9_unknown_features", "SELECT CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS n WHERE false")(lambda a: leakage.unknown_features(units.feature_map(a)))
+query("ft10_late_dependencies", sql("""SELECT t.event_id, d.event_id AS depends_on, CASE WHEN (t.learner_id, t.domain) <> (d.learner_id, d.domain) THEN 'other domain' WHEN t.unit = d.unit THEN 'same unit' ELSE 'later unit' END AS reason
+  FROM united t JOIN united d ON CAST(d.event_id AS BIGINT) = CAST(t.event_id AS BIGINT) - 150 WHERE (t.learner_id, t.domain) <> (d.learner_id, d.domain) OR d.unit >= t.unit""", UNITS_SQL))(
+    lambda a: leakage.late_dependencies(a, a.select("source_namespace", "event_id", (F.col("event_id").cast("long") - 150).cast("string").alias("depends_on"))).where("reason <> 'unknown'").drop("source_namespace")
+)
+query("ft11_changed_prefixes", "SELECT CAST(NULL AS VARCHAR) AS event_id WHERE false")(lambda a: leakage.changed_prefixes(a, 3).drop("source_namespace"))
+query("ft12_fit_scopes", sql("SELECT c.component, c.part, count(*) AS n FROM split JOIN (VALUES ('model_parameters', 'train'), ('item_priors', 'train'), ('hierarchical_prior', 'train'), ('feature_vocabulary', 'train'), ('feature_scaler', 'train'), ('hyperparameter_selection', 'validation'), ('probability_calibration', 'validation')) c(component, part) USING (part) GROUP BY 1, 2", UNITS_SQL, FORWARD_SQL))(
+    lambda a: leakage.scope_digests(leakage.fit_scopes(splits.forward_split(a))).drop("digest")
+)
 query("e5_paired_bootstrap")(lambda a: metrics.bootstrap(metrics.paired_sums(item_predictions(a), baselines.predict_global(*parts_of(a))), ("difference",)))
 query("p1_plan")(planner.plan)
 
@@ -250,7 +267,8 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = parts_of(attempts(spark, sf_dir))
     rows = irt.eligible(irt.responses(train))
-    return rounded(irt.predict(*irt.fit(rows), test).select("event_id", "probability"))
+    learners, items = irt.fit(rows)
+    return rounded(irt.predict_online(irt.support(rows, learners, items)[0], items, test).select("event_id", "probability"))
 
 
 def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
