@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
 Windows of an item's length slide over a document wherever one of the item's shingles
-occurs (a window without any has similarity 0). Window and item fingerprints meet in a
+occurs (a window without any has similarity 0); a shorter document is one window. Window and item fingerprints meet in a
 multi-index of Hamming blocks: with one block more than the radius, fingerprints within the
 radius share at least one. Candidates are verified by the exact similarity of their
 shingles, weighted by how often they occur.
@@ -22,8 +22,9 @@ from .common import added, steps, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Fingerprints of windows whose similarity suffices are nearly always this near; 16 blocks of 4 bits.
-RADIUS = 15
+#: Bits in which fingerprints of candidates differ at most. Windows that share 8/9 of their shingles, the least that suffices
+#: where none repeats, differ in 10 of 64, give or take 3. A radius of 64 makes every window a candidate and loses none.
+RADIUS = 23
 #: Items that documents are scanned for at a time, in bytes of text; more items make more passes.
 BLOCK_BYTES = 4 << 20
 
@@ -125,22 +126,20 @@ class Finder:
             at = np.minimum(np.searchsorted(sorted_, h[places]), len(sorted_) - 1)
             for p in places[sorted_[at] == h[places]].tolist():
                 for n in {self.items[k][1] for k in items[int(h[p])]}:
-                    wanted.setdefault(n, set()).update(range(max(0, p + size - n), min(p, len(words) - n) + 1))
+                    wanted.setdefault(n, set()).update(range(max(0, p + size - n), max(0, min(p, len(words) - n)) + 1))
         found: dict[int, float] = {}
         for n, starts in wanted.items():
-            if not starts:
-                continue
-            size = min(self.shingle, n)
+            size, length = min(self.shingle, n), min(n, len(words))
             own = np.array(sorted(starts), np.int64)
             for part in np.split(own, np.flatnonzero(np.diff(own) > 4 * n) + 1):  # places far apart on their own
-                low, high = int(part[0]), int(part[-1]) + n
+                low, high = int(part[0]), int(part[-1]) + length
                 near = shingles_of(words[low:high], size)
                 hashes = np.array([xxhash.xxh64_intdigest(s) for s in near], np.uint64)
                 index, numbers_ = self.indexes[n]
-                for s, p in zip(part.tolist(), prints_of(hashes, part - low, n - size + 1).tolist(), strict=True):
+                for s, p in zip(part.tolist(), prints_of(hashes, part - low, length - size + 1).tolist(), strict=True):
                     for k in index.near(p):
                         item, _, counts = self.items[numbers_[k]]
-                        x = similarity_of(counts, Counter(near[s - low : s - low + n - size + 1]))
+                        x = similarity_of(counts, Counter(near[s - low : s - low + length - size + 1]))
                         if x >= self.similarity and x > found.get(item, 0.0):
                             found[item] = x
         return found
@@ -158,8 +157,8 @@ def blocks_of(items: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTE
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", keep: dict[str, Column] | None = None, item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The columns ``keep`` with ``items``: structs of ``item`` and ``similarity`` by item, a row for each row of ``docs``.
 
-    An item is a document's if a window of as many words has a weighted-shingle similarity
-    of at least ``similarity``. Shingles are of five words, or the whole item if it has
+    An item is a document's if a window of as many words, or the whole of a shorter document,
+    has a weighted-shingle similarity of at least ``similarity``. Shingles are of five words, or the whole item if it has
     fewer. Items without id, text or words are nowhere; null texts have no items.
     """
     out = docs.select(*[c.alias(k) for k, c in (keep or {"doc_id": F.col("doc_id")}).items()], F.col(text).alias("__text"), F.array().cast("array<struct<item:bigint,similarity:double>>").alias("items"))
