@@ -20,7 +20,7 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     tiny = 1e-300
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    value = d.copy()
+    value, done = d.copy(), np.zeros(d.shape, bool)  # each value stops on its own, whatever it is worked out with
     for m in range(1, 300):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + top * d
@@ -28,8 +28,9 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = 1 + top / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             change = c * d
-            value = value * change
-        if np.all(np.abs(change - 1) < 1e-15):
+            value = np.where(done, value, value * change)
+        done |= np.abs(change - 1) < 1e-15
+        if done.all():
             break
     out = np.where(x <= 0, 0.0, front * value)
     return np.where(flip, 1 - out, out)

@@ -241,11 +241,16 @@ query("sk3_csv_guard", sql("""SELECT event_id, CASE WHEN regexp_matches(cell, '^
     lambda a: a.select("event_id", csv_guarded(F.concat(F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "\t", ""))), (F.col("source_sequence") % 6 + 1).cast("int")), "question_id")).alias("guarded"))
 )
 query("sk2_export_order", sql("SELECT source_namespace, learner_id, source_sequence, event_id, question_id, correct FROM attempts ORDER BY 1, 2, 3, 4"))(lambda a: a.select("source_namespace", "learner_id", "source_sequence", "event_id", "question_id", "correct").orderBy("source_namespace", "learner_id", "source_sequence", "event_id"))
+query("m5_uniform_prior", sql("SELECT event_id, round(coalesce(r.p, 0.5), 9) AS probability FROM split LEFT JOIN (SELECT question_id, (sum(correct::INTEGER) + 1) / (count(*) + 2) AS p FROM split WHERE part = 'train' GROUP BY 1) r USING (question_id) WHERE part = 'test'", UNITS_SQL, FORWARD_SQL))(
+    lambda a: hierarchical.predict(*parts_of(a), "source_namespace", "question_id", shrinkage=False).select("event_id", "probability")
+)
 query("m5_hierarchical")(lambda a: hierarchical.predict(*parts_of(a), "source_namespace", "question_id").select("event_id", "probability"))
 query("e4_cluster_bootstrap")(lambda a: metrics.bootstrap(metrics.cluster_sums(item_predictions(a))))
 query("e4_auroc_interval")(lambda a: metrics.auroc_interval(item_predictions(a)))
 query("ag22_residual_interval")(lambda a: metrics.residual_interval(item_predictions(a)))
-query("d1_calibration_windows")(lambda a: integrity.window_calibration(integrity.drift_windows(a, LEARNER), baselines.predict_item(parts_of(a)[0], a)))
+query("d1_calibration_windows", sql(f"""SELECT part, bin, n, successes, round(prediction, 9) AS prediction, {wilson_sql('successes', 'n')} FROM (SELECT k.bin, k.part, coalesce(n, 0) AS n, CAST(coalesce(successes, 0) AS BIGINT) AS successes, prediction FROM (SELECT CAST(b AS INTEGER) AS bin, part FROM range(10) t(b), (VALUES ('reference'), ('current')) v(part)) k
+  LEFT JOIN (SELECT part, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, sum(correct::INTEGER) AS successes, avg(p) AS prediction FROM foreseen GROUP BY 1, 2) USING (bin, part))""", *PARTS, ITEM_SQL, f"""foreseen AS (SELECT correct, CASE WHEN back <= 100 THEN 'current' ELSE 'reference' END AS part, least(greatest(coalesce(r.p, g), 1e-9), 1 - 1e-9) AS p FROM (
+  SELECT *, row_number() OVER (ORDER BY timestamp DESC NULLS LAST, source_sequence DESC, event_id DESC) AS back FROM attempts WHERE learner_id = '{LEARNER}') CROSS JOIN rate LEFT JOIN rates r USING (question_id) WHERE back <= 200)"""))(lambda a: integrity.window_calibration(integrity.drift_windows(a, LEARNER), baselines.predict_item(parts_of(a)[0], a)))
 query("ft9_unknown_features", "SELECT CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS n WHERE false")(lambda a: leakage.unknown_features(units.feature_map(a)))
 query("ft10_late_dependencies", sql("""SELECT t.event_id, d.event_id AS depends_on, CASE WHEN (t.learner_id, t.domain) <> (d.learner_id, d.domain) THEN 'other domain' WHEN t.unit = d.unit THEN 'same unit' ELSE 'later unit' END AS reason
   FROM united t JOIN united d ON CAST(d.event_id AS BIGINT) = CAST(t.event_id AS BIGINT) - 150 WHERE (t.learner_id, t.domain) <> (d.learner_id, d.domain) OR d.unit >= t.unit""", UNITS_SQL))(
@@ -256,7 +261,21 @@ query("ft12_fit_scopes", sql("SELECT c.component, c.part, count(*) AS n FROM spl
     lambda a: leakage.scope_digests(leakage.fit_scopes(splits.forward_split(a))).drop("digest")
 )
 query("e5_paired_bootstrap")(lambda a: metrics.bootstrap(metrics.paired_sums(item_predictions(a), baselines.predict_global(*parts_of(a))), ("difference",)))
-query("p1_plan")(planner.plan)
+# Beta quantiles of whole numbers by halving a sum of binomial terms; then the choice, a question of each learner at a time
+BETA_WIDTH_SQL = """tried AS (SELECT learner_id, question_id, count(*) AS n, CAST(sum(correct::INTEGER) AS BIGINT) AS s FROM attempts GROUP BY 1, 2),
+halved(n, s, q, low, high, step) AS (SELECT n, s, q, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), 0 FROM (SELECT DISTINCT n, s FROM tried), (SELECT unnest([0.025, 0.975]::DOUBLE[]) AS q) UNION ALL
+  SELECT n, s, q, CASE WHEN below < q THEN mid ELSE low END, CASE WHEN below < q THEN high ELSE mid END, step + 1 FROM (SELECT *, (low + high) / 2 AS mid,
+    list_sum(list_transform(range(s + 1, n + 2), lambda j: exp(lgamma(n + 2) - lgamma(j + 1) - lgamma(n + 2 - j) + j * ln((low + high) / 2) + (n + 1 - j) * ln(1 - (low + high) / 2)))) AS below FROM halved WHERE step < 48)),
+bounds AS (SELECT n, s, max(low) FILTER (WHERE q > 0.5) - max(low) FILTER (WHERE q < 0.5) AS width FROM halved WHERE step = 48 GROUP BY 1, 2)"""
+PLAN_SQL = """lately AS (SELECT DISTINCT learner_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY timestamp DESC NULLS FIRST, source_sequence DESC, event_id DESC) AS back FROM attempts) JOIN (SELECT learner_id FROM attempts GROUP BY 1 HAVING bool_and(order_scope = 'learner')) USING (learner_id) WHERE back <= 10),
+timed AS (SELECT learner_id, question_id, quantile_cont(duration_ms, 0.5) / 1000 AS seconds FROM attempts WHERE duration_ms > 0 AND duration_scope = 'event' GROUP BY 1, 2 HAVING count(*) >= 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY score DESC, question_id) AS turn FROM (
+  SELECT t.learner_id, t.question_id, 0.4::DOUBLE * (1 - (s + 1) / (n + 2)) + 0.4::DOUBLE * width + 0.2::DOUBLE - CASE WHEN l.question_id IS NULL THEN 0 ELSE 0.25::DOUBLE END AS score, seconds
+  FROM tried t JOIN bounds USING (n, s) JOIN timed USING (learner_id, question_id) LEFT JOIN lately l ON l.learner_id = t.learner_id AND l.question_id = t.question_id)),
+chosen(learner_id, turn, question_id, score, seconds, remaining, place, taken) AS (SELECT DISTINCT learner_id, CAST(0 AS BIGINT), '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(900 AS DOUBLE), 0, false FROM best UNION ALL
+  SELECT b.learner_id, b.turn, b.question_id, b.score, b.seconds, CASE WHEN fits THEN remaining - b.seconds ELSE remaining END, CASE WHEN fits THEN place + 1 ELSE place END, fits FROM (
+    SELECT c.remaining, c.place, b.*, b.seconds <= c.remaining AND c.place < 12 AS fits FROM chosen c JOIN best b ON b.learner_id = c.learner_id AND b.turn = c.turn + 1) b)"""
+query("p1_plan", sql("SELECT learner_id, place, question_id, round(score, 9) AS score, round(seconds, 9) AS planned_seconds, round(remaining, 9) AS remaining_seconds FROM chosen WHERE taken", BETA_WIDTH_SQL, PLAN_SQL).replace("WITH", "WITH RECURSIVE", 1))(planner.plan)
 
 
 def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
