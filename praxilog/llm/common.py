@@ -96,12 +96,12 @@ def joined_evenly(rows: DataFrame, sums: DataFrame, keys: list[str], hot: Column
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"__both.{c}").alias(c) for c in own])
 
 
-def met_evenly(rows: DataFrame, others: DataFrame, key: str, hot: DataFrame, spread: list[str]) -> DataFrame:
-    """``rows.join(others, key)``, in which rows of the ``hot`` keys, of which there are fewer than HOT, are dealt to WAYS tasks each."""
+def met_evenly(rows: DataFrame, others: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows.join(others, key, how)`` (inner or left), in which rows of the ``hot`` keys, of which there are fewer than HOT, are dealt to WAYS tasks each."""
     mark = F.broadcast(hot.select(key, F.lit(True).alias("__hot")))
     left = rows.join(mark, key, "left").withColumn("__way", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(WAYS)).cast("int")).otherwise(0)).drop("__hot")
     right = others.join(mark, key, "left").withColumn("__way", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
-    return left.join(right, [key, "__way"]).drop("__way")
+    return left.join(right, [key, "__way"], how).drop("__way")
 
 
 def fold(doc_id: str, parts: int) -> Column:

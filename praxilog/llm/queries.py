@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, pieces, quality, simhash, suffix, tokencount, toxicity, urlfilter
+from . import decontam, langid, linededup, pieces, quality, simhash, suffix, tokencount, toxicity, urlfilter, warc
 from .common import fold, scratch
 
 RULES = (
@@ -80,8 +80,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("items").alias("found")).select("doc_id", F.col("found.item").alias("item_id"), "found.similarity")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_sentencepiece, op6_url_filter, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_sentencepiece, op6_url_filter, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_decontamination, op11_warc)}
 
 
 def quality_sql(thresholds: tuple[quality.Threshold, ...] = quality.THRESHOLDS) -> str:
@@ -113,5 +119,12 @@ f AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {passes} AS kept FROM f"""
 
 
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, sha1(x) AS payload_digest, max(page_id) OVER (PARTITION BY x) AS newest FROM p),
+r AS (SELECT *, payload_bytes >= {warc.LEAST_BYTES} AND page_id IS DISTINCT FROM newest AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN newest END AS refers_to FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql()}
+    return {"op2_quality_rules": quality_sql(), "op11_warc": WARC_SQL}
