@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, pieces, quality, simhash, suffix, tokencount, toxicity, urlfilter, warc
+from . import alignment, decontam, langid, linededup, pieces, quality, simhash, suffix, tokencount, toxicity, urlfilter, warc
 from .common import fold, scratch
 
 RULES = (
@@ -86,8 +86,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_sentencepiece, op6_url_filter, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_decontamination, op11_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_sentencepiece, op6_url_filter, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_decontamination, op11_warc, op13_tokenizer_alignment)}
 
 
 def quality_sql(thresholds: tuple[quality.Threshold, ...] = quality.THRESHOLDS) -> str:
