@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, langid, linededup, pieces, quality, simhash, suffix, tokencount, toxicity, urlfilter, warc
+from . import alignment, decontam, langid, linededup, pieces, quality, simhash, spelling, suffix, tokencount, toxicity, urlfilter, warc
 from .common import fold, scratch
 
 RULES = (
@@ -86,12 +86,16 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_sentencepiece, op6_url_filter, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_decontamination, op11_warc, op13_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_sentencepiece, op6_url_filter, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_decontamination, op11_warc, op12_spelling_variants, op13_tokenizer_alignment)}
 
 
 def quality_sql(thresholds: tuple[quality.Threshold, ...] = quality.THRESHOLDS) -> str:
@@ -130,5 +134,28 @@ r AS (SELECT *, payload_bytes >= {warc.LEAST_BYTES} AND page_id IS DISTINCT FROM
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN newest END AS refers_to FROM r"""
 
 
+SPELLING_SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, x, count(*) AS n FROM (
+       SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-zÀ-ÿ]+')) AS x FROM documents) GROUP BY doc_id, x),
+b AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || x, ''), lambda c:
+       CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(192 + ord(c) // 64 AS BIGINT), CAST(128 + ord(c) % 64 AS BIGINT)] END)) AS bytes FROM r WHERE length(x) >= {spelling.LEAST_CHARS}),
+-- crc32 bit by bit: each byte comes in with its first of eight steps
+c AS (SELECT x, n, xor(list_reduce(flatten(list_transform(bytes, lambda y: [y, 0, 0, 0, 0, 0, 0, 0])), lambda h, y:
+       CASE WHEN xor(h, y) & 1 = 1 THEN xor(xor(h, y) >> 1, 3988292384) ELSE xor(h, y) >> 1 END, 4294967295), 4294967295) AS h FROM b),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+       SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN x[:h % length(x)] || x[h % length(x) + 2:] ELSE x END AS word, n FROM c)
+      WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_TIMES}),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+l AS (SELECT DISTINCT p.word AS a, p.n AS a_n, w.word AS b, w.n AS b_n FROM p JOIN w ON w.word = p.word[:i - 1] || p.word[i + 1:]),
+s AS (SELECT word, n, word[:i - 1] || '?' || word[i + 1:] AS k FROM p),
+e AS (SELECT a, b, b_n FROM l UNION ALL SELECT b, a, a_n FROM l
+      UNION ALL SELECT x.word, y.word, y.n FROM s x JOIN s y ON x.k = y.k AND x.word <> y.word),
+t AS (SELECT a, count(*) AS n_near, arg_min(b, (-b_n, b)) AS best, max(b_n) AS best_n FROM e GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling.MORE} * w.n THEN best END AS form,
+             CASE WHEN best_n >= {spelling.MORE} * w.n THEN best_n END AS form_n FROM w LEFT JOIN t ON t.a = w.word),
+g AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON g.next = f.word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN g ON f.word = g.word AND g.next IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op11_warc": WARC_SQL}
+    return {"op2_quality_rules": quality_sql(), "op11_warc": WARC_SQL, "op12_spelling_variants": SPELLING_SQL}
