@@ -77,30 +77,39 @@ def _first_of_unit(*keys: str) -> Column:
     return ~F.lag("unit").over(Window.partitionBy(*DOMAIN, *keys).orderBy("pos")).eqNullSafe(F.col("unit"))
 
 
-def _rate(s: Column, n: Column) -> Column:
+def rate(s: Column, n: Column) -> Column:
     return (s + 1) / (n + 2)
 
 
-def features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
-    """Attempts with :func:`history_features` and :func:`gap_features`, in one pass."""
+def windowed(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
+    """Attempts with ``past`` and ``item``: counts of what came before their unit, overall, lately and of the item, and the last known moment."""
     rows = opened(attempts, coupled).withColumn("hit", F.col("correct").cast("int"))
     lately = Window.partitionBy(*DOMAIN).orderBy("pos").rowsBetween(-recent, -1)
     ever = Window.partitionBy(*DOMAIN).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"own_{k}": c for k, c in _before().items()} | {"late_n": F.count("hit").over(lately), "late_s": F.coalesce(F.sum("hit").over(lately), F.lit(0)), "known": F.last("timestamp", ignorenulls=True).over(ever)})
     rows = rows.withColumn("past", _carried(F.col("opens") == 1, n=F.col("own_n"), s=F.col("own_s"), late_n=F.col("late_n"), late_s=F.col("late_s"), known=F.col("known")))
     rows = rows.withColumns({f"item_{k}": c for k, c in _before("question_id").items()} | {"first_of_item": _first_of_unit("question_id")})
-    rows = rows.withColumn("item", _carried(F.col("first_of_item"), "question_id", n=F.col("item_n"), s=F.col("item_s")))
+    return rows.withColumn("item", _carried(F.col("first_of_item"), "question_id", n=F.col("item_n"), s=F.col("item_s")))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """The features that ``past`` and ``item`` of :func:`windowed` make."""
     seconds = F.greatest(F.lit(0.0), (F.unix_micros("timestamp") - F.unix_micros("past.known")) / 1e6)
     known = F.col("timestamp").isNotNull() & F.col("past.known").isNotNull()
     return rows.select(
         "source_namespace", "event_id", "learner_id", "question_id", "correct", "domain", "unit", "attempt_kind", "skills",
-        F.col("past.n").alias("past_attempts"), F.col("past.s").alias("past_successes"), _rate(F.col("past.s"), F.col("past.n")).alias("past_accuracy"),
-        F.col("past.late_n").alias("recent_count"), _rate(F.col("past.late_s"), F.col("past.late_n")).alias("recent_accuracy"),
-        F.col("item.n").alias("item_past_attempts"), _rate(F.col("item.s"), F.col("item.n")).alias("item_past_accuracy"),
+        F.col("past.n").alias("past_attempts"), F.col("past.s").alias("past_successes"), rate(F.col("past.s"), F.col("past.n")).alias("past_accuracy"),
+        F.col("past.late_n").alias("recent_count"), rate(F.col("past.late_s"), F.col("past.late_n")).alias("recent_accuracy"),
+        F.col("item.n").alias("item_past_attempts"), rate(F.col("item.s"), F.col("item.n")).alias("item_past_accuracy"),
         F.when(known, 0.0).otherwise(1.0).alias("gap_unknown"), F.when(known, F.log1p(seconds)).otherwise(0.0).alias("gap_log_seconds"),
     )
 
 
+def features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
+    """Attempts with :func:`history_features` and :func:`gap_features`, in one pass."""
+    return named(windowed(attempts, recent, coupled))
+
+
 def history_features(attempts: DataFrame, recent: int = RECENT, coupled: bool = True) -> DataFrame:
     """Attempts with counts and smoothed rates of what came before their unit: overall, lately and of the item."""
     return features(attempts, recent, coupled).drop("attempt_kind", "skills", "gap_unknown", "gap_log_seconds")
@@ -111,12 +120,16 @@ def gap_features(attempts: DataFrame) -> DataFrame:
     return features(attempts).select("source_namespace", "event_id", "gap_unknown", "gap_log_seconds")
 
 
-def skill_features(attempts: DataFrame) -> DataFrame:
-    """A row for each attempt and skill: attempts and smoothed rate of the skill before the unit, in the order domain."""
+def skills_before(attempts: DataFrame) -> DataFrame:
+    """A row for each attempt and skill, with ``past``: counts of the skill before the unit."""
     rows = units(attempts).withColumn("hit", F.col("correct").cast("int")).withColumn("skill", F.explode("skills"))
     rows = rows.withColumns(_before("skill") | {"first": _first_of_unit("skill")})
-    rows = rows.withColumn("past", _carried(F.col("first"), "skill", n=F.col("n"), s=F.col("s")))
-    return rows.select("source_namespace", "event_id", "skill", F.col("past.n").alias("prior_attempts"), _rate(F.col("past.s"), F.col("past.n")).alias("prior_rate"))
+    return rows.withColumn("past", _carried(F.col("first"), "skill", n=F.col("n"), s=F.col("s")))
+
+
+def skill_features(attempts: DataFrame) -> DataFrame:
+    """A row for each attempt and skill: attempts and smoothed rate of the skill before the unit, in the order domain."""
+    return skills_before(attempts).select("source_namespace", "event_id", "skill", F.col("past.n").alias("prior_attempts"), rate(F.col("past.s"), F.col("past.n")).alias("prior_rate"))
 
 
 def feature_map(attempts: DataFrame) -> DataFrame:

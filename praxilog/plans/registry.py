@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import csv_guarded, known_order, z_value
+from ..functions.expressions import DOMAIN, csv_guarded, known_order, z_value
 from ..models import baselines, bkt, hierarchical, irt
-from ..operators import experiment, ingest, integrity, leakage, metrics, overview, planner, splits, units
+from ..operators import experiment, ingest, integrity, leakage, metrics, overview, planner, snapshots, splits, units
 from ..sources.projection import attempts_from_events
 from ..sources.workload import workload
 
@@ -157,6 +157,28 @@ query("ft6_skill_features", sql("""SELECT event_id, skill, CAST(first_value(n) O
 GAPS, SKILLS = SQL["ft6_gap_features"].split("united AS", 1)[1].split("\n", 1)[1], 12
 query("ft6_feature_map", sql(f"SELECT f.event_id, CAST({SKILLS} + 3 * len(a.skills) AS INTEGER) AS n_features, f.past_accuracy AS learner_rate, f.item_past_accuracy AS item_rate, g.gap_log_seconds FROM ({FEATURES}) f JOIN ({GAPS}) g USING (event_id) JOIN attempts a USING (event_id)", UNITS_SQL))(lambda a: units.feature_map(a).select("event_id", F.size("features").alias("n_features"), F.col("features")["learner_rate"].alias("learner_rate"), F.col("features")["item_rate"].alias("item_rate"), F.col("features")["gap_log_seconds"].alias("gap_log_seconds")))
 
+
+def halves(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first half of each domain's units, and the rest."""
+    rows = units.units(a).withColumn("half", F.col("unit") * 2 <= F.max("unit").over(Window.partitionBy(*DOMAIN)))
+    return rows.where("half").select(*a.columns), rows.where("not half").select(*a.columns)
+
+
+def resumed(plain: Callable[[DataFrame], DataFrame], restored: Callable[[snapshots.State, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Features of the first half of each domain's units, and of the rest from a snapshot of it."""
+
+    def of(a: DataFrame) -> DataFrame:
+        first, rest = halves(a)
+        return plain(first).unionByName(restored(snapshots.snapshot(first), rest))
+
+    return of
+
+
+for _n, _sh in (("", False), ("_shifted", True)):
+    query(f"ft7_restored_features{_n}", SQL[f"ft3_history_features{_n}"], _sh)(lambda a: resumed(units.features, snapshots.restored)(a).select("event_id", "past_attempts", "past_successes", "past_accuracy", "recent_accuracy", "item_past_attempts", "item_past_accuracy"))
+query("ft7_restored_gaps", SQL["ft6_gap_features"])(lambda a: resumed(units.features, snapshots.restored)(a).select("event_id", "gap_unknown", "gap_log_seconds"))
+query("ft7_restored_skills", SQL["ft6_skill_features"])(lambda a: resumed(units.skill_features, snapshots.restored_skills)(a).drop("source_namespace"))
+
 FORWARD_SQL = """counted AS (SELECT *, max(unit) OVER (PARTITION BY source_namespace, learner_id, domain) AS units FROM united),
 cuts AS (SELECT *, greatest(1, floor(units * CAST(0.6 AS DOUBLE))) AS a FROM counted),
 split AS (SELECT *, CASE WHEN units < 5 THEN 'excluded' WHEN unit <= a THEN 'train' WHEN unit <= least(greatest(a + 1, floor(units * CAST(0.8 AS DOUBLE))), units - 1) THEN 'validation' ELSE 'test' END AS part FROM cuts)"""
