@@ -155,7 +155,7 @@ def test_knowledge_tracing(spark):
         want.append(guess)
     assert got == pytest.approx(want, rel=1e-12)
     demo = workload.demo_attempts(spark, 12, 20).cache()
-    fitted = bkt.fit(spark, demo, first=15, rounds=1, around=5)
+    fitted = bkt.fit(spark, demo)
     assert fitted.count() == 3 and fitted.where("fitted").count() == 3
     assert bkt.fit(spark, t).first().initial == bkt.DEFAULTS[0]
 
