@@ -258,13 +258,13 @@ def align(docs: DataFrame, a_model: str, b_model: bytes, text: str = "text", kee
     a space before texts; A gets that space too. Null and empty texts, and those that either
     side's tokens don't give back, have no tokens: zeros, and an empty digest. Rows that
     repeat count each for itself. No rows: no rows. Pairs that over one in HOT of the postings
-    hold are dealt to tasks by document.
+    hold are dealt to tasks by document; the others are merged as sorted streams, however few there are.
     """
     kept = written(alignments(docs, a_model, b_model, text, keep), "alignments")
     postings = kept.select("__row", F.inline(F.arrays_zip(F.col("__b").alias("b"), F.col("__a").alias("a"), F.col("__times").alias("times"))))
     total = kept.agg(F.coalesce(F.sum(F.size("__b")), F.lit(0))).first()[0]
     counts = written(pair_counts(postings), "pair-counts")
-    met = joined_evenly(postings, counts, ["b", "a"], F.col("n") * HOT > total, ["__row"])
+    met = joined_evenly(postings, counts, ["b", "a"], F.col("n") * HOT > total, ["__row"], "merge")
     sums = met.groupBy("__row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
     names = [c for c in kept.columns if not c.startswith("__") and c != "groups_sha256"]
     found = kept.drop("__b", "__a", "__times").join(sums, "__row", "left")

@@ -79,12 +79,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def joined_evenly(rows: DataFrame, sums: DataFrame, keys: list[str], hot: Column, spread: list[str]) -> DataFrame:
+def joined_evenly(rows: DataFrame, sums: DataFrame, keys: list[str], hot: Column, spread: list[str], hint: str | None = None) -> DataFrame:
     """``rows`` with the other columns of ``sums``, which has a row for each of ``keys`` at most; null where it has none.
 
     ``hot`` tells which rows of ``sums`` stand for over one in HOT of all ``rows``, so there are
     fewer than HOT. Those are broadcast, and what they match goes to tasks by the columns
-    ``spread`` instead of by a key that many rows share.
+    ``spread`` instead of by a key that many rows share. ``hint`` is how the others are joined.
     """
     own = [c for c in sums.columns if c not in keys]
     few = sums.where(hot).select(*keys, F.struct(*own).alias("__few"))
@@ -92,6 +92,7 @@ def joined_evenly(rows: DataFrame, sums: DataFrame, keys: list[str], hot: Column
     left = left.withColumn("__way", F.when(F.col("__few").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(0))
     # 0 in a form that the optimizer doesn't fold, so that the way stays a key of the join
     rest = sums.where(~hot).select(*keys, F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__way"), F.struct(*own).alias("__rest"))
+    rest = rest.hint(hint) if hint else rest
     out = left.join(rest, [*keys, "__way"], "left").withColumn("__both", F.coalesce("__few", "__rest"))
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"__both.{c}").alias(c) for c in own])
 
