@@ -6,10 +6,12 @@ A record that can't be read is an error of its own; what breaks a whole file rai
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import csv_unguarded
+from ..functions.lineage import cut
+from . import framing
 
 #: Bytes of the longest line or event.
 MOST_BYTES = 4 << 20
@@ -17,19 +19,19 @@ RECORD = "row long, value string, error string"
 CSV_ENCODING = "spreadsheet-literal-v1"
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``row``, their number in the order of the files' partitions, from 1.
+def numbered(rows: DataFrame, *parts: str, at: str) -> DataFrame:
+    """``rows`` with ``row``, their number from 1 in order of ``parts`` and ``at``, which counts on within a part.
 
-    Only the number of lines of each partition comes together; lines stay where they are.
+    Only a count of each part comes together; rows stay where they are.
     """
-    rows = lines.withColumn("part", F.spark_partition_id()).withColumn("inside", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
+    sizes = sorted(tuple(r) for r in rows.groupBy(*parts).agg(F.min(at).alias("first"), F.count("*").alias("n")).collect())
     starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
+    for *part, first, n in sizes:
+        starts.append((*part, total - first))
         total += n
-    offsets = lines.sparkSession.createDataFrame(starts, "part int, start long")
-    return rows.join(F.broadcast(offsets), "part").withColumn("row", F.col("start") + F.col("inside") + 1).drop("part", "inside", "start")
+    kinds = dict(rows.dtypes)
+    offsets = rows.sparkSession.createDataFrame(starts, ", ".join(f"{p} {kinds[p]}" for p in parts) + ", start long")
+    return rows.join(F.broadcast(offsets), list(parts)).withColumn("row", F.col("start") + F.col(at) + 1).drop("start")
 
 
 def strict_json(value: Column) -> Column:
@@ -45,41 +47,71 @@ def _judged(rows: DataFrame, value: Column, wrong: Column | None = None) -> Data
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each line with more than white space; the others count in ``row``. Lines keep their bytes, so bad UTF-8 shows."""
-    rows = numbered(spark.read.text(path)).where(F.col("value").rlike(r"[^ \t\n\x0B\f\r]"))
+    """A record for each line with more than white space; the others count in ``row``. Line feeds alone end lines, which keep their bytes, so bad UTF-8 shows."""
+    rows = numbered(framing.pieces(spark, path, "\n"), *framing.BLOCK, at="place").where(F.col("value").rlike(r"[^ \t\n\x0B\f\r]"))
     return _judged(rows, F.col("value"))
 
 
+#: White space of JSON, as a pattern.
+_BLANK = r"[ \t\r\n]*"
+
+
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each item of a JSON array that is the whole file; anything else raises.
+    """A record for each item of a JSON array that is a whole file; anything else raises.
 
-    A file is one task's, of 2 GB at most; larger data belong in lines (:func:`read_ndjson`).
+    Tasks take blocks of the files. An item is one task's, and held up to MOST_BYTES; together
+    with a longer one, items that are no objects and come right before it are one error.
     """
-    whole = spark.read.text(path, wholetext=True).select(strict_json(F.col("value")).alias("v"))
-    if whole.where(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v"), F.lit("")).startswith("ARRAY")).limit(1).count():
+    chunks = cut(framing.json_chunks(spark, path, MOST_BYTES))
+    first, text, last = F.col("chunk") == 0, F.col("text"), ~F.col("ended")
+    begins = F.when(first, text.rlike(rf"^{_BLANK}\[")).otherwise(text.rlike(rf"^{_BLANK},"))
+    rest = F.when(first, F.regexp_replace(text, rf"^{_BLANK}\[", "")).otherwise(F.regexp_replace(text, rf"^{_BLANK},", ""))
+    body = F.when(last, F.regexp_replace(rest, rf"\]{_BLANK}$", "")).otherwise(rest)
+    over = last & ~first & text.rlike(rf"^{_BLANK}\]{_BLANK}$")
+    right = over | (begins & (~last | text.rlike(rf"\]{_BLANK}$")) & (first | ~body.rlike(rf"^{_BLANK}$")))
+    chunks = chunks.select("file", "chunk", "ended", text.isNull().alias("long"), F.when(right, F.when(over, "").otherwise(body)).alias("body"))
+    chunks = chunks.withColumn("v", strict_json(F.concat(F.lit("["), F.col("body"), F.lit("]"))))
+    wrong = chunks.where("not long and v is null").select("file").union(chunks.groupBy("file").agg(F.min("ended").alias("open")).where("open").select("file"))
+    # a file without a byte has no chunk
+    if wrong.limit(1).count() or chunks.where("chunk = 0").count() < len(spark.read.text(path).inputFiles()):
         raise ValueError("the file isn't one JSON array")
-    items = whole.select(F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("pos", "item"))
-    items = items.select((F.col("pos") + 1).cast("long").alias("row"), F.to_json("item").alias("text"), F.schema_of_variant("item").alias("kind"))
-    return _judged(items, F.col("text"), F.when(~F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), "not a JSON object"))
+    empty = F.array(F.lit(None).cast("variant"))
+    items = chunks.select("file", "chunk", "long", "body", F.posexplode(F.when(F.col("long"), empty).otherwise(F.variant_get("v", "$", "array<variant>"))).alias("at", "item"), F.size(F.variant_get("v", "$", "array<variant>")).alias("n"))
+    items = framing.numbered_chunks(items).withColumn("kind", F.schema_of_variant("item"))
+    # an object alone keeps its bytes
+    own = F.when(F.col("n") == 1, F.regexp_replace("body", rf"^{_BLANK}|{_BLANK}$", "")).otherwise(F.to_json("item"))
+    wrong = F.when(F.col("long"), "longer than the byte bound").when(~F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), "not a JSON object")
+    return _judged(items, own, wrong)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each row; the header must be there and without repeats. Cells are decoded to JSON by :func:`csv_record`."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    """A record for each row that isn't empty, by the strict rules of CSV; what breaks them raises when rows are read. Tasks take blocks of the files.
+
+    The header must be there, without repeats, and the same in all files. Cells are decoded to
+    JSON by :func:`csv_record`; a short row lacks its last cells, a long one is an error.
+    """
+    rows = framing.csv_rows(framing.csv_chunks(spark, path, MOST_BYTES), MOST_BYTES)
+    heads = rows.where("chunk = 0 and at = 0").select("cells").distinct().limit(2).collect()
+    if not heads or not heads[0][0]:
         raise ValueError("the header is missing")
-    header = [h.strip('"') for h in first[0][0].lstrip("﻿").split(",")]
+    header = heads[0][0]
+    if len(heads) > 1:
+        raise ValueError("the files' headers differ")
     if len(set(header)) != len(header):
         raise ValueError("the header repeats a column")
-    schema = ", ".join(f"`{h}` string" for h in header) + ", `_broken` string"
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
-    return csv_record(numbered(rows), header)
+    rows = framing.numbered_chunks(rows.where("chunk > 0 or at > 0"))
+    cells = [F.get("cells", F.lit(k)).alias(h) for k, h in enumerate(header)]
+    return csv_record(rows.select("row", *cells, F.when(F.size("cells") > len(header), "longer").alias("_broken")), header)
+
+
+#: Cells that mean nothing when they are empty; others stay empty texts.
+EMPTY = ("timestamp", "session_id", "bundle_id", "schema_version", "attempt_kind", "order_scope", "time_semantics", "duration_scope")
 
 
 def csv_record(rows: DataFrame, header: list[str]) -> DataFrame:
     """Cells as typed JSON: exact booleans, whole numbers, skills as a JSON array, empty cells as null or their default."""
-    cell = {h: F.col(f"`{h}`") for h in header}
-    bad = F.when(F.col("_broken").isNotNull(), "fields differ from the header")
+    cell = {h: F.col("`" + h.replace("`", "``") + "`") for h in header}
+    bad = F.when(F.col("_broken").isNotNull(), "more fields than the header")
     if "csv_encoding" in cell:
         mark = cell.pop("csv_encoding")
         bad = F.coalesce(bad, F.when(mark.isNotNull() & (mark != CSV_ENCODING), "unknown literal encoding"))
@@ -100,15 +132,17 @@ def csv_record(rows: DataFrame, header: list[str]) -> DataFrame:
             out[h] = F.expr(f"try_cast(`{h}` as double)")
             bad = F.coalesce(bad, F.when(filled.isNotNull() & out[h].isNull(), "duration_ms isn't a number"))
         elif h != "provenance":
-            out[h] = filled
+            out[h] = filled if h in EMPTY else c
     text = F.to_json(F.struct(*[c.alias(h) for h, c in out.items()]))
     return rows.select("row", F.when(bad.isNull(), text).alias("value"), bad.alias("error"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A record for each row; digests and provenance are left out and made anew."""
-    rows = numbered(spark.read.parquet(path))
-    kept = [c for c in rows.columns if c not in ("row", "identity", "content_hash", "provenance")]
+    rows = spark.read.parquet(path)
+    names = rows.columns
+    rows = numbered(rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")), "__file", at="__at")
+    kept = [c for c in names if c not in ("identity", "content_hash", "provenance")]
     stamp = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c) if dict(rows.dtypes)[c].startswith("timestamp") else F.col(c) for c in kept]
     return rows.select("row", F.to_json(F.struct(*stamp)).alias("value"), F.lit(None).cast("string").alias("error"))
 
@@ -119,17 +153,19 @@ def read_legacy(spark: SparkSession, path: str, learner: str = "local-learner")
     Order is known only within a question. Attempts without an id of their own are named by place.
     """
     kind = "map<string, struct<attempts: array<struct<id: variant, correct: variant>>>>"
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     inner = F.coalesce(F.get_json_object("value", "$.LocalSubmissions"), F.col("value"))
     if whole.where(strict_json(F.col("value")).isNull()).limit(1).count():
         raise ValueError("the file isn't JSON")
-    rows = whole.select(F.posexplode(F.map_entries(F.from_json(inner, kind))).alias("q", "e")).select("q", F.col("e.key").alias("question"), F.posexplode("e.value.attempts").alias("pos", "a"))
+    rows = whole.select(F.posexplode(F.map_entries(F.from_json(inner, kind))).alias("q", "e"), "file").select("file", "q", F.col("e.key").alias("question"), F.posexplode("e.value.attempts").alias("pos", "a"))
     own = F.when(F.schema_of_variant("a.id") == "STRING", F.trim(F.variant_get("a.id", "$", "string")))
     stable = own.isNotNull() & (own != "")
     name = F.when(stable, own).otherwise(F.concat(F.lit("position:"), "pos"))
     event = F.sha2(F.to_json(F.array(F.lit(learner), F.col("question"), name)), 256)
     value = F.to_json(F.struct(event.alias("event_id"), F.lit(learner).alias("learner_id"), F.col("question").alias("question_id"), F.array().cast("array<string>").alias("skills"), F.col("a.correct").alias("correct"), F.col("pos").cast("long").alias("source_sequence"), F.lit("question").alias("order_scope")))
-    return numbered(rows.select(value.alias("value"), F.lit(None).cast("string").alias("error"))).select("row", "value", "error")
+    at = (F.row_number().over(Window.partitionBy("file").orderBy("q", "pos")) - 1).cast("long")
+    rows = numbered(rows.select("file", at.alias("at"), value.alias("value")), "file", at="at")
+    return rows.select("row", "value", F.lit(None).cast("string").alias("error"))
 
 
 READERS = {"ndjson": read_ndjson, "json": read_json_array, "csv": read_csv, "parquet": read_parquet, "legacy": read_legacy}
