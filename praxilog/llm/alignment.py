@@ -36,12 +36,14 @@ WHOLE = re.compile("(?!)")
 #: A part as most are, and what keeps a text from having only such parts.
 PLAIN_PART = re.compile(f"[ \\n]{_INK}+")
 BLANK = re.compile(f"[{_BLANKS}]")
+#: Bytes of text that a task aligns at a time.
+STEP_BYTES = 2 << 20
 #: Characters of parts that are encoded together.
 TOGETHER = 1 << 16
 #: What may follow an id in the text of groups.
 AFTER = (",", "|", ";", "")
 #: Parts of texts whose tokens a Python worker keeps; it starts anew beyond.
-CACHED_PARTS = 500_000
+CACHED_PARTS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -230,7 +232,7 @@ def alignments(docs: DataFrame, a_model: str, b_model: bytes, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*sent.value)
         number = TaskContext.get().partitionId() << 40
-        for batch in steps(batches, "__text"):
+        for batch in steps(batches, "__text", STEP_BYTES):
             totals, digests, pairs, times, sizes = own.align(texts(batch, "__text"))
             offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             lists = {k: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for k, x in (("__b", pairs // own.a_size), ("__a", pairs % own.a_size), ("__times", times))}
