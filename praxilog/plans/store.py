@@ -23,6 +23,7 @@ from ..functions.expressions import csv_guarded
 from ..operators import ingest
 from ..schema import ATTEMPTS, no_attempts, read_attempts
 from ..sources.readers import CSV_ENCODING, read_records
+from . import identities
 
 TABLES = """
 CREATE TABLE IF NOT EXISTS workspace (id TEXT PRIMARY KEY, name TEXT, kind TEXT, head TEXT);
@@ -91,6 +92,11 @@ class Store:
         """All attempts of a version: its own partition and those it inherits."""
         return read_attempts(spark, [str(self.root / p["path"]) for p in self.manifest(dataset)["partitions"]]) if dataset else no_attempts(spark)
 
+    def known(self, spark: SparkSession, dataset: str, wanted: DataFrame) -> DataFrame:
+        """Identities and content of a version's attempts that are among ``wanted``, by the indexes of its partitions."""
+        folders = [str((self.root / p["path"]).parent / "index") for p in self.manifest(dataset)["partitions"]]
+        return identities.lookup(spark, folders, wanted)
+
     def preview(self, spark: SparkSession, path: str, format: str, limit: int = 100, namespace: str = "local", learner: str = "local-learner") -> DataFrame:
         """The first records as they would be judged, without a store."""
         if not 1 <= limit <= 1000:
@@ -115,17 +121,21 @@ class Store:
         stage.mkdir(parents=True)
         try:
             provenance = F.to_json(F.struct(F.lit(source).alias("source_hash"), F.lit(format).alias("adapter"), "row"))
-            known = self.attempts(spark, parent).select("identity", "content_hash") if parent else None
-            rows = ingest.classified(ingest.validated(read_records(spark, path, format), namespace, learner), known).withColumn("provenance", provenance)
+            ingest.validated(read_records(spark, path, format), namespace, learner).write.parquet(str(stage / "read"))  # parsed once
+            rows = spark.read.parquet(str(stage / "read"))
+            known = self.known(spark, parent, rows) if parent else None
+            rows = ingest.classified(rows, known).withColumn("provenance", provenance)
             rows.write.parquet(str(stage / "judged"))  # judged once, read for every part of the result
             rows = spark.read.parquet(str(stage / "judged"))
             counts = ingest.import_counts(rows).first().asDict()
             if counts["accepted"]:
                 rows.where("outcome = 'accepted'").select(*[f.name for f in ATTEMPTS]).sortWithinPartitions("learner_id").write.option("compression", "zstd").parquet(str(stage / "attempts"))
+                identities.write(rows.where("outcome = 'accepted'"), str(stage / "index"))
             ingest.quarantine(rows).write.json(str(stage / "quarantine"))
             samples = [r.asDict() for r in ingest.quarantine(rows).orderBy("row").limit(ingest.SAMPLES).collect()]
             shutil.copyfile(path, stage / "original")
             shutil.rmtree(stage / "judged")
+            shutil.rmtree(stage / "read")
             inherited = self.manifest(parent)["partitions"] if parent else []
             own = {"parent": parent, "key": key, "source": {"sha256": source, "format": format}, "counts": counts}
             dataset = digest(own) if counts["accepted"] or parent is None else parent
