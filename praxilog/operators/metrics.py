@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clipped, log_loss, order_domain, wilson
@@ -89,40 +92,130 @@ def bootstrap(sums: DataFrame, columns: tuple[str, ...] = ("loss", "square", "ri
     """Percentile intervals of means over clusters drawn with replacement.
 
     Every draw gives each cluster a Poisson(1) weight by a keyed hash of the draw and the
-    cluster, so draws run as one distributed aggregation and no cluster comes to the driver.
+    cluster. A task adds up the weighted sums of all draws as it reads its clusters, and gives
+    one row; no cluster comes to the driver, and none is repeated for a draw.
     """
-    if not 20 <= repetitions <= 5000 or not 0 < confidence < 1:
-        raise ValueError("repetitions must be 20 to 5000 and confidence within 0 and 1")
-    draws = _drawn(sums, sums.columns[0], repetitions, seed)
-    means = draws.groupBy("draw").agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum(F.col("w") * F.col("n"))).alias(c) for c in columns])
+    _asked(repetitions, confidence)
+    names = ["n", *columns]
+    rows = sums.select(*[F.col(c).cast("double").alias(c) for c in names], drawn(sums.columns[0], repetitions, seed).alias("weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((repetitions, len(names)))
+        for b in batches:
+            weights = _matrix(b.column("weights"), repetitions)
+            total += weights.T @ np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([list(range(repetitions))], pa.list_(pa.int32())), *[pa.array([total[:, k]], pa.list_(pa.float64())) for k in range(len(names))]], names=["draw", *names])
+
+    added = rows.mapInArrow(run, "draw array<int>, " + ", ".join(f"{c} array<double>" for c in names))
+    each = added.select(F.inline(F.arrays_zip("draw", *names))).groupBy("draw").agg(*[F.sum(c).alias(c) for c in names])
+    means = each.select(*[F.try_divide(c, "n").alias(c) for c in columns])
     tail = (1 - confidence) / 2
     return means.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{side}") for c in columns for side, q in (("lower", tail), ("upper", 1 - tail))])
 
 
-def _drawn(rows: DataFrame, key: str, repetitions: int, seed: int) -> DataFrame:
-    """``rows`` for each ``draw`` with ``w``, the cluster's Poisson(1) weight in it."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw", key), 11)).cast("double") / F.lit(float(1 << 53))
-    weight, total, term = F.lit(0), 0.0, float(np.exp(-1.0))
+def _asked(repetitions: int, confidence: float) -> None:
+    if not 20 <= repetitions <= 5000 or not 0 < confidence < 1:
+        raise ValueError("repetitions must be 20 to 5000 and confidence within 0 and 1")
+
+
+def drawn(key: str, repetitions: int, seed: int) -> Column:
+    """A cluster's Poisson(1) weights in all draws, as bytes: the values below which a hash leaves each weight."""
+    total, term, marks = 0.0, float(np.exp(-1.0)), []
     for k in range(12):
         total += term
-        weight = weight + F.when(F.col("u") >= F.lit(total), 1).otherwise(0)
+        marks.append(total)
         term /= k + 1
-    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("u", uniform).withColumn("w", weight)
+
+    def weight(draw: Column) -> Column:
+        uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), draw, F.col(key)), 11).cast("double") / F.lit(float(1 << 53))
+        return sum((F.when(uniform >= F.lit(mark), 1).otherwise(0) for mark in marks), F.lit(0)).cast("tinyint")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(repetitions - 1)), weight)
+
+
+def _matrix(weights: pa.ListArray, repetitions: int) -> np.ndarray:
+    return weights.flatten().to_numpy(zero_copy_only=False).reshape(-1, repetitions).astype(float)
 
 
 def auroc_interval(predictions: DataFrame, cluster: str = "learner_id", repetitions: int = 200, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """One row: percentile bounds of the area over clusters drawn as :func:`bootstrap` draws them, and how many draws had both classes.
 
-    Predictions are first added up by cluster and probability, and draws in which a cluster
-    has no weight are left out before any exchange.
+    Predictions are added up by cluster and probability and dealt out by range of probability,
+    so that a task's rows lie between those of its neighbours. It adds up all draws at once,
+    and gives its first and its last probability apart, which neighbours may share, and what
+    lies between as one: three rows a task, which are put together in order.
     """
-    if not 20 <= repetitions <= 5000 or not 0 < confidence < 1:
-        raise ValueError("repetitions must be 20 to 5000 and confidence within 0 and 1")
+    _asked(repetitions, confidence)
     sums = scored(predictions).groupBy(cluster, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    draws = _drawn(sums, cluster, repetitions, seed).where("w > 0")
-    values = draws.groupBy("draw", "p").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
-    tail = (1 - confidence) / 2
-    return _area(values, "draw").agg(F.percentile("auroc", F.lit(tail)).alias("auroc_lower"), F.percentile("auroc", F.lit(1 - tail)).alias("auroc_upper"), F.count("auroc").alias("eligible_draws"))
+    rows = sums.repartitionByRange("p", cluster).sortWithinPartitions("p", cluster).select("p", "pos", "neg", drawn(cluster, repetitions, seed).alias("weights"))
+    kind = "low double, high double, pos array<double>, neg array<double>, area array<double>"
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of equal probability; those but the first and last in one."""
+        runs = _equal_runs(batches, repetitions)
+        first = next(runs, None)
+        if first is None:
+            return
+        yield _range_row(*first)
+        between, last = None, None
+        for run in runs:
+            if last is not None:
+                between = _joined(between, last)
+            last = run
+        for row in (between, last):
+            if row is not None:
+                yield _range_row(*row)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = tie = None
+        for b in batches:
+            for r in b.to_pylist():
+                row = (r["low"], r["high"], *(np.array(r[k]) for k in ("pos", "neg", "area")))
+                if tie is not None and tie[0] == tie[1] == row[0] == row[1]:
+                    pos, neg = tie[2] + row[2], tie[3] + row[3]
+                    tie = (*row[:2], pos, neg, pos * neg / 2)
+                    continue
+                whole = tie if whole is None else _joined(whole, tie)
+                tie = row
+        if tie is not None:
+            whole = tie if whole is None else _joined(whole, tie)
+            pairs = whole[2] * whole[3]
+            areas = [a / n if n > 0 else None for a, n in zip(whole[4].tolist(), pairs.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(areas, pa.float64())], names=["auroc"])
+
+    parts = rows.mapInArrow(added, kind).repartition(1).sortWithinPartitions("low", "high")
+    values, tail = parts.mapInArrow(put_together, "auroc double"), (1 - confidence) / 2
+    return values.agg(F.percentile("auroc", F.lit(tail)).alias("auroc_lower"), F.percentile("auroc", F.lit(1 - tail)).alias("auroc_upper"), F.count("auroc").alias("eligible_draws"))
+
+
+def _joined(a: tuple | None, b: tuple) -> tuple:
+    """Two neighbouring ranges of probability as one: positives of the upper beat negatives of the lower."""
+    return b if a is None else (a[0], b[1], a[2] + b[2], a[3] + b[3], a[4] + b[4] + b[2] * a[3])
+
+
+def _range_row(low: float, high: float, pos: np.ndarray, neg: np.ndarray, area: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([low]), pa.array([high]), *[pa.array([x], pa.list_(pa.float64())) for x in (pos, neg, area)]], names=["low", "high", "pos", "neg", "area"])
+
+
+def _equal_runs(batches: Iterator[pa.RecordBatch], repetitions: int) -> Iterator[tuple]:
+    """Of rows in order of probability each run of equal ones, over the batches' bounds: positives and negatives of all draws."""
+    open_: tuple | None = None
+    for b in batches:
+        p = b.column("p").to_numpy(zero_copy_only=False)
+        if not len(p):
+            continue
+        starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        weights = _matrix(b.column("weights"), repetitions)
+        pos, neg = (np.add.reduceat(weights * b.column(k).to_numpy(zero_copy_only=False)[:, None], starts, axis=0) for k in ("pos", "neg"))
+        for k, at in enumerate(starts.tolist()):
+            run = (float(p[at]), float(p[at]), pos[k], neg[k], pos[k] * neg[k] / 2)
+            if open_ is not None and open_[0] == run[0]:
+                run = (*run[:2], open_[2] + run[2], open_[3] + run[3], (open_[2] + run[2]) * (open_[3] + run[3]) / 2)
+            elif open_ is not None:
+                yield open_
+            open_ = run
+    if open_ is not None:
+        yield open_
 
 
 def residual_interval(predictions: DataFrame, cluster: str = "learner_id", repetitions: int = 200, seed: int = 0) -> DataFrame:

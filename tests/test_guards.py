@@ -45,7 +45,7 @@ def test_slices_are_those_of_plain_masks(spark):
 
 def test_intervals_weigh_whole_clusters(spark):
     made = predicted(spark, random_rows(6, 200))
-    weights = {(r.learner_id, r.draw): r.w for r in metrics._drawn(made.select("learner_id").distinct(), "learner_id", 30, 3).collect()}
+    weights = {(r.learner_id, d): w for r in made.select("learner_id").distinct().withColumn("w", metrics.drawn("learner_id", 30, 3)).collect() for d, w in enumerate(r.w)}
     rows = made.collect()
     areas = [area([(weights[r.learner_id, d], r.correct, r.probability) for r in rows]) for d in range(30)]
     areas = sorted(a for a in areas if a is not None)
