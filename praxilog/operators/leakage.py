@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,11 @@ def late_dependencies(attempts: DataFrame, dependencies: DataFrame) -> DataFrame
     return rows.withColumn("reason", reason).where("reason is not null").select(*KEY, "depends_on", "reason")
 
 
-def changed_prefixes(attempts: DataFrame, unit: int) -> DataFrame:
-    """Attempts of the unit of each domain whose features change when all outcomes from that unit on are turned round; none for sound features."""
+def changed_prefixes(attempts: DataFrame, unit: int, maps: Callable[[DataFrame], DataFrame] = feature_map) -> DataFrame:
+    """Attempts of the unit of each domain whose features (``maps`` of attempts) change when all outcomes from that unit on are turned round; none for sound features."""
     placed = units(attempts).select(*KEY, "unit")
     turned = attempts.join(placed, KEY).withColumn("correct", F.when(F.col("unit") >= unit, ~F.col("correct")).otherwise(F.col("correct"))).drop("unit")
-    entries = lambda rows, name: feature_map(rows).select(*KEY, F.array_sort(F.map_entries("features")).alias(name))
+    entries = lambda rows, name: maps(rows).select(*KEY, F.array_sort(F.map_entries("features")).alias(name))
     both = entries(attempts, "a").join(entries(turned, "b"), KEY).join(placed.where(F.col("unit") == unit), KEY)
     return both.where(F.col("a") != F.col("b")).select(*KEY)
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DOMAIN, csv_guarded, known_order, z_value
 from ..models import baselines, bkt, hierarchical, irt
 from ..operators import experiment, ingest, integrity, leakage, metrics, overview, planner, snapshots, splits, units
+from ..schema import CONTENT
 from ..sources.projection import attempts_from_events
-from ..sources.workload import workload
 
 Query = Callable[[SparkSession, str], DataFrame]
 LEARNER = "u8"
@@ -273,12 +273,25 @@ query("ag22_residual_interval")(lambda a: metrics.residual_interval(item_predict
 query("d1_calibration_windows", sql(f"""SELECT part, bin, n, successes, round(prediction, 9) AS prediction, {wilson_sql('successes', 'n')} FROM (SELECT k.bin, k.part, coalesce(n, 0) AS n, CAST(coalesce(successes, 0) AS BIGINT) AS successes, prediction FROM (SELECT CAST(b AS INTEGER) AS bin, part FROM range(10) t(b), (VALUES ('reference'), ('current')) v(part)) k
   LEFT JOIN (SELECT part, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, sum(correct::INTEGER) AS successes, avg(p) AS prediction FROM foreseen GROUP BY 1, 2) USING (bin, part))""", *PARTS, ITEM_SQL, f"""foreseen AS (SELECT correct, CASE WHEN back <= 100 THEN 'current' ELSE 'reference' END AS part, least(greatest(coalesce(r.p, g), 1e-9), 1 - 1e-9) AS p FROM (
   SELECT *, row_number() OVER (ORDER BY timestamp DESC NULLS LAST, source_sequence DESC, event_id DESC) AS back FROM attempts WHERE learner_id = '{LEARNER}') CROSS JOIN rate LEFT JOIN rates r USING (question_id) WHERE back <= 200)"""))(lambda a: integrity.window_calibration(integrity.drift_windows(a, LEARNER), baselines.predict_item(parts_of(a)[0], a)))
-query("ft9_unknown_features", "SELECT CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS n WHERE false")(lambda a: leakage.unknown_features(units.feature_map(a)))
+
+
+def with_outcomes(a: DataFrame, every: int, name: Column) -> DataFrame:
+    """Feature maps into which the outcomes of one attempt in so many leak, which the guards must find."""
+    rows = units.feature_map(a).join(a.select("source_namespace", "event_id", "correct"), ["source_namespace", "event_id"])
+    leak = F.map_concat("features", F.create_map(name, F.col("correct").cast("double")))
+    return rows.withColumn("features", F.when(F.col("event_id").cast("long") % every == 0, leak).otherwise(F.col("features"))).drop("correct")
+
+
+query("ft9_unknown_features", sql("SELECT name, count(*) AS n FROM (SELECT unnest(CASE WHEN source_sequence % 7 = 0 THEN ['outcome:' || (source_sequence % 3)] ELSE [] END) AS name FROM attempts) GROUP BY 1"))(
+    lambda a: leakage.unknown_features(with_outcomes(a, 7, F.concat(F.lit("outcome:"), F.col("event_id").cast("long") % 3)))
+)
 query("ft10_late_dependencies", sql("""SELECT t.event_id, d.event_id AS depends_on, CASE WHEN (t.learner_id, t.domain) <> (d.learner_id, d.domain) THEN 'other domain' WHEN t.unit = d.unit THEN 'same unit' ELSE 'later unit' END AS reason
   FROM united t JOIN united d ON CAST(d.event_id AS BIGINT) = CAST(t.event_id AS BIGINT) - 150 WHERE (t.learner_id, t.domain) <> (d.learner_id, d.domain) OR d.unit >= t.unit""", UNITS_SQL))(
     lambda a: leakage.late_dependencies(a, a.select("source_namespace", "event_id", (F.col("event_id").cast("long") - 150).cast("string").alias("depends_on"))).where("reason <> 'unknown'").drop("source_namespace")
 )
-query("ft11_changed_prefixes", "SELECT CAST(NULL AS VARCHAR) AS event_id WHERE false")(lambda a: leakage.changed_prefixes(a, 3).drop("source_namespace"))
+query("ft11_changed_prefixes", sql("SELECT event_id FROM united WHERE unit = 3 AND source_sequence % 5 = 0", UNITS_SQL))(
+    lambda a: leakage.changed_prefixes(a, 3, lambda rows: with_outcomes(rows, 5, F.lit("skill:outcome"))).drop("source_namespace")
+)
 query("ft12_fit_scopes", sql("SELECT c.component, c.part, count(*) AS n FROM split JOIN (VALUES ('model_parameters', 'train'), ('item_priors', 'train'), ('hierarchical_prior', 'train'), ('feature_vocabulary', 'train'), ('feature_scaler', 'train'), ('hyperparameter_selection', 'validation'), ('probability_calibration', 'validation')) c(component, part) USING (part) GROUP BY 1, 2", UNITS_SQL, FORWARD_SQL))(
     lambda a: leakage.scope_digests(leakage.fit_scopes(splits.forward_split(a))).drop("digest")
 )
@@ -307,16 +320,24 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = parts_of(attempts(spark, sf_dir))
-    rows = irt.eligible(irt.responses(train))
+    rows = irt.eligible(irt.responses(train), 4, 6)  # the core that these tables have
     learners, items = irt.fit(rows)
     return rounded(irt.predict_online(irt.support(rows, learners, items)[0], items, test).select("event_id", "probability"))
 
 
+def event_records(a: DataFrame) -> DataFrame:
+    """The attempts as records of a file, with some again: of every thousand one as it is, one with another outcome, and one whose outcome is a number."""
+    own = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c) if c == "timestamp" else F.col(c) for c in CONTENT]
+    text = lambda correct: F.to_json(F.struct(*[correct.alias("correct") if c == "correct" else x for c, x in zip(CONTENT, own, strict=True)]))
+    kind = F.col("source_sequence") % 1000
+    again = F.when(kind == 1, text(F.col("correct"))).when(kind == 2, text(~F.col("correct"))).when(kind == 3, text(F.col("correct").cast("int")))
+    rows = a.select((2 * F.col("source_sequence") + 1).alias("row"), text(F.col("correct")).alias("value"))
+    return rows.union(a.where(kind.isin(1, 2, 3)).select(2 * F.col("source_sequence") + 2, again)).withColumn("error", F.lit(None).cast("string"))
+
+
 def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of an import of as many closed-form records as there are events."""
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    rows = ingest.classified(ingest.validated(workload(spark, n), namespace="scale-synthetic"))
-    return ingest.import_counts(rows).select("received", "accepted", "duplicates", "conflicts", "rejected")
+    """Counts of an import of the events' own attempts."""
+    return ingest.import_counts(ingest.classified(ingest.validated(event_records(attempts(spark, sf_dir)), namespace="testdata")))
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,4 +350,6 @@ QUERIES |= {
     "m12_item_response": _items,
     "in4_import_counts": _imported,
 }
-SQL["in4_import_counts"] = """SELECT n AS received, n - 3 * (n // 1000) - greatest(0, n % 1000 - 997) AS accepted, n // 1000 + CAST(n % 1000 > 997 AS BIGINT) AS duplicates, n // 1000 + CAST(n % 1000 > 998 AS BIGINT) AS conflicts, n // 1000 + CAST(n % 1000 > 999 AS BIGINT) AS rejected FROM (SELECT count(*) AS n FROM events)"""
+SQL["in4_import_counts"] = sql("""SELECT count(*) + sum(a + b + c) AS received, count(*) AS accepted, sum(a) AS duplicates, sum(b) AS conflicts, sum(c) AS rejected, count(*) FILTER (WHERE timestamp IS NULL) AS no_timestamp, count(*) FILTER (WHERE duration_ms IS NULL) AS no_duration,
+  count(*) FILTER (WHERE session_id IS NULL) AS no_session, count(*) FILTER (WHERE len(skills) = 0) AS no_skills, count(*) FILTER (WHERE time_semantics = 'shifted') AS shifted, count(*) FILTER (WHERE order_scope = 'question') AS question_only, count(*) FILTER (WHERE duration_scope = 'bundle') AS bundle_duration
+  FROM (SELECT *, (source_sequence % 1000 = 1)::BIGINT AS a, (source_sequence % 1000 = 2)::BIGINT AS b, (source_sequence % 1000 = 3)::BIGINT AS c FROM attempts)""").replace("sum(a)", "CAST(sum(a) AS BIGINT)").replace("sum(b)", "CAST(sum(b) AS BIGINT)").replace("sum(c)", "CAST(sum(c) AS BIGINT)").replace("sum(a + b + c)", "CAST(sum(a + b + c) AS BIGINT)")
