@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import known_order, order_domain, wilson, within
+from ..functions.lineage import cut
+from ..functions.quantiles import exact_quantiles
 
 ITEM = ("source_namespace", "learner_id", "question_id")
 
@@ -62,21 +64,17 @@ def known_durations(attempts: DataFrame) -> DataFrame:
 
 def duration_stats(attempts: DataFrame) -> DataFrame:
     """One row: exact quantiles and the total of :func:`known_durations`."""
-    q = lambda x: F.percentile("duration_ms", F.lit(x))
-    return known_durations(attempts).agg(F.count("*").alias("n"), q(0.5).alias("median_ms"), q(0.25).alias("q25_ms"), q(0.75).alias("q75_ms"), q(0.9).alias("p90_ms"), F.sum("duration_ms").alias("total_ms"))
+    names = {"median_ms": 0.5, "q25_ms": 0.25, "q75_ms": 0.75, "p90_ms": 0.9}
+    n, found, (total,) = exact_quantiles(cut(known_durations(attempts)), "duration_ms", list(names.values()), F.sum("duration_ms"))
+    return attempts.sparkSession.createDataFrame([(n, *found, total)], "n long, " + ", ".join(f"{c} double" for c in names) + ", total_ms double")
 
 
 def retries(attempts: DataFrame) -> DataFrame:
     """One row: wrong attempts before a learner's first right one at a question; those never solved are censored."""
     placed = attempts.select(*ITEM, "timestamp", "source_sequence", "event_id", "correct").withColumn("before", F.row_number().over(within(*ITEM)) - 1)
     each = placed.groupBy(*ITEM).agg(F.min(F.when(F.col("correct"), F.col("before"))).alias("retries"))
-    return each.agg(
-        F.count("*").alias("questions"),
-        F.count("retries").alias("solved"),
-        F.count_if(F.col("retries").isNull()).alias("censored"),
-        F.avg("retries").alias("mean_retries"),
-        F.percentile("retries", F.lit(0.5)).alias("median_retries"),
-    )
+    _, (median,), row = exact_quantiles(cut(each), "retries", [0.5], F.count("*"), F.count("retries"), F.count_if(F.col("retries").isNull()), F.avg("retries"))
+    return attempts.sparkSession.createDataFrame([(*row, median)], "questions long, solved long, censored long, mean_retries double, median_retries double")
 
 
 def groups(attempts: DataFrame, dimension: str, learner: str | None = None, search: str = "") -> DataFrame:
@@ -177,7 +175,7 @@ def cohort_rows(attempts: DataFrame, learner: str, minimum_attempts: int = 20) -
 
 def cohort_percentile(attempts: DataFrame, learner: str, minimum_attempts: int = 20) -> DataFrame:
     """One row: the learner's mid-rank percentile among peers with at least two and half of its items; none without peers."""
-    rows = cohort_rows(attempts, learner, minimum_attempts).cache()
+    rows = cut(cohort_rows(attempts, learner, minimum_attempts))
     own = rows.where(F.col("learner_id") == learner).first()
     items = attempts.where(F.col("learner_id") == learner).agg(F.count_distinct("question_id")).first()[0]
     accuracy, tries = (own["accuracy"], own["n"]) if own else (None, None)
