@@ -24,6 +24,11 @@ def known_order() -> list[Column]:
     return [F.col("timestamp").asc_nulls_last(), F.col("source_sequence").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
 
 
+def place_in_order() -> Column:
+    """A value that sorts as :func:`known_order` does."""
+    return F.struct(*[x for c in ("timestamp", "source_sequence", "event_id") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+
+
 def within(*keys: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*known_order())
 

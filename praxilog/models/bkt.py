@@ -280,3 +280,10 @@ def predict(attempts: DataFrame, parameters: DataFrame, rate: float, primary: bo
     rows = rows.select(*DOMAIN, "skill", "steps", *[F.coalesce(F.col(n), F.lit(float(d))).alias(n) for n, d in zip(NAMES, DEFAULTS, strict=True)])
     out = rows.select(*DOMAIN[:2], F.explode(F.expr(_FOLD.format(out=_KEEP) + ".out")).alias("x")).groupBy("source_namespace", "x.event_id").agg(F.avg("x.p").alias("p"))
     return attempts.join(out, ["source_namespace", "event_id"], "left").withColumn("probability", F.coalesce("p", F.lit(rate))).drop("p")
+
+
+def states(attempts: DataFrame, parameters: DataFrame, primary: bool = True) -> DataFrame:
+    """What is believed after all attempts: ``known`` of each order domain and skill that has any."""
+    rows = sequences(attempts, primary).join(parameters, "skill", "left")
+    rows = rows.select(*DOMAIN, "skill", "steps", *[F.coalesce(F.col(n), F.lit(float(d))).alias(n) for n, d in zip(NAMES, DEFAULTS, strict=True)])
+    return rows.select(*DOMAIN, "skill", F.expr(_FOLD.format(out="a.out") + ".k").alias("known"))

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import DOMAIN, order_domain, place_in_order
 from ..functions.numeric import beta_bounds
+from ..models import bkt
 from .overview import item_durations
 
 
@@ -24,6 +26,7 @@ class PlanConfig:
     minimum_durations: int = 3
     maximum_actions: int = 12
     prerequisite_bound: float = 0.6
+    model_weight: float = 0.2
     priorities: dict[str, float] = field(default_factory=dict)
     prerequisites: dict[str, list[str]] = field(default_factory=dict)
     #: Questions to choose from; all that the learner tried where it is empty.
@@ -31,8 +34,8 @@ class PlanConfig:
 
     def check(self) -> None:
         """Weights must be finite and not all zero, limits within theirs, and prerequisites without cycles."""
-        weights = [self.deficit_weight, self.uncertainty_weight, self.priority_weight]
-        if any(not math.isfinite(x) or x < 0 for x in [self.budget_seconds, *weights, *self.priorities.values()]) or self.budget_seconds <= 0 or not sum(weights):
+        weights = [self.deficit_weight, self.uncertainty_weight, self.priority_weight, self.model_weight]
+        if any(not math.isfinite(x) or x < 0 for x in [self.budget_seconds, *weights, *self.priorities.values()]) or self.budget_seconds <= 0 or not sum(weights[:3]):
             raise ValueError("weights must be finite, not negative and not all zero, the budget positive")
         if not (1 <= self.maximum_actions <= 100 and 0 <= self.recent_window <= 1000 and 0 < self.prerequisite_bound < 1 and 1 <= self.minimum_durations <= 1000):
             raise ValueError("a limit is out of its bounds")
@@ -45,8 +48,28 @@ class PlanConfig:
                 del left[k]
 
 
-def candidates(attempts: DataFrame, config: PlanConfig = PlanConfig()) -> DataFrame:
-    """A row for each learner and question tried (or available), with its score, its median time and how many prerequisites block it."""
+def expected(attempts: DataFrame, items: DataFrame, model: DataFrame, primary: bool = True) -> DataFrame:
+    """``items`` (``learner_id``, ``question_id``, ``tags``) with ``foreseen``, the chance of a right answer that knowledge tracing gives a learner who has done all attempts; null without tags.
+
+    ``model`` has a row of parameters for each skill (:func:`bkt.fit`), and skills without one
+    have the defaults. The answer is thought of as the learner's next in the source and scope of
+    its last attempt, and counts for the question's first tag, or as the mean over all of them
+    unless ``primary``.
+    """
+    last = attempts.groupBy("learner_id").agg(F.max_by(F.struct("source_namespace", "order_scope"), place_in_order()).alias("last"))
+    asked = items.join(last, "learner_id").select("learner_id", "question_id", "last.source_namespace", order_domain(scope="last.order_scope").alias("domain"), F.explode(F.slice("tags", 1, 1) if primary else F.col("tags")).alias("skill"))
+    given = {n: F.coalesce(F.col(n), F.lit(float(d))) for n, d in zip(bkt.NAMES, bkt.DEFAULTS, strict=True)}
+    rows = asked.join(bkt.states(attempts, model, primary), [*DOMAIN, "skill"], "left").join(model.select("skill", *bkt.NAMES), "skill", "left")
+    known = F.coalesce("known", given["initial"])
+    chance = known * (1 - given["slip"]) + (1 - known) * given["guess"]
+    return items.join(rows.groupBy("learner_id", "question_id").agg(F.avg(chance).alias("foreseen")), ["learner_id", "question_id"], "left")
+
+
+def candidates(attempts: DataFrame, config: PlanConfig = PlanConfig(), model: DataFrame | None = None, primary: bool = True) -> DataFrame:
+    """A row for each learner and question tried (or available), with its score, its median time and how many prerequisites block it.
+
+    With a ``model`` (see :func:`expected`) the score rises with what it expects the learner to get wrong.
+    """
     config.check()
     spark = attempts.sparkSession
     hit = F.col("correct").cast("int")
@@ -64,6 +87,9 @@ def candidates(attempts: DataFrame, config: PlanConfig = PlanConfig()) -> DataFr
     own = F.array_max(F.transform("tags", lambda t: F.coalesce(F.element_at(weight, t), F.lit(1.0)))) if weight is not None else F.lit(1.0)
     rows = items.join(recent, ["learner_id", "question_id"], "left").join(item_durations(attempts).select("learner_id", "question_id", F.col("n").alias("durations"), "median_seconds"), ["learner_id", "question_id"], "left")
     score = config.deficit_weight * (1 - (F.col("s") + 1) / (F.col("n") + 2)) + config.uncertainty_weight * (F.col("bounds.upper") - F.col("bounds.lower")) + config.priority_weight * F.coalesce(own, F.lit(1.0)) / top
+    if model is not None:
+        rows = expected(attempts, rows, model, primary)
+        score = score + config.model_weight * F.coalesce(1 - F.col("foreseen"), F.lit(0.0))
     rows = rows.withColumn("score", score - F.when(F.col("recent"), config.recent_penalty).otherwise(0.0))
     pairs = [(k, p) for k, v in sorted(config.prerequisites.items()) for p in v]
     if pairs:
@@ -78,9 +104,9 @@ def candidates(attempts: DataFrame, config: PlanConfig = PlanConfig()) -> DataFr
     return rows.select("learner_id", "question_id", "tags", "n", "s", F.col("bounds.lower").alias("lower"), F.col("bounds.upper").alias("upper"), F.coalesce("recent", F.lit(False)).alias("recent"), "score", "median_seconds", timed.alias("timed"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-def plan(attempts: DataFrame, config: PlanConfig = PlanConfig()) -> DataFrame:
+def plan(attempts: DataFrame, config: PlanConfig = PlanConfig(), model: DataFrame | None = None, primary: bool = True) -> DataFrame:
     """The questions chosen for each learner in order: best score first, leaving out those that no longer fit the budget."""
-    rows = candidates(attempts, config).where("timed and blocks = 0").select("learner_id", "question_id", "score", "median_seconds")
+    rows = candidates(attempts, config, model, primary).where("timed and blocks = 0").select("learner_id", "question_id", "score", "median_seconds")
     budget, most = config.budget_seconds, config.maximum_actions
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:

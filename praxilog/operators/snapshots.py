@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import DOMAIN
+from ..functions.expressions import DOMAIN, place_in_order
 from .units import RECENT, named, placed, rate, skills_before, units, windowed
 
 VERSION = "asof-state/1"
@@ -34,11 +34,6 @@ class State:
     sessions: DataFrame
 
 
-def _place() -> Column:
-    """A value that sorts as the known order does."""
-    return F.struct(*[x for c in ("timestamp", "source_sequence", "event_id") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
-
-
 def snapshot(attempts: DataFrame, recent: int = RECENT) -> State:
     """What is known after all of ``attempts``, whose units are taken as closed; one exchange by domain, and sums of items and skills."""
     rows = units(attempts).withColumn("hit", F.col("correct").cast("int"))
@@ -47,7 +42,7 @@ def snapshot(attempts: DataFrame, recent: int = RECENT) -> State:
     late = F.when(F.col("pos") > F.col("size") - recent, F.struct("pos", "hit"))
     learners = each.groupBy(*DOMAIN).agg(
         F.count("*").alias("n"), F.sum("hit").alias("s"), F.transform(F.array_sort(F.collect_list(late)), lambda x: x["hit"]).alias("recent"),
-        F.max("timestamp").alias("known"), F.max("unit").cast("long").alias("units"), F.max(_place()).alias("last"),
+        F.max("timestamp").alias("known"), F.max("unit").cast("long").alias("units"), F.max(place_in_order()).alias("last"),
     )
     plain = placed(attempts).withColumn("hit", F.col("correct").cast("int"))
     sessions = plain.where("session_id is not null").select(*DOMAIN, "session_id").distinct()
@@ -73,7 +68,7 @@ def misplaced(state: State, attempts: DataFrame) -> DataFrame:
     own = rows.join(state.learners.select(*DOMAIN, "last"), list(DOMAIN), "left")
     seen = state.sessions.withColumn("again", F.lit(True))
     own = own.join(seen, [*DOMAIN, "session_id"], "left")
-    reason = F.when(_place() <= F.col("last"), "not after the snapshot").when(F.col("timestamp") == F.col("last.timestamp"), "at its last moment").when(F.col("again"), "in one of its sessions")
+    reason = F.when(place_in_order() <= F.col("last"), "not after the snapshot").when(F.col("timestamp") == F.col("last.timestamp"), "at its last moment").when(F.col("again"), "in one of its sessions")
     return own.select("source_namespace", "event_id", reason.alias("reason")).where("reason is not null")
 
 

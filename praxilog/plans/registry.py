@@ -313,6 +313,25 @@ chosen(learner_id, turn, question_id, score, seconds, remaining, place, taken) A
 query("p1_plan", sql("SELECT learner_id, place, question_id, round(score, 9) AS score, round(seconds, 9) AS planned_seconds, round(remaining, 9) AS remaining_seconds FROM chosen WHERE taken", BETA_WIDTH_SQL, PLAN_SQL).replace("WITH", "WITH RECURSIVE", 1))(planner.plan)
 
 
+#: Parameters of the skills s0 to s4, as a fit gives them.
+SKILL_PARAMETERS = [(f"s{k}", 0.2 + 0.1 * k, 0.05 + 0.03 * k, 0.05 + 0.02 * k, 0.25 - 0.03 * k, 0.01 * k) for k in range(5)]
+MODEL_SQL = f"""parameters(skill, initial, learning, slip, guess, forgetting) AS (VALUES {", ".join(f"('{s}', {', '.join(f'{x!r}::DOUBLE' for x in p)})" for s, *p in SKILL_PARAMETERS)}),
+firsts AS (SELECT source_namespace, learner_id, domain, skills[1] AS skill, correct, row_number() OVER (PARTITION BY source_namespace, learner_id, domain, skills[1] ORDER BY {ORDER}) AS r FROM attempts WHERE len(skills) > 0),
+traced(source_namespace, learner_id, domain, skill, r, k) AS (SELECT DISTINCT source_namespace, learner_id, domain, skill, CAST(0 AS BIGINT), initial FROM firsts JOIN parameters USING (skill) UNION ALL
+  SELECT source_namespace, learner_id, domain, skill, r, after * (1 - forgetting) + (1 - after) * learning FROM (
+    SELECT f.source_namespace, f.learner_id, f.domain, f.skill, f.r, p.forgetting, p.learning, CASE WHEN f.correct THEN t.k * (1 - slip) / (t.k * (1 - slip) + (1 - t.k) * guess) ELSE t.k * slip / (1 - (t.k * (1 - slip) + (1 - t.k) * guess)) END AS after
+    FROM traced t JOIN firsts f ON f.source_namespace = t.source_namespace AND f.learner_id = t.learner_id AND f.domain = t.domain AND f.skill = t.skill AND f.r = t.r + 1 JOIN parameters p ON p.skill = f.skill)),
+believed AS (SELECT source_namespace, learner_id, domain, skill, arg_max(k, r) AS k FROM traced GROUP BY 1, 2, 3, 4),
+latest AS (SELECT learner_id, source_namespace, order_scope FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY timestamp DESC NULLS FIRST, source_sequence DESC, event_id DESC) AS back FROM attempts) WHERE back = 1),
+tagged AS (SELECT learner_id, question_id, min(skills[1]) AS skill FROM attempts WHERE len(skills) > 0 GROUP BY 1, 2),
+foreseen AS (SELECT g.learner_id AS who, g.question_id AS what, coalesce(b.k, p.initial) * (1 - p.slip) + (1 - coalesce(b.k, p.initial)) * p.guess AS chance FROM tagged g JOIN latest l USING (learner_id) JOIN parameters p ON p.skill = g.skill
+  LEFT JOIN believed b ON b.source_namespace = l.source_namespace AND b.learner_id = g.learner_id AND b.skill = g.skill AND b.domain = CASE WHEN l.order_scope = 'question' THEN g.question_id ELSE '' END)"""
+MODELLED = "CASE WHEN l.question_id IS NULL THEN 0 ELSE 0.25::DOUBLE END"
+query("p1_plan_with_model", SQL["p1_plan"].replace("lately AS", f"{MODEL_SQL},\nlately AS", 1).replace(MODELLED, f"{MODELLED} + 0.2::DOUBLE * coalesce(1 - chance, 0)", 1).replace("FROM tried t JOIN bounds", "FROM tried t LEFT JOIN foreseen e ON e.who = t.learner_id AND e.what = t.question_id JOIN bounds", 1))(
+    lambda a: planner.plan(a, model=a.sparkSession.createDataFrame(SKILL_PARAMETERS, "skill string, " + ", ".join(f"{n} double" for n in bkt.NAMES)))
+)
+
+
 def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = parts_of(attempts(spark, sf_dir))
     return rounded(bkt.predict(test, bkt.fit(spark, train), baselines.rate_of(train)).select("event_id", "probability"))
