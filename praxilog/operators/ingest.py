@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..schema import ATTEMPT_KINDS, ATTEMPTS, CONTENT, DURATION_SCOPES, IDENTIFIER_LENGTH, ORDER_SCOPES, TIME_SEMANTICS, VERSION
 from ..sources.projection import hashed
+from ..sources.readers import POSITION_ONLY, QUALITY
 
 SAMPLES = 50
 ARROW = {"array<string>": pa.list_(pa.string()), "boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64(), "timestamp": pa.timestamp("us", "UTC")}
@@ -57,11 +58,12 @@ def attempt(text: str, namespace: str, learner: str) -> dict[str, object]:
         raise ValueError("not valid JSON") from None
     if not isinstance(raw, dict):
         raise ValueError("not a JSON object")
-    if not raw.keys() <= FIELDS:
+    quality = raw.pop(QUALITY, "stable")
+    if quality not in ("stable", POSITION_ONLY) or not raw.keys() <= FIELDS:
         raise ValueError("unknown field")
     if raw.get("schema_version", VERSION) != VERSION:
         raise ValueError("schema_version is unknown")
-    out: dict[str, object] = {"schema_version": VERSION}
+    out: dict[str, object] = {"schema_version": VERSION, "quality": quality}
     field = ""
     try:
         for field in ("source_namespace", "event_id", "learner_id", "question_id"):
@@ -105,11 +107,12 @@ def validated(records: DataFrame, namespace: str = "local", learner: str = "loca
     Types are exact: a number is no boolean and text is no number. Times need a zone.
     Identifiers and skills lose white space at their ends and are composed; unknown fields
     are refused; of a field that a record repeats the last counts. Absent namespaces,
-    learners and codes have their defaults. Each record is parsed once, in batches.
+    learners and codes have their defaults. ``quality`` tells whether the event's name is
+    ``stable`` or only its place (``position_only``). Each record is parsed once, in batches.
     """
     kinds = {f.name: f for f in ATTEMPTS}
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("reason", T.StringType()), *[kinds[c] for c in CONTENT]])
-    arrow = pa.schema([("row", pa.int64()), ("reason", pa.string()), *[(c, ARROW.get(kinds[c].dataType.simpleString(), pa.string())) for c in CONTENT]])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("quality", T.StringType()), *[kinds[c] for c in CONTENT]])
+    arrow = pa.schema([("row", pa.int64()), ("reason", pa.string()), ("quality", pa.string()), *[(c, ARROW.get(kinds[c].dataType.simpleString(), pa.string())) for c in CONTENT]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,6 +154,7 @@ def import_counts(rows: DataFrame) -> DataFrame:
         F.count_if(good & F.col("timestamp").isNull()).alias("no_timestamp"), F.count_if(good & F.col("duration_ms").isNull()).alias("no_duration"), F.count_if(good & F.col("session_id").isNull()).alias("no_session"),
         F.count_if(good & (F.size("skills") == 0)).alias("no_skills"), F.count_if(good & (F.col("time_semantics") == "shifted")).alias("shifted"),
         F.count_if(good & (F.col("order_scope") == "question")).alias("question_only"), F.count_if(good & (F.col("duration_scope") == "bundle")).alias("bundle_duration"),
+        F.count_if(good & (F.col("quality") == POSITION_ONLY)).alias("position_only"),
     )
 
 

@@ -370,5 +370,5 @@ QUERIES |= {
     "in4_import_counts": _imported,
 }
 SQL["in4_import_counts"] = sql("""SELECT count(*) + sum(a + b + c) AS received, count(*) AS accepted, sum(a) AS duplicates, sum(b) AS conflicts, sum(c) AS rejected, count(*) FILTER (WHERE timestamp IS NULL) AS no_timestamp, count(*) FILTER (WHERE duration_ms IS NULL) AS no_duration,
-  count(*) FILTER (WHERE session_id IS NULL) AS no_session, count(*) FILTER (WHERE len(skills) = 0) AS no_skills, count(*) FILTER (WHERE time_semantics = 'shifted') AS shifted, count(*) FILTER (WHERE order_scope = 'question') AS question_only, count(*) FILTER (WHERE duration_scope = 'bundle') AS bundle_duration
+  count(*) FILTER (WHERE session_id IS NULL) AS no_session, count(*) FILTER (WHERE len(skills) = 0) AS no_skills, count(*) FILTER (WHERE time_semantics = 'shifted') AS shifted, count(*) FILTER (WHERE order_scope = 'question') AS question_only, count(*) FILTER (WHERE duration_scope = 'bundle') AS bundle_duration, CAST(0 AS BIGINT) AS position_only
   FROM (SELECT *, (source_sequence % 1000 = 1)::BIGINT AS a, (source_sequence % 1000 = 2)::BIGINT AS b, (source_sequence % 1000 = 3)::BIGINT AS c FROM attempts)""").replace("sum(a)", "CAST(sum(a) AS BIGINT)").replace("sum(b)", "CAST(sum(b) AS BIGINT)").replace("sum(c)", "CAST(sum(c) AS BIGINT)").replace("sum(a + b + c)", "CAST(sum(a + b + c) AS BIGINT)")

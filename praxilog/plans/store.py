@@ -120,7 +120,7 @@ class Store:
         stage = self.root / "staging" / uuid.uuid4().hex
         stage.mkdir(parents=True)
         try:
-            provenance = F.to_json(F.struct(F.lit(source).alias("source_hash"), F.lit(format).alias("adapter"), "row"))
+            provenance = F.to_json(F.struct(F.lit(source).alias("source_hash"), F.lit(format).alias("adapter"), "row", F.col("quality").alias("identity_quality")))
             ingest.validated(read_records(spark, path, format), namespace, learner).write.parquet(str(stage / "read"))  # parsed once
             rows = spark.read.parquet(str(stage / "read"))
             known = self.known(spark, parent, rows) if parent else None

@@ -17,6 +17,8 @@ from . import framing
 MOST_BYTES = 4 << 20
 RECORD = "row long, value string, error string"
 CSV_ENCODING = "spreadsheet-literal-v1"
+#: The field of a record that tells how good its event's name is, where it is only a place.
+QUALITY, POSITION_ONLY = "_identity_quality", "position_only"
 
 
 def numbered(rows: DataFrame, *parts: str, at: str) -> DataFrame:
@@ -150,7 +152,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_legacy(spark: SparkSession, path: str, learner: str = "local-learner") -> DataFrame:
     """Attempts by question, ``{question: {attempts: [{id, correct}]}}``, at the root or under ``LocalSubmissions``.
 
-    Order is known only within a question. Attempts without an id of their own are named by place.
+    Order is known only within a question. Attempts without an id of their own are named by place, and say so.
     """
     kind = "map<string, struct<attempts: array<struct<id: variant, correct: variant>>>>"
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
@@ -159,10 +161,10 @@ def read_legacy(spark: SparkSession, path: str, learner: str = "local-learner")
         raise ValueError("the file isn't JSON")
     rows = whole.select(F.posexplode(F.map_entries(F.from_json(inner, kind))).alias("q", "e"), "file").select("file", "q", F.col("e.key").alias("question"), F.posexplode("e.value.attempts").alias("pos", "a"))
     own = F.when(F.schema_of_variant("a.id") == "STRING", F.trim(F.variant_get("a.id", "$", "string")))
-    stable = own.isNotNull() & (own != "")
+    stable = F.coalesce(own != "", F.lit(False))
     name = F.when(stable, own).otherwise(F.concat(F.lit("position:"), "pos"))
     event = F.sha2(F.to_json(F.array(F.lit(learner), F.col("question"), name)), 256)
-    value = F.to_json(F.struct(event.alias("event_id"), F.lit(learner).alias("learner_id"), F.col("question").alias("question_id"), F.array().cast("array<string>").alias("skills"), F.col("a.correct").alias("correct"), F.col("pos").cast("long").alias("source_sequence"), F.lit("question").alias("order_scope")))
+    value = F.to_json(F.struct(event.alias("event_id"), F.lit(learner).alias("learner_id"), F.col("question").alias("question_id"), F.array().cast("array<string>").alias("skills"), F.col("a.correct").alias("correct"), F.col("pos").cast("long").alias("source_sequence"), F.lit("question").alias("order_scope"), F.when(~stable, POSITION_ONLY).alias(QUALITY)))
     at = (F.row_number().over(Window.partitionBy("file").orderBy("q", "pos")) - 1).cast("long")
     rows = numbered(rows.select("file", at.alias("at"), value.alias("value")), "file", at="at")
     return rows.select("row", "value", F.lit(None).cast("string").alias("error"))
