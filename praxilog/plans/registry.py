@@ -186,6 +186,11 @@ query("sp1_forward_split", sql("SELECT event_id, part FROM split", UNITS_SQL, FO
 query("sp3_rolling_splits", sql("""SELECT event_id, fold, CASE WHEN units < 7 THEN 'excluded' WHEN unit <= a THEN 'train' WHEN unit <= b THEN 'validation' WHEN unit <= least(units, greatest(b + 1, floor(units * (CAST(0.55 AS DOUBLE) + CAST(0.35 AS DOUBLE) * fold / 3)))) THEN 'test' ELSE 'excluded' END AS part FROM (
   SELECT *, greatest(a + 1, floor(units * (CAST(0.45 AS DOUBLE) + CAST(0.35 AS DOUBLE) * fold / 3))) AS b FROM (
   SELECT *, greatest(1, floor(units * (CAST(0.35 AS DOUBLE) + CAST(0.35 AS DOUBLE) * fold / 3))) AS a FROM counted, (SELECT unnest([0, 1, 2]) AS fold)))""", UNITS_SQL, FORWARD_SQL.split(",\ncuts")[0]))(lambda a: splits.rolling_splits(a).select("event_id", "fold", "part"))
+SIZES_SQL = """sized AS (SELECT n, greatest(1, CAST(floor(n * 0.6::DOUBLE) AS BIGINT)) AS a FROM (SELECT count(DISTINCT {'s': source_namespace, 'l': learner_id}) AS n FROM attempts)),
+bounded AS (SELECT n, a, least(n - 1, greatest(a + 1, CAST(floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) AS BIGINT))) AS b FROM sized)"""
+query("sp2_part_sizes", sql("SELECT part, learners, CAST(0 AS BIGINT) AS in_several FROM (SELECT 'train' AS part, a AS learners FROM bounded UNION ALL SELECT 'validation', b - a FROM bounded UNION ALL SELECT 'test', n - b FROM bounded)", SIZES_SQL))(
+    lambda a: splits.learner_split(a).groupBy("source_namespace", "learner_id").agg(F.min("part").alias("part"), F.count_distinct("part").alias("parts")).groupBy("part").agg(F.count("*").alias("learners"), F.count_if(F.col("parts") > 1).alias("in_several"))
+)
 query("sp2_learner_split")(lambda a: splits.learner_split(a).groupBy("part").agg(F.count_distinct("learner_id").alias("learners"), F.count("*").alias("n")))
 query("sp4_split_audit", "SELECT CAST(0 AS BIGINT) AS without_part, CAST(0 AS BIGINT) AS with_several, CAST(0 AS BIGINT) AS without_attempt, CAST(0 AS BIGINT) AS units_across_parts, CAST(0 AS BIGINT) AS units_before_earlier_parts")(lambda a: splits.audit_split(a, splits.forward_split(a)))
 
