@@ -32,9 +32,9 @@ def opened(attempts: DataFrame, coupled: bool = True) -> DataFrame:
     rows = placed(attempts)
     if not coupled:
         return rows.withColumns({"opens": F.lit(1), "unit": F.col("pos").cast("long")})
-    # peers in time lie together in the known order, so they need no order of their own
-    moment = Window.partitionBy(*DOMAIN).orderBy(F.col("timestamp").asc_nulls_last()).rangeBetween(Window.currentRow, Window.currentRow)
-    rows = rows.withColumn("last_of_moment", F.when(F.col("timestamp").isNotNull(), F.max("pos").over(moment)))
+    # peers in time lie together in the known order, so each reaches to the next; one window serves this and the places
+    again = F.lead("timestamp").over(within(*DOMAIN)) == F.col("timestamp")
+    rows = rows.withColumn("last_of_moment", F.when(again, F.col("pos") + 1))
     last_of_session = F.when(F.col("session_id").isNotNull(), F.max("pos").over(Window.partitionBy(*DOMAIN, "session_id")))
     rows = rows.withColumn("reach", F.greatest("pos", "last_of_moment", last_of_session))
     before = Window.partitionBy(*DOMAIN).orderBy("pos")
