@@ -29,7 +29,9 @@ MARK = "▁"
 DROPOUT = 0.1
 SEED = 7
 #: Words of which a task keeps the plain merges; beyond, it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 180_000
+#: Bytes of text that a task encodes at a time.
+STEP_BYTES = 1 << 20
 #: Symbols from which on a word has a heap of its own as its agenda; shorter ones are merged together.
 LONG = 24
 NEVER = 1 << 60
@@ -345,7 +347,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: dict[str, Co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(sent.value, dropout, seed)
-        for b in steps(batches, "__text"):
+        for b in steps(batches, "__text", STEP_BYTES):
             own = texts(b, "__text")
             numbers = codec.encode_all(own)
             sizes = [len(n) for n in numbers]
