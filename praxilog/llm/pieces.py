@@ -29,7 +29,7 @@ MARK = "▁"
 DROPOUT = 0.1
 SEED = 7
 #: Words of which a task keeps the plain merges; beyond, it starts anew.
-CACHED_WORDS = 180_000
+CACHED_WORDS = 120_000
 #: Bytes of text that a task encodes at a time.
 STEP_BYTES = 1 << 20
 #: Symbols from which on a word has a heap of its own as its agenda; shorter ones are merged together.
