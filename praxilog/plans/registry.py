@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DOMAIN, csv_guarded, known_order, z_value
-from ..models import baselines, bkt, hierarchical, irt
+from ..models import baselines, bkt, hierarchical, irt, trace
 from ..operators import experiment, ingest, integrity, leakage, metrics, overview, planner, snapshots, splits, units
 from ..schema import CONTENT
 from ..sources.projection import attempts_from_events
@@ -320,12 +320,13 @@ query("p1_plan", sql("SELECT learner_id, place, question_id, round(score, 9) AS
 
 #: Parameters of the skills s0 to s4, as a fit gives them.
 SKILL_PARAMETERS = [(f"s{k}", 0.2 + 0.1 * k, 0.05 + 0.03 * k, 0.05 + 0.02 * k, 0.25 - 0.03 * k, 0.01 * k) for k in range(5)]
-MODEL_SQL = f"""parameters(skill, initial, learning, slip, guess, forgetting) AS (VALUES {", ".join(f"('{s}', {', '.join(f'{x!r}::DOUBLE' for x in p)})" for s, *p in SKILL_PARAMETERS)}),
-firsts AS (SELECT source_namespace, learner_id, domain, skills[1] AS skill, correct, row_number() OVER (PARTITION BY source_namespace, learner_id, domain, skills[1] ORDER BY {ORDER}) AS r FROM attempts WHERE len(skills) > 0),
+TRACED_SQL = f"""parameters(skill, initial, learning, slip, guess, forgetting) AS (VALUES {", ".join(f"('{s}', {', '.join(f'{x!r}::DOUBLE' for x in p)})" for s, *p in SKILL_PARAMETERS)}),
+firsts AS (SELECT source_namespace, learner_id, domain, event_id, skills[1] AS skill, correct, row_number() OVER (PARTITION BY source_namespace, learner_id, domain, skills[1] ORDER BY {ORDER}) AS r FROM attempts WHERE len(skills) > 0),
 traced(source_namespace, learner_id, domain, skill, r, k) AS (SELECT DISTINCT source_namespace, learner_id, domain, skill, CAST(0 AS BIGINT), initial FROM firsts JOIN parameters USING (skill) UNION ALL
   SELECT source_namespace, learner_id, domain, skill, r, after * (1 - forgetting) + (1 - after) * learning FROM (
     SELECT f.source_namespace, f.learner_id, f.domain, f.skill, f.r, p.forgetting, p.learning, CASE WHEN f.correct THEN t.k * (1 - slip) / (t.k * (1 - slip) + (1 - t.k) * guess) ELSE t.k * slip / (1 - (t.k * (1 - slip) + (1 - t.k) * guess)) END AS after
-    FROM traced t JOIN firsts f ON f.source_namespace = t.source_namespace AND f.learner_id = t.learner_id AND f.domain = t.domain AND f.skill = t.skill AND f.r = t.r + 1 JOIN parameters p ON p.skill = f.skill)),
+    FROM traced t JOIN firsts f ON f.source_namespace = t.source_namespace AND f.learner_id = t.learner_id AND f.domain = t.domain AND f.skill = t.skill AND f.r = t.r + 1 JOIN parameters p ON p.skill = f.skill))"""
+MODEL_SQL = f"""{TRACED_SQL},
 believed AS (SELECT source_namespace, learner_id, domain, skill, arg_max(k, r) AS k FROM traced GROUP BY 1, 2, 3, 4),
 latest AS (SELECT learner_id, source_namespace, order_scope FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY timestamp DESC NULLS FIRST, source_sequence DESC, event_id DESC) AS back FROM attempts) WHERE back = 1),
 tagged AS (SELECT learner_id, question_id, min(skills[1]) AS skill FROM attempts WHERE len(skills) > 0 GROUP BY 1, 2),
@@ -333,7 +334,24 @@ foreseen AS (SELECT g.learner_id AS who, g.question_id AS what, coalesce(b.k, p.
   LEFT JOIN believed b ON b.source_namespace = l.source_namespace AND b.learner_id = g.learner_id AND b.skill = g.skill AND b.domain = CASE WHEN l.order_scope = 'question' THEN g.question_id ELSE '' END)"""
 MODELLED = "CASE WHEN l.question_id IS NULL THEN 0 ELSE 0.25::DOUBLE END"
 query("p1_plan_with_model", SQL["p1_plan"].replace("lately AS", f"{MODEL_SQL},\nlately AS", 1).replace(MODELLED, f"{MODELLED} + 0.2::DOUBLE * coalesce(1 - chance, 0)", 1).replace("FROM tried t JOIN bounds", "FROM tried t LEFT JOIN foreseen e ON e.who = t.learner_id AND e.what = t.question_id JOIN bounds", 1))(
-    lambda a: planner.plan(a, model=a.sparkSession.createDataFrame(SKILL_PARAMETERS, "skill string, " + ", ".join(f"{n} double" for n in bkt.NAMES)))
+    lambda a: planner.plan(a, model=given_parameters(a.sparkSession))
+)
+
+REPLAY_SQL = """SELECT event_id, skill, round(p0, 9) AS probability, round(k0, 9) AS before_unit, round(prior, 9) AS prior, round(following, 9) AS following, unit_size FROM (
+  SELECT *, k0 * (1 - slip) + (1 - k0) * guess AS p0 FROM (
+    SELECT f.event_id, f.skill, t.k AS prior, u.k AS following, p.slip, p.guess, first_value(t.k) OVER (PARTITION BY f.source_namespace, f.learner_id, f.domain, f.skill, w.unit ORDER BY f.r) AS k0, w.unit_size
+    FROM firsts f JOIN traced t ON t.source_namespace = f.source_namespace AND t.learner_id = f.learner_id AND t.domain = f.domain AND t.skill = f.skill AND t.r = f.r - 1
+    JOIN traced u ON u.source_namespace = f.source_namespace AND u.learner_id = f.learner_id AND u.domain = f.domain AND u.skill = f.skill AND u.r = f.r
+    JOIN parameters p ON p.skill = f.skill
+    JOIN (SELECT event_id, unit, count(*) OVER (PARTITION BY source_namespace, learner_id, domain, unit) AS unit_size FROM united) w ON w.event_id = f.event_id))"""
+
+
+def given_parameters(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SKILL_PARAMETERS, "skill string, " + ", ".join(f"{n} double" for n in bkt.NAMES))
+
+
+query("m14_replay", sql(REPLAY_SQL, UNITS_SQL, TRACED_SQL).replace("WITH", "WITH RECURSIVE", 1))(
+    lambda a: trace.trace(a, given_parameters(a.sparkSession)).select("event_id", "probability", "unit_size", F.explode("updates").alias("u")).select("event_id", "u.skill", "probability", "u.before_unit", "u.prior", "u.following", "unit_size")
 )
 
 
