@@ -23,7 +23,7 @@ from ..functions.expressions import csv_guarded
 from ..operators import ingest
 from ..schema import ATTEMPTS, no_attempts, read_attempts
 from ..sources.readers import CSV_ENCODING, read_records
-from . import identities
+from . import identities, lineage
 
 TABLES = """
 CREATE TABLE IF NOT EXISTS workspace (id TEXT PRIMARY KEY, name TEXT, kind TEXT, head TEXT);
@@ -145,6 +145,7 @@ class Store:
             (stage / "manifest.json").write_text(json.dumps(manifest, sort_keys=True))
             place.parent.mkdir(exist_ok=True)
             stage.rename(place)
+            self._recheck(spark, [p for p in parts if p["path"] == f"datasets/{dataset}/attempts"], counts["accepted"])
             report = counts | {"dataset": dataset, "samples": samples}
             with self.transaction() as c:
                 if c.execute("UPDATE workspace SET head = ? WHERE id = ? AND head IS ?", (dataset, workspace, parent)).rowcount != 1:
@@ -158,10 +159,50 @@ class Store:
             shutil.rmtree(stage, ignore_errors=True)
             raise
 
+    def _recheck(self, spark: SparkSession, parts: list[dict], accepted: int) -> None:
+        """Raises unless the new partition's files are there as hashed and hold as many attempts as were accepted."""
+        for part in parts:
+            place = self.root / part["path"]
+            rows = spark.createDataFrame([(n, str(place / n), h) for n, h in part["files"].items()], "id string, path string, checksum string")
+            if lineage.file_checksums(rows).where("found is null or found <> checksum").limit(1).count():
+                raise RuntimeError("files changed before the commit")
+            if (held := read_attempts(spark, [str(place)]).count()) != accepted:
+                raise RuntimeError(f"{held} attempts were written of {accepted}")
+
     def verify(self, dataset: str) -> list[str]:
         """Files of a version, its ancestors included, that are missing or changed."""
         return [f"{p['path']}/{n}" for p in self.manifest(dataset)["partitions"] for n, h in p["files"].items() if not (f := self.root / p["path"] / n).is_file() or file_hash(f) != h]
 
+    def graph(self, spark: SparkSession, dataset: str) -> tuple[DataFrame, DataFrame]:
+        """Nodes (``id``, ``path``, ``checksum``) and edges of all that a version rests on: its ancestors, and of each its
+        original, its manifest and the files of its own partition. A row a file, from the manifests."""
+        nodes, edges, seen, ahead = [], [], {dataset}, [dataset]
+        while ahead:
+            own = ahead.pop()
+            try:
+                manifest = self.manifest(own)
+            except KeyError:  # a node of lineage that is no dataset has no files
+                manifest = None
+            with self.transaction() as c:
+                above = {r["parent"] for r in c.execute("SELECT parent FROM lineage WHERE child = ?", (own,))}
+            if manifest:
+                above |= {manifest["parent"]} - {None}
+                place = f"datasets/{own}"
+                files = {f"{place}/original": manifest["source"]["sha256"], f"{place}/manifest.json": hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()}
+                files |= {f"{p['path']}/{n}": h for p in manifest["partitions"] if p["path"] == f"{place}/attempts" for n, h in p["files"].items()}
+                nodes += [(n, str(self.root / n), h) for n, h in files.items()]
+                edges += [(own, n) for n in files]
+            nodes.append((own, None, None))
+            edges += [(own, p) for p in above]
+            ahead += above - seen
+            seen |= above
+        return spark.createDataFrame(nodes, "id string, path string, checksum string"), spark.createDataFrame(edges, "child string, parent string")
+
+    def audit(self, spark: SparkSession, dataset: str) -> DataFrame:
+        """What of a version's ancestry is missing, changed, in a cycle, or rests on such (:func:`lineage.unsound`); files are hashed in tasks."""
+        nodes, edges = self.graph(spark, dataset)
+        return lineage.unsound(lineage.file_checksums(nodes), edges)
+
     def add_lineage(self, child: str, parents: list[str]) -> None:
         with self.transaction() as c:
             for p in parents:
