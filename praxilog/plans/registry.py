@@ -12,6 +12,7 @@ from ..models import baselines, bkt, hierarchical, irt, trace
 from ..operators import experiment, ingest, integrity, leakage, metrics, overview, planner, snapshots, splits, units
 from ..schema import CONTENT
 from ..sources.projection import attempts_from_events
+from . import lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 LEARNER = "u8"
@@ -355,6 +356,24 @@ query("m14_replay", sql(REPLAY_SQL, UNITS_SQL, TRACED_SQL).replace("WITH", "WITH
 )
 
 
+
+def event_graph(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of attempts that rest on two earlier ones each; some contents are missing or changed."""
+    place = F.col("source_sequence")
+    found = F.when((place > 300) & (place % 101 == 7), None).when((place > 300) & (place % 97 == 5), F.lit("other")).otherwise(F.col("question_id"))
+    nodes = a.select(place.cast("string").alias("id"), F.col("question_id").alias("checksum"), found.alias("found"))
+    above = F.explode(F.array(F.floor(place / 16), F.floor(place / 10))).alias("parent")
+    return nodes, a.where(place > 0).select(place.cast("string").alias("child"), above).select("child", F.col("parent").cast("string").alias("parent"))
+
+
+query("l1_unsound_lineage", sql("""SELECT CAST(i AS VARCHAR) AS id, level, coalesce(reason, 'ancestor') AS reason FROM own JOIN highest USING (i) WHERE reason IS NOT NULL OR i IN (SELECT i FROM spoilt)""", """
+ids AS (SELECT source_sequence AS i FROM attempts), edges AS (SELECT i AS c, i // 16 AS p FROM ids WHERE i > 0 UNION SELECT i, i // 10 FROM ids WHERE i > 0),
+every AS (SELECT i FROM ids UNION SELECT p FROM edges),
+own AS (SELECT i, CASE WHEN i NOT IN (SELECT i FROM ids) THEN 'unknown' WHEN i > 300 AND i % 101 = 7 THEN 'missing' WHEN i > 300 AND i % 97 = 5 THEN 'changed' END AS reason FROM every),
+spoilt(i) AS (SELECT i FROM own WHERE reason IN ('missing', 'changed') UNION SELECT c FROM edges JOIN spoilt ON p = spoilt.i),
+leveled(i, level) AS (SELECT i, 0 FROM every WHERE i NOT IN (SELECT c FROM edges) UNION SELECT c, level + 1 FROM edges JOIN leveled ON p = leveled.i),
+highest AS (SELECT i, max(level) AS level FROM leveled GROUP BY 1)""").replace("WITH", "WITH RECURSIVE", 1))(lambda a: lineage.unsound(*event_graph(a)))
+
 def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = parts_of(attempts(spark, sf_dir))
     return rounded(bkt.predict(test, bkt.fit(spark, train), baselines.rate_of(train)).select("event_id", "probability"))
