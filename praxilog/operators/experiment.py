@@ -1,14 +1,20 @@
-"""Experiments: fit on train, calibrate on validation, measure on test, for several models of the same split."""
+"""Experiments: fit on train, calibrate on validation, measure on test, for several models of the same split.
+
+A published experiment keeps its predictions, measures and split as one artifact, with the
+dataset and a digest of the split, by which comparisons tell what may be paired.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..models import baselines, bkt, hierarchical, irt, logistic
+from ..plans import artifacts
 from . import metrics, splits, units
 
 KEY = ["source_namespace", "event_id"]
@@ -17,7 +23,7 @@ STRENGTHS = (0.1, 1.0, 10.0)
 MODELS = ("global", "item_prior", "recent", "hierarchical", "logistic", "bkt", "irt1", "irt2")
 #: What models lose without a part of them.
 ABLATIONS = ("logistic_without_skills", "logistic_without_time", "hierarchical_without_shrinkage", "bkt_forgetting", "bkt_mean_skills")
-KEPT = [*KEY, "learner_id", "question_id", "part", "correct", "probability"]
+KEPT = [*KEY, "learner_id", "question_id", "skills", "part", "correct", "probability"]
 
 
 def _online(rows: DataFrame, made: DataFrame) -> DataFrame:
@@ -102,16 +108,71 @@ def recomputed(predictions: DataFrame, saved: DataFrame, tolerance: float = 1e-1
     return now.join(saved.select("model", "kind", "log_loss"), ["model", "kind"], "full").where("now is null or log_loss is null or abs(now - log_loss) > " + repr(tolerance))
 
 
-def inspect(predictions: DataFrame, model: str, sort: str = "identity", learner: str | None = None, question: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of one model's predictions: by identity, largest error or least certainty."""
+def split_hash(split: DataFrame) -> str:
+    """A digest of which attempt is in which part, whatever the order of rows.
+
+    Rows' SHA-256 digests are added up in four 64-bit words, so that a task gives one row.
+    """
+    row = F.sha2(F.to_json(F.array(*KEY, "part")), 256)
+    words = [F.conv(F.substring(row, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = split.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).alias(f"w{k}") for k, w in enumerate(words)]).first()
+    return artifacts.digest([sums["n"], *(int(sums[f"w{k}"]) % (1 << 64) for k in range(4))])
+
+
+def publish(attempts: DataFrame, root: str, dataset: str, models: tuple[str, ...] = MODELS, split: DataFrame | None = None, configuration: dict[str, Any] | None = None) -> str:
+    """Runs an experiment over the attempts of ``dataset`` and keeps it; returns the artifact's id. A split that lacks a part is refused."""
+    split = cut((splits.forward_split(attempts) if split is None else split).select(*KEY, "part"))
+    parts = {r["part"] for r in split.select("part").distinct().collect()}
+    if lacking := {"train", "validation", "test"} - parts:
+        raise ValueError(f"the split has no attempts to {sorted(lacking)}")
+    predictions = cut(run(attempts, models, split))
+    metadata = {"dataset": dataset, "split_hash": split_hash(split), "models": list(models), "configuration": configuration or {}}
+    return artifacts.publish(attempts.sparkSession, root, "experiment", {"predictions": predictions, "report": report(predictions), "split": split}, metadata)
+
+
+def compare_runs(spark: SparkSession, root: str, left: str, right: str, left_model: str, right_model: str, repetitions: int = 200, seed: int = 0) -> dict[str, Any]:
+    """Two published experiments' models side by side: ``same_dataset``, ``same_split``, the measures of each, and ``paired``.
+
+    Only runs over the same dataset and split are paired (bounds of the difference in log
+    loss); else ``paired`` is None and the measures describe different populations. Artifacts
+    that have changed, that are no experiments or that lack the model are refused.
+    """
+    sides = []
+    for own, model in ((left, left_model), (right, right_model)):
+        about = artifacts.manifest(spark, root, own)
+        if about["kind"] != "experiment" or artifacts.verify(spark, root, own):
+            raise ValueError(f"{own} is no sound experiment")
+        if model not in about["metadata"]["models"]:
+            raise ValueError(f"{own} has no model {model}")
+        table = lambda name, own=own: artifacts.load(spark, root, own, name)
+        if split_hash(table("split")) != about["metadata"]["split_hash"]:
+            raise ValueError(f"the split of {own} is not the one of its digest")
+        sides.append((about["metadata"], table("report").where(F.col("model") == model), table("predictions").where((F.col("part") == "test") & (F.col("model") == model))))
+    (a, left_report, left_rows), (b, right_report, right_rows) = sides
+    same = {"same_dataset": a["dataset"] == b["dataset"], "same_split": a["split_hash"] == b["split_hash"]}
+    paired = metrics.bootstrap(metrics.paired_sums(left_rows, right_rows), ("difference",), repetitions, seed) if all(same.values()) else None
+    return same | {"left": left_report, "right": right_report, "paired": paired}
+
+
+def inspect(predictions: DataFrame, model: str, sort: str = "identity", learner: str | None = None, question: str | None = None, offset: int = 0, limit: int = 50, part: str | None = None) -> DataFrame:
+    """A page of one model's predictions, of one part or all: by identity, largest error, least certainty or most confidence."""
     rows = predictions.where(F.col("model") == model)
     rows = rows.where(F.col("learner_id") == learner) if learner else rows
     rows = rows.where(F.col("question_id") == question) if question else rows
+    rows = rows.where(F.col("part") == part) if part else rows
     error, doubt = F.abs(F.col("correct").cast("int") - F.col("probability")), F.abs(F.col("probability") - 0.5)
-    order = {"identity": [], "error": [error.desc()], "uncertain": [doubt.desc()]}[sort]
+    order = {"identity": [], "error": [error.desc()], "uncertain": [doubt], "confidence": [doubt.desc()]}[sort]
     if offset < 0 or not 1 <= limit <= 500:
         raise ValueError("offset must not be negative and limit be 1 to 500")
-    return rows.orderBy(*order, *KEY).offset(offset).limit(limit)
+    return rows.withColumn("absolute_error", error).orderBy(*order, *KEY).offset(offset).limit(limit)
+
+
+def slice_measures(predictions: DataFrame, model: str, learner: str | None = None, skill: str | None = None, calibrated: bool = False) -> DataFrame:
+    """Measures of one model's test predictions of a learner, a skill, both or neither; a slice without rows has n 0."""
+    rows = predictions.where((F.col("model") == model) & (F.col("part") == "test"))
+    rows = rows.where(F.col("learner_id") == learner) if learner else rows
+    rows = rows.where(F.array_contains("skills", skill)) if skill else rows
+    return metrics.metric_summary(rows.withColumn("probability", F.col("calibrated")) if calibrated else rows)
 
 
 def replay(attempts: DataFrame, parameters: DataFrame, learner: str) -> DataFrame:

@@ -65,6 +65,9 @@ def manifest(spark: SparkSession, root: str, artifact: str) -> dict:
 
 
 def load(spark: SparkSession, root: str, artifact: str, table: str) -> DataFrame:
+    """A table of an artifact; names that its manifest lacks are refused, so that none leads out of its folder."""
+    if table not in manifest(spark, root, artifact)["tables"]:
+        raise KeyError(table)
     return spark.read.parquet(f"{root}/artifacts/{artifact}/{table}")
 
 
