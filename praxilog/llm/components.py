@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import HOT, cut, joined_evenly
 
+#: Edges that a task takes in a round. Where one task takes all that are left, its rounds need no shuffle.
+TASK_EDGES = 1 << 17
+
+
+def _packed(edges: DataFrame, n: int) -> DataFrame:
+    """The ``n`` edges in as few partitions as their number asks for, so that the rounds of a small graph write no empty files."""
+    return edges.coalesce(-(-n // TASK_EDGES))
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -24,14 +32,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Large-star and small-star rounds take turns until the edges stay the same; every
     round groups with map-side minima, joins them back, and is checkpointed. Nodes with
-    over a HOT'th of the links are broadcast with their minima. Nodes of any orderable
+    over a HOT'th of the links are broadcast with their minima, and edges are in as many
+    partitions as TASK_EDGES asks for. Nodes of any orderable
     type; null nodes are ignored. No edges: no rows.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(edges)
     while mark[0]:
-        both = _least(edges.union(edges.select("v", "u")), 2 * mark[0])
+        edges = _packed(edges, mark[0])
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+        both = _least(edges.select(ways).select("e.u", "e.v"), 2 * mark[0])
         # each node sends its larger neighbours to the least of its neighbourhood
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # and its smaller neighbours and itself
