@@ -29,8 +29,10 @@ def united(nodes, links):
     return least
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(1, None), (2, None), (3, 50)])
+def test_components(spark, seed, most, monkeypatch):
+    if most:
+        monkeypatch.setattr(components, "TASK_EDGES", most)
     rng = np.random.default_rng(seed)
     links = rng.integers(0, 120, (90, 2)).tolist() + [[k, k + 1] for k in range(200, 240)] + [[7, 7], [None, 3]]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
