@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DOMAIN
-from ..functions.lineage import cut
+from ..functions.lineage import cut, cut_round
 from ..operators.units import units
 
 NAMES = ("initial", "learning", "slip", "guess", "forgetting")
@@ -255,10 +255,10 @@ def fit(spark: SparkSession, attempts: DataFrame, forgetting: bool = False, star
     enough = (F.col("n") >= MINIMUM) & (F.col("sequences") >= 2)
     going = cut(begun(sizes.where(enough), starts, forgetting, seed))
     left, ended = going.count(), []
-    for _ in range(passes):
+    for k in range(passes):
         if not left:
             break
-        going = cut(stepped(going, evaluated(seqs, going.select("skill", "start", "points"), left <= BROADCAST), forgetting))
+        going = cut_round(stepped(going, evaluated(seqs, going.select("skill", "start", "points"), left <= BROADCAST), forgetting), k)
         ended.append(going.where("not open"))
         going = going.where("open")
         left = going.count()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DOMAIN
-from ..functions.lineage import cut
+from ..functions.lineage import cut, cut_round
 from ..operators.units import units
 
 LEARNER, ITEM = ("source_namespace", "learner_id"), ("source_namespace", "question_id")
@@ -29,11 +29,11 @@ def components(rows: DataFrame, passes: int = 100) -> DataFrame:
     """
     links = rows.select("source_namespace", "learner_id", "question_id").distinct()
     labels = links.select(*LEARNER).distinct().withColumn("component", F.struct(*LEARNER))
-    for _ in range(passes):
+    for k in range(passes):
         items = links.join(labels, list(LEARNER)).groupBy(*ITEM).agg(F.min("component").alias("component"))
         near = links.join(items, list(ITEM)).groupBy(*LEARNER).agg(F.min("component").alias("component"))
         its = near.select(F.struct(*LEARNER).alias("component"), F.col("component").alias("its"))
-        after = cut(near.join(its, "component").select(*LEARNER, F.col("its").alias("component")))
+        after = cut_round(near.join(its, "component").select(*LEARNER, F.col("its").alias("component")), k)
         moved = after.join(labels.withColumnRenamed("component", "before"), list(LEARNER)).where("component <> before").limit(1).count()
         labels = after
         if not moved:
@@ -95,11 +95,11 @@ def fit(rows: DataFrame, parameters: int = 1, rounds: int = 60, penalty: float =
     a, gap = F.col("discrimination"), F.col("ability") - F.col("difficulty")
     left, weight = F.col("s") - F.col("n") * F.col("p"), F.col("n") * F.col("p") * (1 - F.col("p"))
     last, reach, centre = None, 1.0, 0.0
-    for _ in range(rounds):
+    for k in range(rounds):
         both = rows.join(learners, list(LEARNER)).join(items, list(ITEM)).withColumn("p", _chance())
         step = both.groupBy(*LEARNER, "ability").agg(F.sum(a * left).alias("g"), F.sum(a * a * weight).alias("h"), F.sum(_log_likelihood()).alias("fits"))
         ability = bound(F.col("ability") + bound((F.col("g") - penalty * F.col("ability")) / (F.col("h") + penalty), -2.0 * reach, 2.0 * reach), -6.0, 6.0)
-        moved = cut(step.select(*LEARNER, ability.alias("ability"), (F.col("fits") - penalty / 2 * F.col("ability") ** 2).alias("fits")))
+        moved = cut_round(step.select(*LEARNER, ability.alias("ability"), (F.col("fits") - penalty / 2 * F.col("ability") ** 2).alias("fits")), k)
         own = moved.agg(F.sum("fits"), F.sum("ability"), F.count("*")).first()
         its = items.agg(F.sum(F.col("difficulty") ** 2 + (a - 1) ** 2), F.sum("difficulty"), F.count("*")).first()
         if not own[2]:
@@ -115,7 +115,7 @@ def fit(rows: DataFrame, parameters: int = 1, rounds: int = 60, penalty: float =
         step = both.groupBy(*ITEM, "difficulty", "discrimination").agg(F.sum(-a * left).alias("g"), F.sum(a * a * weight).alias("h"), F.sum(gap * left).alias("ga"), F.sum(gap * gap * weight).alias("ha"))
         difficulty = bound(F.col("difficulty") + bound((F.col("g") - penalty * F.col("difficulty")) / (F.col("h") + penalty), -2.0 * reach, 2.0 * reach), -6.0, 6.0)
         discrimination = bound(a + bound((F.col("ga") - penalty * (a - 1)) / (F.col("ha") + penalty), -0.5 * reach, 0.5 * reach), 0.25, 3.0) if parameters == 2 else F.lit(1.0)
-        items = cut(step.select(*ITEM, difficulty.alias("difficulty"), discrimination.alias("discrimination")))
+        items = cut_round(step.select(*ITEM, difficulty.alias("difficulty"), discrimination.alias("discrimination")), k)
     return learners.withColumn("ability", F.col("ability") - centre), items.withColumn("difficulty", F.col("difficulty") - centre)
 
 

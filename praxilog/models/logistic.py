@@ -81,12 +81,16 @@ class LogisticHistory:
 
 def platt(validation: DataFrame) -> tuple[float, float]:
     """Slope and intercept that calibrate logits, (1, 0) for too few rows or one class. ``validation`` has ``correct`` and ``probability``."""
-    n, hits = validation.agg(F.count("*"), F.coalesce(F.sum(F.col("correct").cast("int")), F.lit(0))).first()
-    if n < PLATT_ROWS or not 0 < hits < n:
-        return 1.0, 0.0
-    rows = validation.select(F.col("correct").cast("double").alias("label"), array_to_vector(F.array(logit(F.col("probability")))).alias("vector"))
-    model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1 / n, standardization=False, maxIter=200, tol=1e-10).fit(rows)
-    return float(model.coefficients[0]), float(model.intercept)
+    rows = validation.select(F.col("correct").cast("double").alias("label"), logit(F.col("probability")).alias("x")).persist()  # or a fit makes the predictions again and again
+    try:
+        n, hits = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+        if n < PLATT_ROWS or not 0 < hits < n:
+            return 1.0, 0.0
+        points = rows.select("label", array_to_vector(F.array("x")).alias("vector"))
+        model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1 / n, standardization=False, maxIter=200, tol=1e-10).fit(points)
+        return float(model.coefficients[0]), float(model.intercept)
+    finally:
+        rows.unpersist()
 
 
 def calibrated(predictions: DataFrame, slope: float, intercept: float) -> DataFrame:
